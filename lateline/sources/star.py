@@ -109,8 +109,11 @@ def tickets(spark, sf_dir, description="words"):
 
 
 def raw_messages(spark, sf_dir):
-    """Events as chat messages, not yet scored."""
-    events = table(spark, sf_dir, "events")
+    """Events as chat messages, scored by their value."""
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def messages_of(events):
     sent = F.col("ts").cast("timestamp")
     channel = F.col("user_id") % 5
     return events.select(
@@ -131,3 +134,142 @@ def raw_messages(spark, sf_dir):
 def scored_messages(spark, sf_dir):
     """The same messages scored from their text."""
     return raw_messages(spark, sf_dir).withColumn("sentiment_score", score_text(F.col("text")))
+
+
+POINTS_FIELD, SPRINT_FIELD = "customfield_10016", "customfield_10020"
+
+
+def raw_issues(spark, sf_dir):
+    """Orders as nested tracker issues (id, key, fields), with the oddities of real ones:
+    null objects, points that are no number, sprints as objects and as texts."""
+    orders = table(spark, sf_dir, "orders")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    text = key.cast("string")
+
+    def named(column):
+        return F.when(column.isNotNull(), F.struct(column.alias("name")))
+
+    def person(column):
+        return F.when(column.isNotNull(), F.struct(column.alias("displayName")))
+
+    status = choose(F.col("o_orderstatus"), STATUS, None)
+    sprint_object = F.to_json(
+        F.struct(
+            text.alias("id"),
+            F.concat(F.lit("Sprint "), text).alias("name"),
+            F.lit("closed").alias("state"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("startDate"),
+        )
+    )
+    sprint_text = F.concat(
+        F.lit("com.example.Sprint@"), text, F.lit("[id="), text, F.lit(",name=Late "), text, F.lit(",state=ACTIVE,completeDate=<null>]")
+    )
+    sprints = F.when(key % 3 == 0, F.array(F.parse_json(sprint_object))).when(
+        key % 3 == 1, F.array(F.parse_json(sprint_object), sprint_text.cast("variant"), F.lit("unreadable").cast("variant"))
+    )
+    other = F.struct(F.concat(F.col("c_mktsegment"), F.lit("-"), (key + 1).cast("string")).alias("key"))
+    links = F.when(
+        key % 4 == 0,
+        F.array(
+            F.struct(F.struct(F.lit("Blocks").alias("name")).alias("type"), other.alias("outwardIssue"), F.lit(None).cast("struct<key:string>").alias("inwardIssue")),
+            F.struct(F.struct(F.lit("Relates").alias("name")).alias("type"), F.lit(None).cast("struct<key:string>").alias("outwardIssue"), other.alias("inwardIssue")),
+        ),
+    )
+    fields = F.struct(
+        F.struct(F.col("c_mktsegment").alias("key")).alias("project"),
+        F.concat(F.lit("Order "), text).alias("summary"),
+        F.when(
+            key % 11 != 0,
+            F.concat(F.lit("Ask buyer"), customer.cast("string"), F.lit("@example.com about host 10.0."), (key % 250).cast("string"), F.lit(".7 and order "), text),
+        ).alias("description"),
+        F.struct(status.alias("name"), named(status).alias("statusCategory")).alias("status"),
+        named(choose(F.col("o_orderpriority"), PRIORITY, None)).alias("priority"),
+        named(_number_list(key % 7, ISSUE_TYPES)).alias("issuetype"),
+        person(F.when(customer % 17 != 0, F.concat(F.lit("engineer_"), (customer % 50).cast("string")))).alias("assignee"),
+        person(F.concat(F.lit("pm_"), (customer % 5).cast("string"))).alias("reporter"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'").alias("created"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'").alias("updated"),
+        F.when(key % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("duedate"),
+        F.when(key % 13 == 0, "unknown").otherwise((key % 14).cast("string")).alias(POINTS_FIELD),
+        sprints.alias(SPRINT_FIELD),
+        F.array(F.lit("backend"), choose(F.col("o_orderstatus"), STATUS, None)).alias("labels"),
+        F.array(F.struct(F.concat(F.lit("part "), (key % 9).cast("string")).alias("name"))).alias("components"),
+        links.alias("issuelinks"),
+        F.struct((key % 21).alias("total")).alias("comment"),
+    )
+    return joined.select(text.alias("id"), F.concat_ws("-", "c_mktsegment", text).alias("key"), fields.alias("fields"))
+
+
+def raw_issue_pages(spark, sf_dir):
+    """One landed page, as JSON text in `value`, per issue."""
+    issue = F.struct("id", "key", "fields")
+    page = F.struct(F.lit(0).alias("startAt"), F.lit(1).alias("total"), F.array(issue).alias("issues"))
+    return raw_issues(spark, sf_dir).select(F.to_json(page).alias("value"))
+
+
+def raw_message_pages(spark, sf_dir):
+    """Events as landed channel pages, as JSON text in `value`; some are notices or blank."""
+    events = table(spark, sf_dir, "events")
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    message = F.struct(
+        F.when(kind == "signup", "channel_join").alias("subtype"),
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user"),
+        F.when(kind == "view", " \n").otherwise(choose(kind, EVENT_TEXT, None)).alias("text"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy").alias("team"),
+        F.col("event_id").cast("string").alias("ts"),
+        F.when(k % 2 == 0, k).alias("reply_count"),
+        F.when(k % 3 != 0, F.array(F.struct(F.lit("up").alias("name"), k.alias("count")), F.struct(F.lit("eyes").alias("name"), F.lit(1).alias("count")))).alias("reactions"),
+    )
+    channel = F.concat(F.lit("C"), (F.col("user_id") % 5).cast("string"))
+    return events.select(F.to_json(F.struct(channel.alias("channel"), F.array(message).alias("messages"))).alias("value"))
+
+
+def sprint_texts(lineitem):
+    """A serialized sprint per line item: some without brackets, some with a repeated
+    key or an equals sign in a value."""
+    n = F.col("l_linenumber").cast("string")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    name = (
+        F.when(F.col("l_linenumber") == 3, F.concat(F.lit("Old "), n, F.lit(",name= New "), n))
+        .when(F.col("l_linenumber") == 5, F.concat(F.lit("a=b "), n))
+        .otherwise(F.concat(F.lit("Sprint "), n))
+    )
+    text = F.concat(
+        F.lit("com.example.Sprint@1f[id="), n, F.lit(",name="), name, F.lit(",state="), F.col("l_linestatus"),
+        F.lit(",goal,startDate="), day, F.lit(",endDate=<null>]"),
+    )
+    return lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("no sprint "), n)).otherwise(text).alias("entry"),
+    )
+
+
+def replies(events):
+    """A model reply per event: fenced JSON, JSON in prose, plain JSON, prose, broken JSON."""
+    number = F.col("event_id").cast("string")
+    risk = F.concat(F.lit('{"title":"r","affected_tickets":["A-'), number, F.lit('","B-'), number, F.lit('"]}'))
+    single = F.concat(F.lit('{"title":"s","affected_tickets":"C-'), number, F.lit('"}'))
+    body = F.concat(F.lit('{"hypothesis":"load '), number, F.lit('","severity":"high","critical_risks":['), risk, F.lit(","), single, F.lit("]}"))
+    raw = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("Here it is: "), body, F.lit(" as asked.")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("  "), body, F.lit("\n")))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("No JSON in reply "), number))
+        .otherwise(F.concat(F.lit('Broken {"hypothesis": '), number, F.lit(",}")))
+    )
+    return events.select("event_id", raw.alias("raw"))
+
+
+def alert_envelopes(events):
+    """A delivered alert per event: drift alerts, quality alerts, malformed messages."""
+    drift = F.to_json(F.struct(F.lit("MODEL_DRIFT_DETECTED").alias("alert_type"), F.col("value").alias("overall_drift_pct")))
+    quality = F.to_json(F.struct(F.lit("DATA_QUALITY_VIOLATION").alias("alert_type"), F.lit("P").alias("project_key")))
+    message = (
+        F.when(F.col("event_type") == "error", drift)
+        .when(F.col("event_type") == "view", quality)
+        .otherwise(F.concat(F.lit("not json "), F.col("event_id").cast("string")))
+    )
+    record = F.struct(F.struct(message.alias("Message")).alias("Sns"))
+    return events.select("event_id", F.to_json(F.struct(F.array(record).alias("Records"))).alias("envelope"))
