@@ -80,9 +80,7 @@ def entity_gaps(text, hits):
 
 def fill_gaps(gaps, types):
     """Put the placeholders of `types` between the gaps."""
-    parts = F.transform(
-        gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.transform(types, placeholder_of), i), F.lit("")))
-    )
+    parts = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(placeholder_of(F.get(types, i)), F.lit(""))))
     return F.array_join(parts, "")
 
 

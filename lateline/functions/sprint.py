@@ -20,24 +20,38 @@ def _strip(column):
     return F.btrim(column, F.lit(WHITE_SPACE_CHARACTERS))
 
 
+def _bind(column, body):
+    """`body` of the column's value, computed once however often `body` uses it."""
+    return F.get(F.transform(F.array(column), body), F.lit(0))
+
+
 def parse_sprint_text(entry):
     """A serialized sprint as a struct; null without brackets. Of a repeated key the last counts."""
     inner = F.regexp_extract(entry, r"(?s)\[(.*)\]", 1)
-    pairs = F.filter(F.split(inner, ","), lambda pair: F.instr(pair, "=") > 0)
+    pairs = F.transform(
+        F.filter(F.split(inner, ","), lambda pair: F.instr(pair, "=") > 0),
+        lambda pair: F.struct(
+            _strip(F.substring_index(pair, "=", 1)).alias("key"),
+            _strip(F.substr(pair, F.instr(pair, "=") + 1)).alias("value"),
+        ),
+    )
+
+    def value(known, key):
+        last = F.try_element_at(F.filter(known, lambda pair: pair["key"] == key), F.lit(-1))
+        return F.nullif(last["value"], F.lit("<null>"))
 
-    def value(key):
-        named = F.filter(pairs, lambda pair: _strip(F.substring_index(pair, "=", 1)) == key)
-        last = F.try_element_at(named, F.lit(-1))
-        return F.nullif(_strip(F.substr(last, F.instr(last, "=") + 1)), F.lit("<null>"))
+    def sprint(known):
+        return F.struct(*[value(known, theirs).alias(ours) for ours, theirs in PARTS.items()])
 
-    parsed = F.struct(*[value(theirs).alias(ours) for ours, theirs in PARTS.items()])
-    return F.when(entry.contains("[") & entry.contains("]"), parsed)
+    return F.when(entry.contains("[") & entry.contains("]"), _bind(pairs, sprint))
 
 
 def parse_sprint(entry):
     """A sprint entry, as its JSON text or serialized, as a struct."""
-    read = F.from_json(entry, _OBJECT)
-    from_object = F.struct(*[read[theirs].alias(ours) for ours, theirs in PARTS.items()])
+    from_object = _bind(
+        F.from_json(entry, _OBJECT),
+        lambda read: F.struct(*[read[theirs].alias(ours) for ours, theirs in PARTS.items()]),
+    )
     return F.when(F.ltrim(entry).startswith("{"), from_object).otherwise(parse_sprint_text(entry))
 
 

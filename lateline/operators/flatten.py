@@ -22,8 +22,14 @@ def resolve_field(fields, name):
     return found["id"]
 
 
+def _items(pages, items, *carry):
+    """One row per item of a page. The outer form keeps Spark from putting a filter on
+    the array below, which would parse a page twice."""
+    return pages.select(*carry, F.explode_outer(items).alias("item")).where(F.col("item").isNotNull())
+
+
 def explode_issues(pages):
-    return pages.select(F.explode("issues").alias("issue")).select("issue.*")
+    return _items(pages, "issues").select("item.*")
 
 
 def flatten_issues(issues, points_field, sprint_field, ingested_at=None):
@@ -66,7 +72,7 @@ def flatten_issues(issues, points_field, sprint_field, ingested_at=None):
 
 
 def explode_messages(pages):
-    return pages.select("channel", F.explode("messages").alias("m")).select("channel", "m.*")
+    return _items(pages, "messages", "channel").select("channel", "item.*")
 
 
 def flatten_messages(messages, oldest=None, latest=None, ingested_at=None, lexicon=None):

@@ -15,36 +15,38 @@ ROWS_PER_SLICE = 1_000_000
 _POSITION_BITS = 33  # monotonically_increasing_id: row number within its partition
 
 
-def _earlier_slices(sums, groups):
-    return (
-        Window.partitionBy(*groups, F.lit(0))
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-
-
-def running_totals(df, groups, order, sums, rows_per_slice=ROWS_PER_SLICE):
-    """Add `cum_<name>` per name in `sums`: its total up to and including the row.
+def running_totals(staged, groups, order, sums, rows_per_slice=ROWS_PER_SLICE):
+    """Add `cum_<name>` and `total_<name>` per name in `sums`: its total up to and
+    including the row, and over the whole group.
 
-    Runs within `groups` along `order`, which must be unique in a group.
+    Runs within `groups` along `order`, which must be unique in a group. `staged`
+    is read more than once, so it must be a staged table.
     """
     groups, sums = list(groups), list(sums)
-    staged = settle(df, "totals")
     rows = staged.count()
-    upto = Window.partitionBy(*groups).orderBy(order)
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     if rows <= rows_per_slice:
-        frame = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return staged.withColumns({f"cum_{name}": F.sum(name).over(frame) for name in sums})
+        frame = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return staged.withColumns(
+            {
+                **{f"cum_{name}": F.sum(name).over(frame) for name in sums},
+                **{f"total_{name}": F.sum(name).over(whole) for name in sums},
+            }
+        )
     slices = -(-rows // rows_per_slice)
     sliced = settle(
         staged.repartitionByRange(slices, *groups, order).withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
     per_slice = sliced.groupBy(*groups, "_slice").agg(*[F.sum(name).alias(name) for name in sums])
-    earlier = _earlier_slices(sums, groups)
+    # a group has one row per slice it touches, so these windows are small
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = settle(
         per_slice.select(
-            *groups, "_slice", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums]
+            *groups,
+            "_slice",
+            *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums],
+            *[F.sum(name).over(whole).alias(f"total_{name}") for name in sums],
         ),
         "shifts",
     )
@@ -67,17 +69,12 @@ def value_counts(df, groups, value):
 
 
 def quantiles_of_counts(counts, groups, value, probabilities, rows_per_slice=ROWS_PER_SLICE):
-    """Exact, linearly interpolated quantiles of a value histogram.
+    """Exact, linearly interpolated quantiles of a staged value histogram.
 
     `probabilities` maps an output column to a probability. One row per group.
     """
     groups = list(groups)
-    summed = running_totals(counts, groups, value, ["n"], rows_per_slice)
-    sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_size"))
-    if groups:
-        ranked = summed.join(settle(sizes, "sizes"), groups)
-    else:
-        ranked = summed.withColumn("_size", sizes.scalar())
+    ranked = running_totals(counts, groups, value, ["n"], rows_per_slice)
     first = F.col("cum_n") - F.col("n")
 
     def at(rank):
@@ -85,13 +82,13 @@ def quantiles_of_counts(counts, groups, value, probabilities, rows_per_slice=ROW
 
     picks = []
     for name, p in probabilities.items():
-        position = (F.col("_size") - 1) * F.lit(float(p))
+        position = (F.col("total_n") - 1) * F.lit(float(p))
         picks += [
             at(F.floor(position)).alias(f"_low_{name}"),
             at(F.ceil(position)).alias(f"_high_{name}"),
             F.max(position - F.floor(position)).alias(f"_part_{name}"),
         ]
-    picked = ranked.groupBy(*groups).agg(F.max("_size").alias("count"), *picks)
+    picked = ranked.groupBy(*groups).agg(F.max("total_n").alias("count"), *picks)
     between = [
         (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n)
         for n in probabilities
@@ -120,7 +117,8 @@ def with_ordinal(df, order, name="ordinal", slices=None):
     )
     sizes = placed.groupBy("_slice").agg(F.count("*").alias("_rows"))
     # one row per slice, so this window holds no more rows than there are partitions
-    shift = F.coalesce(F.sum("_rows").over(_earlier_slices(["_rows"], [])), F.lit(0))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0))
     shifts = settle(sizes.select("_slice", shift.alias("_before")), "shifts")
     numbered = placed.join(shifts, "_slice").withColumn(name, F.col("_before") + F.col("_place"))
     return numbered.drop("_slice", "_place", "_before"), placed.count()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lateline import fixed_values as fv
 from lateline.functions.numbers import rounded
 from lateline.operators.order_stats import running_totals, with_ordinal
+from lateline.sources.staging import settle
 
 
 def risk_level(score, high=fv.RISK_HIGH, medium=fv.RISK_MEDIUM):
@@ -60,7 +61,7 @@ def area_under_curve(df, label, score, groups):
     hits = df.groupBy(*groups, score).agg(
         F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg")
     )
-    summed = running_totals(hits, groups, score, ["neg"])
+    summed = running_totals(settle(hits, "hits"), groups, score, ["neg"])
     below = F.col("cum_neg") - F.col("neg") + F.col("neg") / 2
     totals = summed.groupBy(*groups).agg(
         F.sum(F.col("pos") * below).alias("_wins"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")

@@ -1,8 +1,8 @@
 """Group features: aggregate first, then attach to each ticket.
 
-The aggregates are staged, so Spark knows their size before the join: a small
-one is broadcast and the tickets stay where they are; a large one is joined by
-a shuffle whose hot keys adaptive execution splits.
+The aggregates come from a staged table, so Spark can bound their size before
+the join: small ones are broadcast and the tickets stay where they are; large
+ones are joined by a shuffle whose hot keys adaptive execution splits.
 """
 
 from pyspark.sql import functions as F
@@ -13,33 +13,40 @@ from lateline.functions.numbers import rounded
 from lateline.sources.staging import settle
 
 
-def project_stats(features):
-    """Points, distinct assignees and work in progress per project."""
+def workload(features):
+    """Points and tickets in progress per project and assignee.
+
+    The one pass over the tickets: both group aggregates follow from this table,
+    and a project with very many tickets is spread over its assignees.
+    """
     busy = (F.col("status_category") == "In Progress") & F.col("issue_key").isNotNull()
-    return features.groupBy("project_key").agg(
-        F.sum("story_points").alias("project_points"),
-        F.count_distinct("assignee").alias("team_size"),
-        F.count_if(busy).alias("team_wip"),
+    return features.groupBy("project_key", "assignee").agg(
+        F.sum("story_points").alias("points"), F.count_if(busy).alias("busy")
+    )
+
+
+def project_stats(pairs):
+    """Complexity per person and work in progress per project. Nobody is no person."""
+    people = F.greatest(F.count("assignee"), F.lit(1))
+    return pairs.groupBy("project_key").agg(
+        rounded(F.sum("points") / people, 2).alias("complexity_per_person"), F.sum("busy").alias("team_wip")
     )
 
 
-def assignee_stats(features):
+def assignee_stats(pairs):
     """Points per assignee across all projects; tickets of nobody are left out."""
-    owned = features.where(F.col("assignee").isNotNull())
-    return owned.groupBy("assignee").agg(F.sum("story_points").alias("assignee_load"))
+    owned = pairs.where(F.col("assignee").isNotNull())
+    return owned.groupBy("assignee").agg(F.sum("points").alias("assignee_load"))
 
 
 def team_features(features):
     """Add complexity_per_person, team_wip and assignee_load.
 
-    Reads `features` three times; stage it first when it is costly to derive.
+    Reads `features` twice; stage it first when it is costly to derive.
     """
-    per_person = rounded(F.col("project_points") / F.greatest(F.col("team_size"), F.lit(1)), 2)
-    projects = project_stats(features).select(
-        "project_key", per_person.alias("complexity_per_person"), "team_wip"
-    )
-    attached = features.join(settle(projects, "projects"), "project_key", "left").join(
-        settle(assignee_stats(features), "assignees"), "assignee", "left"
+    pairs = settle(workload(features), "workload")
+    attached = features.join(project_stats(pairs), "project_key", "left").join(
+        assignee_stats(pairs), "assignee", "left"
     )
     return attached.withColumns(
         {

@@ -18,11 +18,11 @@ from lateline.operators.labels import delay_label
 from lateline.operators.team import latest_sentiment, merge_sentiment, team_features
 from lateline.plans import risk_model
 from lateline.plans.training import labelled_features, project_delay_summary
-from lateline.schemas import MESSAGE_PAGE, issue_page
 from lateline.session import prepare
 from lateline.sources import star
 from lateline.sources.catalog import register_table
 from lateline.sources.lake import Lake
+from lateline.sources.pages import read_issue_pages, read_message_pages
 from lateline.sources.staging import new_path, settle
 from lateline.streaming import quality as stream_quality
 from lateline.streaming import sentiment as stream_sent
@@ -458,14 +458,21 @@ def q_anomaly_analysis(spark, sf_dir):
 
 def q_sprint_parse(spark, sf_dir):
     entries = star.sprint_texts(star.table(spark, sf_dir, "lineitem"))
-    parsed = entries.withColumn("s", parse_sprint(F.col("entry"))).where(F.col("s").isNotNull())
+    readable = entries.where(F.col("entry").contains("["))
+    parsed = readable.withColumn("s", parse_sprint(F.col("entry")))
     return parsed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[f"s.{name}" for name in PARTS])
 
 
+def _landed(pages):
+    """Pages as files in a folder, as a crawler leaves them."""
+    path = new_path(pages.sparkSession, "pages")
+    pages.write.text(path)
+    return path
+
+
 def _flat_issues(spark, sf_dir):
-    schema = issue_page(star.POINTS_FIELD, star.SPRINT_FIELD)
-    pages = star.raw_issue_pages(spark, sf_dir).select(F.from_json("value", schema).alias("p")).select("p.*")
-    return flatten.flatten_issues(flatten.explode_issues(pages), star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF)
+    path = _landed(star.raw_issue_pages(spark, sf_dir))
+    return read_issue_pages(spark, path, star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF)
 
 
 def q_issue_flatten(spark, sf_dir):
@@ -483,9 +490,8 @@ def q_issue_flatten(spark, sf_dir):
 
 
 def q_message_flatten(spark, sf_dir):
-    pages = star.raw_message_pages(spark, sf_dir).select(F.from_json("value", MESSAGE_PAGE).alias("p")).select("p.*")
-    flat = flatten.flatten_messages(flatten.explode_messages(pages), oldest=100, ingested_at=star.AS_OF)
-    return flat.drop("thread_ts")
+    path = _landed(star.raw_message_pages(spark, sf_dir))
+    return read_message_pages(spark, path, oldest=100, ingested_at=star.AS_OF).drop("thread_ts")
 
 
 def q_nested_json(spark, sf_dir):
@@ -645,15 +651,14 @@ def q_stream_dedup(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-def _landed_pages(spark, sf_dir):
-    path = new_path(spark, "pages")
-    star.raw_issue_pages(spark, sf_dir).write.text(path)
-    return path
+def _ticket_stream(spark, sf_dir):
+    path = _landed(star.raw_issue_pages(spark, sf_dir))
+    pages = stream_silver_pages.page_stream(spark, path, star.POINTS_FIELD, star.SPRINT_FIELD)
+    return stream_silver_pages.silver_tickets(pages, star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF)
 
 
 def q_stream_silver(spark, sf_dir):
-    pages = stream_silver_pages.page_stream(spark, _landed_pages(spark, sf_dir), star.POINTS_FIELD, star.SPRINT_FIELD)
-    tickets = stream_silver_pages.silver_tickets(pages, star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF)
+    tickets = _ticket_stream(spark, sf_dir)
     out = new_path(spark, "silver")
     _drain(stream_silver_pages.write_silver(tickets, out, out + "-checkpoint"))
     mark = "_pii_redaction"
@@ -668,8 +673,7 @@ def q_stream_silver(spark, sf_dir):
 
 
 def q_stream_quality_alerts(spark, sf_dir):
-    pages = stream_silver_pages.page_stream(spark, _landed_pages(spark, sf_dir), star.POINTS_FIELD, star.SPRINT_FIELD)
-    tickets = stream_silver_pages.silver_tickets(pages, star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF)
+    tickets = _ticket_stream(spark, sf_dir)
     out = new_path(spark, "alerts")
     _drain(stream_quality.check_batches(tickets, out, out + "-checkpoint", as_of=star.AS_OF))
     count = F.get_json_object("payload", "$.violations_count").cast("long")
