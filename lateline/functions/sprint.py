@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lateline.fixed_values import WHITE_SPACE_CHARACTERS
+from lateline.fixed_values import WHITE_SPACE, WHITE_SPACE_CHARACTERS
 
 # our name -> the tracker's name
 PARTS = {
@@ -25,25 +25,21 @@ def _bind(column, body):
     return F.get(F.transform(F.array(column), body), F.lit(0))
 
 
+def _value(inner, key):
+    """The value behind the last `key =` among comma-separated pairs; null without one."""
+    blank = f"[{WHITE_SPACE}]*"
+    found = F.regexp_extract(F.concat(F.lit(","), inner), f"(?s)^.*,{blank}{key}{blank}(=[^,]*)", 1)
+    return F.when(found != "", F.nullif(_strip(F.substr(found, F.lit(2))), F.lit("<null>")))
+
+
 def parse_sprint_text(entry):
     """A serialized sprint as a struct; null without brackets. Of a repeated key the last counts."""
     inner = F.regexp_extract(entry, r"(?s)\[(.*)\]", 1)
-    pairs = F.transform(
-        F.filter(F.split(inner, ","), lambda pair: F.instr(pair, "=") > 0),
-        lambda pair: F.struct(
-            _strip(F.substring_index(pair, "=", 1)).alias("key"),
-            _strip(F.substr(pair, F.instr(pair, "=") + 1)).alias("value"),
-        ),
-    )
-
-    def value(known, key):
-        last = F.try_element_at(F.filter(known, lambda pair: pair["key"] == key), F.lit(-1))
-        return F.nullif(last["value"], F.lit("<null>"))
 
-    def sprint(known):
-        return F.struct(*[value(known, theirs).alias(ours) for ours, theirs in PARTS.items()])
+    def sprint(pairs):
+        return F.struct(*[_value(pairs, theirs).alias(ours) for ours, theirs in PARTS.items()])
 
-    return F.when(entry.contains("[") & entry.contains("]"), _bind(pairs, sprint))
+    return F.when(entry.contains("[") & entry.contains("]"), _bind(inner, sprint))
 
 
 def parse_sprint(entry):

@@ -4,9 +4,9 @@ Invalid categories are found apart: a pass that emits offending values only,
 so a clean table shuffles nothing for them.
 """
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lateline import fixed_values as fv
@@ -15,13 +15,6 @@ from lateline.functions.text import percent
 from lateline.sources.staging import settle
 
 
-@dataclass
-class QualityReport:
-    summary: DataFrame  # one row per group
-    violations: DataFrame  # one row per group and broken rule
-    metrics: DataFrame  # one row per group, column and metric
-
-
 def _profile(df, rules, keys):
     measures = [F.count("*").alias("row_count")]
     for name, rule in rules.items():
@@ -118,47 +111,70 @@ def _checks(rules, columns):
     return violations, metrics
 
 
-def quality_report(df, rules=None, keys=()):
-    """Check `df` against the rules, as a whole or per group."""
-    rules, keys = rules or fv.QUALITY_RULES, list(keys)
-    profile = settle(_profile(df, rules, keys), "profile")
-    checks, measured = _checks(rules, df.columns)
-    shown = ["column", "rule", "expected", "actual", "message"]
-    violations = profile.select(*keys, F.explode(F.array_compact(F.array(*checks))).alias("_v"))
-    violations = violations.select(*keys, *[f"_v.{name}" for name in shown]).withColumn(
-        "invalid_values", F.lit(None).cast("array<string>")
-    )
-    offenders = _offenders(df, rules, keys)
-    if offenders is not None:
-        bad = _offender_summary(settle(offenders, "offenders"), keys)
-        text = F.concat(F.lit("Found "), F.col("invalid_count").cast("string"), F.lit(" invalid categorical values"))
-        violations = violations.unionByName(
-            bad.select(
-                *keys,
-                "column",
-                F.lit("allowed_values").alias("rule"),
-                F.lit(None).cast("double").alias("expected"),
-                F.lit(None).cast("double").alias("actual"),
-                text.alias("message"),
-                "invalid_values",
+class QualityReport:
+    """The outcome of the checks; each table is made when it is first asked for.
+
+    `df` is read once for the profile and once for invalid categories, so stage
+    it first when it is costly to derive.
+    """
+
+    def __init__(self, df, rules, keys):
+        self.df, self.rules, self.keys = df, rules, keys
+
+    @cached_property
+    def _profile(self):
+        """One row per group."""
+        return settle(_profile(self.df, self.rules, self.keys), "profile")
+
+    @cached_property
+    def metrics(self):
+        """One row per group, column and metric."""
+        measured = _checks(self.rules, self.df.columns)[1]
+        return self._profile.select(*self.keys, F.inline(F.array(*measured))).where(F.col("value").isNotNull())
+
+    @cached_property
+    def violations(self):
+        """One row per group and broken rule."""
+        checks = _checks(self.rules, self.df.columns)[0]
+        broken = self._profile.select(*self.keys, F.explode(F.array_compact(F.array(*checks))).alias("_v"))
+        found = broken.select(*self.keys, "_v.*", F.lit(None).cast("array<string>").alias("invalid_values"))
+        offenders = _offenders(self.df, self.rules, self.keys)
+        if offenders is not None:
+            bad = _offender_summary(settle(offenders, "offenders"), self.keys)
+            text = F.concat(F.lit("Found "), F.col("invalid_count").cast("string"), F.lit(" invalid categorical values"))
+            found = found.unionByName(
+                bad.select(
+                    *self.keys,
+                    "column",
+                    F.lit("allowed_values").alias("rule"),
+                    F.lit(None).cast("double").alias("expected"),
+                    F.lit(None).cast("double").alias("actual"),
+                    text.alias("message"),
+                    "invalid_values",
+                )
             )
+        return settle(found, "violations")
+
+    @cached_property
+    def summary(self):
+        """One row per group: passed, number of checks and violations, rows, columns."""
+        broken = self.violations.groupBy(*self.keys).agg(F.count("*").alias("violations_count"))
+        heads = self._profile.select(*self.keys, "row_count")
+        if self.keys:
+            joined = heads.join(broken, self.keys, "left")
+        else:
+            joined = heads.withColumn("violations_count", broken.scalar())
+        count = F.coalesce("violations_count", F.lit(0))
+        return joined.select(
+            *self.keys,
+            (count == 0).alias("passed"),
+            F.lit(sum(len(rule) for rule in self.rules.values())).alias("total_checks"),
+            count.alias("violations_count"),
+            "row_count",
+            F.lit(len(self.df.columns)).alias("column_count"),
         )
-    violations = settle(violations, "violations")
-    metrics = profile.select(*keys, F.inline(F.array(*measured)))
-    metrics = metrics.where(F.col("value").isNotNull())
-    broken = violations.groupBy(*keys).agg(F.count("*").alias("violations_count"))
-    heads = profile.select(*keys, "row_count")
-    if keys:
-        joined = heads.join(broken, keys, "left")
-    else:
-        joined = heads.withColumn("violations_count", broken.scalar())
-    count = F.coalesce("violations_count", F.lit(0))
-    summary = joined.select(
-        *keys,
-        (count == 0).alias("passed"),
-        F.lit(sum(len(rule) for rule in rules.values())).alias("total_checks"),
-        count.alias("violations_count"),
-        "row_count",
-        F.lit(len(df.columns)).alias("column_count"),
-    )
-    return QualityReport(summary, violations, metrics)
+
+
+def quality_report(df, rules=None, keys=()):
+    """Check `df` against the rules, as a whole or per group."""
+    return QualityReport(df, rules or fv.QUALITY_RULES, list(keys))

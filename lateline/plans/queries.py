@@ -131,7 +131,7 @@ def q_sentiment_score(spark, sf_dir):
 
 
 def q_conversation_sentiment(spark, sf_dir):
-    turns = star.table(spark, sf_dir, "conversations")
+    turns = star.texts(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", "role", sent.score_text(F.col("text")).alias("sentiment_score"))
 
 
@@ -223,7 +223,7 @@ def q_ranked_factors(spark, sf_dir):
 
 
 def _quality(spark, sf_dir, keys=()):
-    tickets = star.tickets(spark, sf_dir, None).select(*QUALITY_COLUMNS)
+    tickets = settle(star.tickets(spark, sf_dir, None).select(*QUALITY_COLUMNS), "tickets")
     return quality.quality_report(tickets, QUALITY_RULES, keys)
 
 
@@ -299,7 +299,7 @@ def q_baseline_roundtrip(spark, sf_dir):
 
 
 def q_retrain_requests(spark, sf_dir):
-    envelopes = star.alert_envelopes(star.table(spark, sf_dir, "events"))
+    envelopes = star.alert_envelopes(star.texts(spark, sf_dir, "events"))
     return alerts.retrain_requests(envelopes, ["PROJ", "ALPHA"], "event_id")
 
 
@@ -307,13 +307,13 @@ def q_retrain_requests(spark, sf_dir):
 
 
 def q_secret_redaction(spark, sf_dir):
-    documents = star.table(spark, sf_dir, "documents")
+    documents = star.texts(spark, sf_dir)
     text = F.col("text")
     return documents.select("doc_id", redact_secrets(text).alias("redacted"), count_secrets(text).alias("secrets"))
 
 
 def q_pii_entities(spark, sf_dir):
-    documents = star.table(spark, sf_dir, "documents")
+    documents = star.texts(spark, sf_dir)
     spans = documents.select("doc_id", F.explode(entity_spans(F.col("text"))).alias("s"))
     return spans.select(
         "doc_id", F.col("s.type").alias("entity_type"), F.col("s.begin").alias("begin_at"), F.col("s.end").alias("end_at")
@@ -321,13 +321,13 @@ def q_pii_entities(spark, sf_dir):
 
 
 def q_page_entities(spark, sf_dir):
-    pages = star.table(spark, sf_dir, "pages")
+    pages = star.texts(spark, sf_dir, "pages")
     spans = pages.select("page_id", F.explode(entity_spans(F.col("html"))).alias("s"))
     return spans.groupBy("page_id", F.col("s.type").alias("entity_type")).agg(F.count("*").alias("entities"))
 
 
 def _redacted_documents(spark, sf_dir):
-    return redaction.redact_records(star.table(spark, sf_dir, "documents"), ["text"])
+    return redaction.redact_records(star.texts(spark, sf_dir), ["text"])
 
 
 def q_document_redaction(spark, sf_dir):
@@ -347,13 +347,13 @@ def q_redaction_summary(spark, sf_dir):
 
 def q_span_redaction(spark, sf_dir):
     """Documents redacted by a table of spans found earlier."""
-    documents = star.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = star.texts(spark, sf_dir).select("doc_id", "text")
     spans = documents.select("doc_id", F.inline(entity_spans(F.col("text"))))
     return redaction.apply_span_table(documents, settle(spans, "spans"), "doc_id")
 
 
 def q_text_chunks(spark, sf_dir):
-    documents = star.table(spark, sf_dir, "documents").repartition("doc_id")
+    documents = star.texts(spark, sf_dir)
     return redaction.chunk_documents(documents, CHUNK_BYTES, "doc_id")
 
 
@@ -426,7 +426,7 @@ def q_anomaly_prompts(spark, sf_dir):
 
 
 def _parsed_replies(spark, sf_dir):
-    return replies.parse_replies(star.replies(star.table(spark, sf_dir, "events")))
+    return replies.parse_replies(star.replies(star.texts(spark, sf_dir, "events")))
 
 
 def q_reply_parse(spark, sf_dir):
@@ -457,7 +457,7 @@ def q_anomaly_analysis(spark, sf_dir):
 
 
 def q_sprint_parse(spark, sf_dir):
-    entries = star.sprint_texts(star.table(spark, sf_dir, "lineitem"))
+    entries = star.sprint_texts(star.texts(spark, sf_dir, "lineitem"))
     readable = entries.where(F.col("entry").contains("["))
     parsed = readable.withColumn("s", parse_sprint(F.col("entry")))
     return parsed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[f"s.{name}" for name in PARTS])
@@ -502,7 +502,7 @@ def q_nested_json(spark, sf_dir):
 
 def q_key_validation(spark, sf_dir):
     """Project and issue keys, well formed and not, with the verdict on each."""
-    orders = star.table(spark, sf_dir, "orders")
+    orders = star.texts(spark, sf_dir, "orders")
     customers = star.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     key, segment = F.col("o_orderkey"), F.col("c_mktsegment")

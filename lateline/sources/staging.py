@@ -38,6 +38,16 @@ def settle(df, label="stage"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan):
+    """Spread a scan that is cut into too few tasks to keep the cores busy.
+
+    A small file is read by one task however heavy the work on its rows is. An
+    input with two tasks per core or more is returned as it is, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
+
+
 def release_staged(spark):
     """Delete what this application staged, once its results have been consumed."""
     jvm = spark.sparkContext._jvm

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lateline.functions.numbers import choose, iso_text
 from lateline.functions.text import word_count
 from lateline.operators.sentiment import score_text
+from lateline.sources.staging import spread
 
 AS_OF = "2001-12-01T00:00:00Z"
 MESSAGES_AS_OF = "2024-01-31T00:00:00Z"
@@ -34,6 +35,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir, name="documents"):
+    """A table whose rows take real work, spread over the cores where it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _number_list(column, values):
     cases = {position: value for position, value in enumerate(values[:-1])}
     return choose(column, cases, values[-1])
@@ -55,7 +61,7 @@ def order_measures(lineitem):
 
 def ticket_heads(spark, sf_dir):
     """The ticket columns that come from orders and customers alone."""
-    orders = table(spark, sf_dir, "orders")
+    orders = texts(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
@@ -98,8 +104,8 @@ def tickets(spark, sf_dir, description="words"):
     joined = joined.withColumns(zeros)
     if description is None:
         return joined
-    documents = table(spark, sf_dir, "documents")
-    size = documents.agg(F.count("*")).scalar()
+    documents = texts(spark, sf_dir)
+    size = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     if description == "words":
         carried = documents.select("doc_id", word_count(F.col("text")).alias("description_word_count"))
     else:
@@ -110,7 +116,7 @@ def tickets(spark, sf_dir, description="words"):
 
 def raw_messages(spark, sf_dir):
     """Events as chat messages, scored by their value."""
-    return messages_of(table(spark, sf_dir, "events"))
+    return messages_of(texts(spark, sf_dir, "events"))
 
 
 def messages_of(events):
@@ -142,7 +148,7 @@ POINTS_FIELD, SPRINT_FIELD = "customfield_10016", "customfield_10020"
 def raw_issues(spark, sf_dir):
     """Orders as nested tracker issues (id, key, fields), with the oddities of real ones:
     null objects, points that are no number, sprints as objects and as texts."""
-    orders = table(spark, sf_dir, "orders")
+    orders = texts(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
@@ -211,7 +217,7 @@ def raw_issue_pages(spark, sf_dir):
 
 def raw_message_pages(spark, sf_dir):
     """Events as landed channel pages, as JSON text in `value`; some are notices or blank."""
-    events = table(spark, sf_dir, "events")
+    events = texts(spark, sf_dir, "events")
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
     message = F.struct(
         F.when(kind == "signup", "channel_join").alias("subtype"),
