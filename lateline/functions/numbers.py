@@ -19,6 +19,11 @@ def number_or_zero(column):
     return F.coalesce(number(column), F.lit(0.0))
 
 
+def exact_mean(column):
+    """Mean of values with few decimals, summed exactly: the same in whatever order rows come."""
+    return F.try_divide(F.sum(column.cast("decimal(20,10)")).cast("double"), F.count(column))
+
+
 def choose(column, mapping, default):
     """Value of `column` under a small fixed mapping, as one CASE expression."""
     result = None

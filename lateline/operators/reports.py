@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lateline import fixed_values as fv
-from lateline.functions.numbers import rounded
+from lateline.functions.numbers import exact_mean, rounded
 from lateline.functions.text import fixed, percent
 from lateline.operators.sentiment import first_anomalies, sentiment_outlook
 
@@ -20,7 +20,7 @@ def project_risk(predictions):
     return predictions.groupBy(KEY).agg(
         F.count("*").alias("total_tickets"),
         *_level_counts(),
-        rounded(F.avg(F.coalesce("risk_score", F.lit(0.0))), 4).alias("avg_risk_score"),
+        rounded(exact_mean(F.coalesce("risk_score", F.lit(0.0))), 4).alias("avg_risk_score"),
     )
 
 
@@ -127,7 +127,7 @@ def high_risk_digest(predictions, keep=fv.DIGEST_TICKETS):
 def score_digest(predictions):
     """The distribution of scores of each project as text."""
     summed = predictions.groupBy(KEY).agg(
-        F.count("*").alias("n"), *_level_counts(), F.avg(F.coalesce("risk_score", F.lit(0.0))).alias("mean")
+        F.count("*").alias("n"), *_level_counts(), exact_mean(F.coalesce("risk_score", F.lit(0.0))).alias("mean")
     )
     text = F.concat(
         F.lit("Risk Distribution: "),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lateline import fixed_values as fv
-from lateline.functions.numbers import iso_text, number, rounded
+from lateline.functions.numbers import exact_mean, iso_text, number, rounded
 
 LEXICON = {**fv.GENERAL_LEXICON, **fv.ENGINEERING_LEXICON}
 _NOT_A_WORD = "[^a-z0-9_']+"
@@ -66,7 +66,7 @@ def sentiment_series(messages, window_hours=24, keys=("project_key",), unit=None
         .where(F.col("_start").isNotNull())
         .groupBy(*keys, "_start")
         .agg(
-            rounded(F.avg(score), 4).alias("avg_sentiment"),
+            rounded(exact_mean(score), 4).alias("avg_sentiment"),
             F.count("*").alias("message_count"),
             rounded(F.coalesce(F.stddev_samp(score), F.lit(0.0)), 4).alias("std_dev"),
         )

@@ -12,6 +12,11 @@ def _r(x, k):
     return f"(floor(({x}) * 1e{k} + 0.5) / 1e{k})"
 
 
+def _mean(x):
+    """Mean by an exact sum."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(20, 10))) AS DOUBLE) / count({x})"
+
+
 def _fixed(x, k):
     """Text with exactly k decimals."""
     units = f"CAST(floor(abs({x}) * 1e{k} + 0.5) AS BIGINT)"
@@ -150,7 +155,7 @@ messages AS (
 def _series(unit="day", keys="project_key,", source="messages", name="series", where="true"):
     return f""",
 {name} AS (
-  SELECT {keys} {_iso(f"date_trunc('{unit}', ts)")} AS window_start, {_r('avg(sentiment_score)', 4)} AS avg_sentiment,
+  SELECT {keys} {_iso(f"date_trunc('{unit}', ts)")} AS window_start, {_r(_mean('sentiment_score'), 4)} AS avg_sentiment,
     count(*) AS message_count, {_r('coalesce(stddev_samp(sentiment_score), 0)', 4)} AS std_dev
   FROM {source} GROUP BY {keys} date_trunc('{unit}', ts) HAVING {where})"""
 
@@ -391,7 +396,7 @@ SCORE_DIGEST = f""",
 score_digest AS (
   SELECT project_key, 'Risk Distribution: ' || count(*) FILTER (WHERE risk_level = 'High') || ' High, '
     || count(*) FILTER (WHERE risk_level = 'Medium') || ' Medium, ' || count(*) FILTER (WHERE risk_level = 'Low') || ' Low' || chr(10)
-    || 'Average Risk Score: ' || {_percent('avg(risk_score)', 2)} || chr(10) || 'Total Tickets Scored: ' || count(*) AS score_digest
+    || 'Average Risk Score: ' || {_percent(_mean('risk_score'), 2)} || chr(10) || 'Total Tickets Scored: ' || count(*) AS score_digest
   FROM scored GROUP BY project_key)"""
 
 SENTIMENT_DIGEST = f""",
@@ -534,7 +539,7 @@ FROM pieces GROUP BY lang"""
     sql["span_redaction"] = f"WITH {_pieces('documents', 'doc_id', 'text')} SELECT doc_id, {_FILLED} AS text FROM pieces"
 
     sql["project_risk_summary"] = f"""WITH {HEADS} {_levels()}
-SELECT project_key, count(*) AS total_tickets, {LEVEL_COUNTS}, {_r('avg(risk_score)', 4)} AS avg_risk_score FROM scored GROUP BY project_key"""
+SELECT project_key, count(*) AS total_tickets, {LEVEL_COUNTS}, {_r(_mean('risk_score'), 4)} AS avg_risk_score FROM scored GROUP BY project_key"""
     rated = f"WITH {FEATURES}, {MESSAGES} {_series()} {MOOD} {WITH_MOOD} {_levels('rated')}"
     sql["risk_table"] = f"""WITH {FEATURES} {_levels('features')}
 SELECT issue_key, substr(summary, 1, 60) AS summary, status, {_percent('risk_score')} AS score, risk_level,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lateline import fixed_values as fv
-from lateline.functions.numbers import iso_text, rounded
+from lateline.functions.numbers import exact_mean, iso_text, rounded
 from lateline.operators.sentiment import sent_at, sentiment_anomalies
 
 
@@ -22,7 +22,7 @@ def windowed_sentiment(timed, length="1 day", keys=("project_key",)):
     """Sentiment per closed window. Partial sums per task keep hot projects cheap."""
     score = F.col("sentiment_score")
     grouped = timed.groupBy(*keys, F.window("sent", length).alias("_w")).agg(
-        F.avg(score).alias("_mean"), F.count("*").alias("message_count"), F.stddev_samp(score).alias("_std")
+        exact_mean(score).alias("_mean"), F.count("*").alias("message_count"), F.stddev_samp(score).alias("_std")
     )
     return grouped.select(
         *keys,
