@@ -16,8 +16,9 @@ def resolve_field(fields, name):
     The id becomes part of the read schema, so this one value is looked up when
     the query is built.
     """
-    found = fields.where(F.col("name") == name).agg(F.max_by("id", F.monotonically_increasing_id()).alias("id")).first()
-    if found is None or found["id"] is None:
+    placed = fields.where(F.col("name") == name).withColumn("_place", F.monotonically_increasing_id())
+    found = placed.orderBy(F.col("_place").desc()).first()
+    if found is None:
         raise KeyError(f"no field named {name!r}")
     return found["id"]
 

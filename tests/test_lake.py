@@ -1,0 +1,168 @@
+import json
+import os
+from datetime import date
+
+import pytest
+from conftest import AS_OF, ticket
+from pyspark.sql import functions as F
+
+from lateline import fixed_values as fv
+from lateline.operators import incremental as I
+from lateline.plans.ingestion import ingest_messages, ingest_tickets
+from lateline.schemas import FEEDBACK, STATE, TICKET
+from lateline.sources.catalog import register_table
+from lateline.sources.lake import Lake
+from lateline.sources.staging import new_path, release_staged, settle, shared_dir, spread
+
+
+@pytest.fixture
+def lake(spark, tmp_path):
+    return Lake(spark, str(tmp_path / "lake"))
+
+
+def two_projects(make_tickets):
+    return make_tickets(ticket(1), ticket(2, project_key="ALPHA", issue_key="ALPHA-2"))
+
+
+def test_silver_layout_and_pruning(lake, make_tickets):
+    path = lake.write_silver(two_projects(make_tickets), "jira", "2024-01-05")
+    lake.write_silver(two_projects(make_tickets), "jira", "2024-01-06")
+    assert os.path.isdir(f"{path}/project=PROJ/date=2024-01-05")
+    assert any(f.endswith(".snappy.parquet") for f in os.listdir(f"{path}/project=PROJ/date=2024-01-05"))
+    assert lake.read_silver("jira").count() == 4
+    one = lake.read_silver("jira", "PROJ", "2024-01-06", TICKET)
+    assert [r["issue_key"] for r in one.collect()] == ["PROJ-1"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "project#" in plan.split("PartitionFilters")[1][:200]
+    first = lake.read_silver("jira", ["PROJ"], schema=TICKET).first()
+    assert first["sprint_history"][0]["sprint_name"] == "Sprint 1"  # nested stays nested
+
+
+def test_json_text_option(lake, make_tickets):
+    lake.write_silver(two_projects(make_tickets), "jira", "2024-01-05", json_text=True)
+    row = lake.read_silver("jira", "PROJ").first()
+    assert json.loads(row["sprint_history"])[0]["sprint_name"] == "Sprint 1" and row["labels"] == "[]"
+
+
+def test_missing_path(lake):
+    assert lake.read_silver("jira", "PROJ", schema=TICKET).count() == 0
+    with pytest.raises(FileNotFoundError):
+        lake.read_gold()
+    with pytest.raises(ValueError, match="No training data"):
+        lake.training_tickets("jira", ["PROJ"], TICKET)
+
+
+def test_merge_schema(lake, spark):
+    lake.write_gold(spark.createDataFrame([("P", 1)], "project_key string, a int"), run_date="2024-01-01")
+    lake.write_gold(spark.createDataFrame([("P", 2)], "project_key string, b int"), run_date="2024-01-02")
+    rows = lake.read_gold(merge_schema=True).orderBy("date").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(1, None), (None, 2)]
+
+
+def test_bronze_expiry(lake, make_tickets):
+    for day in ("2024-01-01", "2024-01-31", "2024-03-01"):
+        lake.write_bronze(two_projects(make_tickets), "jira", day)
+    dropped = lake.expire_bronze(date(2024, 3, 1))
+    assert len(dropped) == 2 and all("date=2024-01-01" in d for d in dropped)
+    assert lake.read_bronze("jira", TICKET).count() == 4
+    assert lake.expire_bronze(date(2024, 3, 1)) == []
+
+
+def test_feedback(lake, spark):
+    rows = [("PROJ", "approved"), ("PROJ", None), ("PROJ", "great"), ("../x", "edited"), (None, "edited")]
+    df = spark.createDataFrame([(p, k, "{}", "{}") for p, k in rows], "project_key string, feedback_type string, original_report string, edited_report string")
+    valid, rejected = lake.append_feedback(df, AS_OF)
+    assert (valid.count(), rejected.count()) == (2, 3)
+    stored = lake.read_bronze("feedback", FEEDBACK)
+    assert sorted(r["feedback_type"] for r in stored.collect()) == ["approved", "edited"]
+    assert {r["timestamp"] for r in stored.collect()} == {AS_OF}
+
+
+def test_baseline_versions(lake, spark):
+    base = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, mean double")
+    lake.save_baseline(base, "v1")
+    lake.save_baseline(base.where("feature = 'a'"), "v2")
+    lake.save_baseline(base.where("feature = 'b'"), "v2")
+    assert lake.load_baseline("v1").count() == 2
+    assert [r["feature"] for r in lake.load_baseline("v2").collect()] == ["b"]
+
+
+def test_catalog(lake, spark, make_tickets):
+    path = lake.write_gold(two_projects(make_tickets).select("issue_key", "project_key"), run_date="2024-01-05")
+    columns, partitions = [("issue_key", "string"), ("project_key", "string")], [("project", "string"), ("date", "string")]
+    for _ in range(2):  # created, then updated
+        table = register_table(spark, "shop", "features", path, columns, partitions)
+    assert spark.sql("SELECT issue_key FROM shop.features WHERE project = 'ALPHA'").first()[0] == "ALPHA-2"
+    assert table.count() == 2
+
+
+def test_marks(spark, lake):
+    rows = [("P", "2024-01-05T00:00:00Z"), ("P", "2024-01-01T00:00:00Z"), ("NEW", "2020-01-01T00:00:00Z")]
+    df = spark.createDataFrame(rows, "project_key string, updated string")
+    state = spark.createDataFrame([("P", "2024-01-05 00:00"), ("IDLE", "2023-01-01 00:00")], STATE)
+    assert sorted(tuple(r) for r in I.since_mark(df, state).select("project_key", "updated").collect()) == [rows[2], rows[0]]
+    moved = {r[0]: r[1] for r in I.advance_marks(state, df, as_of="2024-02-01T10:20:30Z").collect()}
+    assert moved == {"P": "2024-02-01 10:20", "NEW": "2024-02-01 10:20", "IDLE": "2023-01-01 00:00"}
+    assert lake.load_state().count() == 0
+    lake.save_state(state)
+    lake.save_state(I.advance_marks(lake.load_state(), df, as_of="2024-02-01T10:20:30Z"))
+    assert {r[0]: r[1] for r in lake.load_state().collect()} == moved
+
+
+def test_recent_messages(spark):
+    df = spark.createDataFrame([("1704067200",), ("1704153600.0",), ("bad",), (None,)], "message_ts string")
+    assert I.recent_messages(df, 24, "2024-01-02T12:00:00Z").count() == 1
+    assert I.recent_messages(df, 48, "2024-01-02T12:00:00Z").count() == 2
+
+
+def test_latest_with_a_hot_key(spark):
+    """A third of all rows are copies of one ticket; each task passes on one of them."""
+    rows = [("HOT-1", f"2024-01-{1 + i % 28:02d}", f"run-{i:05d}") for i in range(1000)] + [(f"A-{i}", "2024-01-01", "run-0") for i in range(2000)]
+    df = spark.createDataFrame(rows + [("A-1", None, "run-9")], "issue_key string, updated string, ingested_at string")
+    latest = I.latest(df)
+    assert "WindowGroupLimit" in latest._jdf.queryExecution().executedPlan().toString()
+    assert latest.count() == 2001
+    hot = latest.where("issue_key = 'HOT-1'").first()
+    assert (hot["updated"], hot["ingested_at"]) == ("2024-01-28", "run-00979")
+    assert latest.where("issue_key = 'A-1'").first()["updated"] == "2024-01-01"
+
+
+def test_ticket_ingestion(lake, make_tickets):
+    batch = make_tickets(
+        ticket(1, description="mail a@b.io"),
+        ticket(2, project_key="ALPHA", issue_key="ALPHA-2", status="Lost"),
+    )
+    summary = {r["project_key"]: r for r in ingest_tickets(lake, batch, AS_OF).collect()}
+    assert (summary["PROJ"]["tickets_ingested"], summary["PROJ"]["pii_detected"], summary["PROJ"]["quality_passed"]) == (1, 1, True)
+    assert (summary["ALPHA"]["quality_passed"], summary["ALPHA"]["quality_violations"]) == (False, 1)
+    assert lake.read_silver("jira", "PROJ").first()["description"] == "mail [EMAIL]"
+    assert lake.read_bronze("jira", TICKET, "PROJ").first()["description"] == "mail a@b.io"
+    assert [(a["alert_type"], a["project_key"]) for a in lake.read_alerts().collect()] == [(fv.QUALITY_ALERT, "ALPHA")]
+    # a second run takes only what was updated since
+    again = make_tickets(ticket(1), ticket(3, updated="2024-05-01T00:00:00Z"))
+    assert ingest_tickets(lake, again, "2024-05-02T00:00:00Z").first()["tickets_ingested"] == 1
+
+
+def test_message_ingestion(lake, spark):
+    rows = [("P", "C1", str(1704067200 + i * 3600), "mail a@b.io" if i % 2 else "fine", 0.5 if i < 90 else -0.9) for i in range(96)]
+    df = spark.createDataFrame(rows, "project_key string, channel_id string, message_ts string, text string, sentiment_score double")
+    counts, series, anomalies = ingest_messages(lake, df, AS_OF, threshold=1.0)
+    row = counts.first()
+    assert (row["channel_id"], row["records"], row["pii_detected"]) == ("C1", 96, 48)
+    assert series.count() == 4 and [r["window_start"] for r in anomalies.collect()] == ["2024-01-04T00:00:00Z"]
+    assert lake.read_gold(fv.SENTIMENT_FEATURE_SET).count() == 4
+
+
+def test_staged_tables(spark):
+    df = settle(spark.range(10).withColumn("x", F.lit(None).cast("string")))
+    assert df.count() == 10 and df.schema["x"].dataType.simpleString() == "string"
+    assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+    assert new_path(spark) != new_path(spark)
+    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == 4
+    many = spark.range(100, numPartitions=16)
+    assert spread(many) is many
+
+
+def test_release(spark):
+    settle(spark.range(3))
+    assert release_staged(spark) and not release_staged(spark)
