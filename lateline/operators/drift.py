@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lateline import fixed_values as fv
 from lateline.functions.numbers import number, rounded
-from lateline.operators.order_stats import quantiles_of_counts, value_counts
+from lateline.operators.order_stats import quantile_parts, running_totals, value_counts
 from lateline.sources.staging import settle
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
@@ -25,20 +25,22 @@ def long_form(df, keys=(), features=fv.MODEL_FEATURES):
 def feature_profile(df, keys=(), features=fv.MODEL_FEATURES):
     """Mean, std, quartiles, range and count per feature (and key)."""
     groups = [*keys, "feature"]
-    counts = settle(value_counts(long_form(df, keys, features), groups, "value"), "histogram")
     value, n = F.col("value"), F.col("n")
-    basics = settle(
-        counts.groupBy(*groups).agg(
-            (F.sum(value * n) / F.sum(n)).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
-        ),
-        "basics",
+    counts = value_counts(long_form(df, keys, features), groups, "value").withColumn("weighted", value * n)
+    summed = running_totals(settle(counts, "histogram"), groups, "value", ["n", "weighted"])
+    mean = F.col("total_weighted") / F.col("total_n")
+    aggregates, quartiles = quantile_parts("value", QUARTILES)
+    profile = summed.groupBy(*groups).agg(
+        F.max(mean).alias("mean"),
+        F.sum(n * (value - mean) * (value - mean)).alias("_spread"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.max("total_n").alias("count"),
+        *aggregates,
     )
-    spread = F.sum(n * (value - F.col("mean")) * (value - F.col("mean")))
     # one value alone has no deviation
-    freedom = F.nullif(F.sum(n) - 1, F.lit(0))
-    deviations = counts.join(basics, groups).groupBy(*groups).agg(F.sqrt(spread / freedom).alias("std"))
-    quartiles = quantiles_of_counts(counts, groups, "value", QUARTILES)
-    return basics.join(deviations, groups).join(quartiles, groups).select(*groups, *PROFILE)
+    deviation = F.sqrt(F.col("_spread") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std")
+    return profile.select(*groups, "mean", deviation, *quartiles, "min", "max", "count").select(*groups, *PROFILE)
 
 
 def drift_report(baseline, current, threshold=fv.DRIFT_THRESHOLD_PCT, keys=()):

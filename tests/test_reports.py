@@ -114,9 +114,11 @@ def test_ticket_prompts(spark, scored):
     tickets = spark.createDataFrame([("P-1", "s", "d" * 900, "Bug", "Open", None)], "issue_key string, summary string, description string, issue_type string, status string, story_points double")
     prompt = R.classification_prompts(tickets).first()["prompt"]
     assert prompt.count("d" * 500) == 1 and "d" * 501 not in prompt and "Story Points: 0.0" in prompt
-    factors = spark.createDataFrame([("P-1", 2, "b", 1.0, 0.2), ("P-1", 1, "a", 15.0, 0.8)], "issue_key string, rank int, feature string, value double, importance double")
-    text = R.explanation_prompts(scored(row(1, 0.85)), factors).first()["prompt"]
-    assert "- a: value=15.0, importance=0.8\n- b: value=1.0, importance=0.2" in text and "Risk Score: 85%" in text
+    explained = R.explanation_prompts(scored(row(1, 0.85)), [("story_points", 0.2), ("days_in_status", 0.8), ("lost", 0.01)], k=2)
+    text = explained.first()["prompt"]
+    assert "- days_in_status: value=4.6, importance=0.8\n- story_points: value=3.0, importance=0.2" in text
+    assert "Risk Score: 85%" in text and "lost" not in text
+    assert "Exchange" not in explained._jdf.queryExecution().executedPlan().toString()
     assert text.endswith(fv.NO_CONTEXT_TEXT)
 
 

@@ -5,6 +5,7 @@ from conftest import AS_OF, many_tickets
 
 from lateline import fixed_values as fv
 from lateline.operators import scoring as S
+from lateline.plans import monitoring
 from lateline.plans import risk_model as M
 from lateline.plans.training import labelled_features, project_delay_summary
 from lateline.sources.lake import Lake
@@ -135,6 +136,19 @@ def test_training_from_the_lake(spark, tickets, tmp_path):
     model, metadata = M.load_model(spark, lake.path("models", "risk_model"))
     assert metadata["training_samples"] == 120 and len(metadata["fold_metrics"]) == 2
     assert M.score(lake.read_gold(), model).count() == 120
+
+    scored = monitoring.run_scoring(lake, run_date=AS_OF)
+    assert scored.count() == 120 and "risk_level" in scored.columns
+    same = monitoring.drift_status(lake, as_of=AS_OF)
+    assert {r["status"] for r in same.report.collect()} == {"stable"} and same.alerts.count() == 0
+    assert same.report.count() == len(fv.MODEL_FEATURES)
+    moved = monitoring.watch_drift(lake, "ALPHA", version="v1", as_of=AS_OF)
+    assert moved.summary.first()["needs_retrain"]
+    assert [r["alert_type"] for r in lake.read_alerts().collect()] == [fv.DRIFT_ALERT]
+    messages = spark.createDataFrame([("PROJ", "1704067200", 0.4)], "project_key string, message_ts string, sentiment_score double")
+    lake.write_silver(messages, "slack", AS_OF)
+    prompts = {r["project_key"]: r["prompt"] for r in monitoring.report_rows(lake, "May").collect()}
+    assert set(prompts) == {"PROJ", "ALPHA"} and "positive (avg: 0.400)" in prompts["PROJ"]
     with pytest.raises(ValueError, match="No training data"):
         M.run_training(lake, ["EMPTY"])
 
