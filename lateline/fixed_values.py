@@ -120,7 +120,28 @@ GENERAL_LEXICON = {
     "delayed": -0.9,
 }
 
+# rules of the published scoring model (Hutto and Gilbert, 2014)
 SCORE_NORMALISER = 15
+BOOST = 0.293
+BOOST_BY_DISTANCE = (1.0, 0.95, 0.9)
+NEGATION = -0.74
+SHOUTED = 0.733
+EXCLAMATION, EXCLAMATIONS_COUNTED = 0.292, 4
+QUESTION, QUESTIONS_COUNTED, MANY_QUESTIONS = 0.18, 3, 0.96
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
+
+# short lists of our own for the rules
+BOOSTERS = (
+    "absolutely", "completely", "especially", "extremely", "fully", "greatly", "highly", "hugely",
+    "incredibly", "more", "most", "particularly", "really", "so", "totally", "utterly", "very",
+)
+DAMPENERS = ("almost", "barely", "hardly", "less", "little", "marginally", "partly", "scarcely", "slightly", "somewhat")
+NEGATIONS = (
+    "aren't", "can't", "cannot", "couldn't", "didn't", "doesn't", "don't", "hadn't", "hasn't", "haven't", "isn't",
+    "neither", "never", "none", "nor", "not", "nothing", "nowhere", "shouldn't", "wasn't", "weren't", "without",
+    "won't", "wouldn't",
+)
+
 ANOMALY_SIGMAS = 2.0
 ANOMALY_MIN_WINDOWS = 3
 ANOMALY_TYPE = "negative_sentiment_drop"

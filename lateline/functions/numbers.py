@@ -33,6 +33,11 @@ def choose(column, mapping, default):
     return result.otherwise(default)
 
 
+def bind(column, body):
+    """`body` of the column's value, computed once however often `body` uses it."""
+    return F.get(F.transform(F.array(column), body), F.lit(0))
+
+
 def days_between(start, end):
     """Days from start to end, never negative, null as 0, one decimal."""
     micros_per_day = F.lit(86_400_000_000.0)

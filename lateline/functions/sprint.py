@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lateline.fixed_values import WHITE_SPACE, WHITE_SPACE_CHARACTERS
+from lateline.functions.numbers import bind
 
 # our name -> the tracker's name
 PARTS = {
@@ -20,11 +21,6 @@ def _strip(column):
     return F.btrim(column, F.lit(WHITE_SPACE_CHARACTERS))
 
 
-def _bind(column, body):
-    """`body` of the column's value, computed once however often `body` uses it."""
-    return F.get(F.transform(F.array(column), body), F.lit(0))
-
-
 def _value(inner, key):
     """The value behind the last `key =` among comma-separated pairs; null without one."""
     blank = f"[{WHITE_SPACE}]*"
@@ -39,12 +35,12 @@ def parse_sprint_text(entry):
     def sprint(pairs):
         return F.struct(*[_value(pairs, theirs).alias(ours) for ours, theirs in PARTS.items()])
 
-    return F.when(entry.contains("[") & entry.contains("]"), _bind(inner, sprint))
+    return F.when(entry.contains("[") & entry.contains("]"), bind(inner, sprint))
 
 
 def parse_sprint(entry):
     """A sprint entry, as its JSON text or serialized, as a struct."""
-    from_object = _bind(
+    from_object = bind(
         F.from_json(entry, _OBJECT),
         lambda read: F.struct(*[read[theirs].alias(ours) for ours, theirs in PARTS.items()]),
     )

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from lateline import fixed_values as fv
 from lateline.functions.numbers import moment
 from lateline.operators.sentiment import sent_at
-from lateline.sources.staging import settle
+from lateline.sources.staging import attach
 
 
 def with_marks(df, state, key="project_key"):
     """Attach each project's mark, null on its first run."""
-    return df.join(settle(state.select(key, "last_ingest_date"), "marks"), key, "left")
+    return attach(df, state.select(key, "last_ingest_date"), key)
 
 
 def since_mark(df, state, key="project_key", updated="updated"):

@@ -12,6 +12,7 @@ from lateline.functions.redaction import (
     redact_secrets,
     text_chunks,
 )
+from lateline.sources.staging import attach
 
 
 def redact_records(df, fields, extra=(), aws_secret=False):
@@ -62,7 +63,7 @@ def apply_span_table(documents, spans, key, text="text"):
     characters of that text.
     """
     gathered = spans.groupBy(key).agg(F.collect_list(F.struct("type", "begin", "end")).alias("_spans"))
-    joined = documents.join(gathered, key, "left")
+    joined = attach(documents, gathered, key)
     return joined.withColumn(text, apply_spans(F.col(text), F.col("_spans"))).drop("_spans")
 
 

@@ -6,44 +6,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lateline import fixed_values as fv
-from lateline.functions.numbers import exact_mean, iso_text, number, rounded
+from lateline.functions.numbers import bind, exact_mean, iso_text, number, rounded
 
 LEXICON = {**fv.GENERAL_LEXICON, **fv.ENGINEERING_LEXICON}
-_NOT_A_WORD = "[^a-z0-9_']+"
+_NOT_A_WORD = r"[^\p{L}\p{N}_']+"
+
+
+def _valence(word, by_valence):
+    cases = reduce(lambda done, item: done.when(word.isin(item[1]), F.lit(item[0])), by_valence, F.when(F.lit(False), 0.0))
+    return cases.otherwise(0.0)
+
+
+def _modified(words, lowered, at, terms, by_valence):
+    """The valence of the term at a position, changed by case and the three words before it."""
+    word = F.get(words, at)
+    base = _valence(F.get(lowered, at), by_valence)
+    shouted = (F.upper(word) == word) & F.exists(words, lambda w: F.upper(w) != w)
+    start = F.when(shouted, base + F.signum(base) * F.lit(fv.SHOUTED)).otherwise(base)
+
+    def look_back(value, distance):
+        before = F.get(lowered, at - distance["d"])
+        strength = F.when(before.isin(*fv.BOOSTERS), fv.BOOST).when(before.isin(*fv.DAMPENERS), -fv.BOOST).otherwise(0.0)
+        boosted = value + F.signum(value) * strength * distance["fades"]
+        turned = F.when(before.isin(*fv.NEGATIONS), F.lit(fv.NEGATION)).otherwise(1.0)
+        return F.when(before.isNull() | before.isin(terms), value).otherwise(boosted * turned)
+
+    steps = [F.struct(F.lit(d).alias("d"), F.lit(f).alias("fades")) for d, f in enumerate(fv.BOOST_BY_DISTANCE, 1)]
+    changed = F.aggregate(F.array(*steps), start, look_back)
+    but = F.array_position(lowered, "but") - 1
+    weight = F.when(but < 0, 1.0).when(at < but, fv.BEFORE_BUT).when(at > but, fv.AFTER_BUT).otherwise(1.0)
+    return changed * weight
+
+
+def _emphasis(text):
+    exclamations = F.least(F.regexp_count(text, F.lit("!")), F.lit(fv.EXCLAMATIONS_COUNTED)) * F.lit(fv.EXCLAMATION)
+    asked = F.regexp_count(text, F.lit(r"\?"))
+    questions = F.when(asked <= 1, 0.0).when(asked <= fv.QUESTIONS_COUNTED, asked * F.lit(fv.QUESTION))
+    return exclamations + questions.otherwise(fv.MANY_QUESTIONS)
 
 
 def score_text(text, lexicon=None):
     """Compound score in [-1, 1]: the summed valences s as s / sqrt(s*s + 15).
 
     `lexicon` maps a term to its valence and is a fixed list, so it is compiled
-    into the expression: messages are scored in place, without a join. A term
-    of two words is looked up among neighbouring words.
+    into the expression: messages are scored in place, without a join. Words
+    before a term strengthen, weaken or negate it; capitals, exclamation marks
+    and a "but" weigh in. A term of two words is looked up among neighbours.
     """
     lexicon = LEXICON if lexicon is None else lexicon
-    words = F.split(F.lower(text), _NOT_A_WORD)
-    single = {term: v for term, v in lexicon.items() if " " not in term}
-    phrases = {term: v for term, v in lexicon.items() if " " in term}
+    terms = [term for term in lexicon if " " not in term]
     by_valence = {}
-    for term, valence in single.items():
-        by_valence.setdefault(valence, []).append(term)
-
-    def valence_of(word):
-        cases = reduce(
-            lambda done, item: done.when(word.isin(item[1]), F.lit(item[0])),
-            by_valence.items(),
-            F.when(F.lit(False), F.lit(0.0)),
+    for term in terms:
+        by_valence.setdefault(lexicon[term], []).append(term)
+    phrases = {term: v for term, v in lexicon.items() if " " in term}
+    words = F.split(text, _NOT_A_WORD)
+
+    def summed(words):
+        return bind(F.transform(words, F.lower), lambda lowered: _total(words, lowered))
+
+    def _total(words, lowered):
+        hits = F.filter(F.transform(lowered, lambda word, i: F.when(word.isin(terms), i)), lambda at: at.isNotNull())
+        total = F.aggregate(
+            hits, F.lit(0.0), lambda seen, at: seen + _modified(words, lowered, at, terms, list(by_valence.items()))
         )
-        return cases.otherwise(0.0)
-
-    known = F.filter(words, lambda word: word.isin(list(single)))
-    total = F.aggregate(known, F.lit(0.0), lambda seen, word: seen + valence_of(word))
-    if phrases:
-        spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-        for phrase, valence in phrases.items():
-            hits = F.regexp_count(spaced, F.lit(f" {phrase.replace(' ', '  ')} "))
-            total = total + hits * F.lit(valence)
-    compound = total / F.sqrt(total * total + F.lit(float(fv.SCORE_NORMALISER)))
-    return F.coalesce(rounded(compound, 4), F.lit(0.0))
+        if phrases:
+            spaced = F.concat(F.lit(" "), F.array_join(lowered, "  "), F.lit(" "))
+            for phrase, valence in phrases.items():
+                found = F.regexp_count(spaced, F.lit(f" {phrase.replace(' ', '  ')} "))
+                total = total + F.when(spaced.contains(f" {phrase.replace(' ', '  ')} "), found).otherwise(0) * F.lit(valence)
+        return total
+
+    def compound(total):
+        loud = total + F.signum(total) * _emphasis(text)
+        return F.when(total == 0, 0.0).otherwise(loud / F.sqrt(loud * loud + F.lit(float(fv.SCORE_NORMALISER))))
+
+    return F.coalesce(rounded(bind(bind(words, summed), compound), 4), F.lit(0.0))
 
 
 def sent_at(message_ts):

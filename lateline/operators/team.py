@@ -1,8 +1,8 @@
 """Group features: aggregate first, then attach to each ticket.
 
-The aggregates come from a staged table, so Spark can bound their size before
-the join: small ones are broadcast and the tickets stay where they are; large
-ones are joined by a shuffle whose hot keys adaptive execution splits.
+The aggregates are staged, so Spark knows their size before the join: small
+ones are broadcast and the tickets stay where they are; large ones are joined
+by a shuffle whose hot keys adaptive execution splits.
 """
 
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from lateline import fixed_values as fv
 from lateline.functions.numbers import rounded
-from lateline.sources.staging import settle
+from lateline.sources.staging import attach, settle
 
 
 def workload(features):
@@ -45,9 +45,7 @@ def team_features(features):
     Reads `features` twice; stage it first when it is costly to derive.
     """
     pairs = settle(workload(features), "workload")
-    attached = features.join(project_stats(pairs), "project_key", "left").join(
-        assignee_stats(pairs), "assignee", "left"
-    )
+    attached = attach(attach(features, project_stats(pairs), "project_key"), assignee_stats(pairs), "assignee")
     return attached.withColumns(
         {
             "team_wip": F.coalesce("team_wip", F.lit(0)),
@@ -84,5 +82,5 @@ def merge_sentiment(features, series=None):
     zeros = {names[0]: F.lit(0.0), names[1]: F.lit(0.0), names[2]: F.lit(0)}
     if series is None:
         return features.withColumns(zeros)
-    joined = features.join(settle(latest_sentiment(series), "mood"), "project_key", "left")
+    joined = attach(features, latest_sentiment(series), "project_key")
     return joined.withColumns({name: F.coalesce(name, zero) for name, zero in zeros.items()})

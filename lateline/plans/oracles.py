@@ -189,17 +189,44 @@ outlook AS (
 
 
 def _scores(source, text, keys):
+    """Scores with the rules: each term, its case, the three words before it, "but", emphasis."""
     singles = ", ".join(f"({_lit(t)}, {v}e0)" for t, v in LEXICON.items() if " " not in t)
     pairs = ", ".join(f"({_lit(t)}, {v}e0)" for t, v in LEXICON.items() if " " in t)
+
+    def one_of(words):
+        return "(" + ", ".join(map(_lit, words)) + ")"
+
+    steps, value = "", "v0"
+    for d, fades in enumerate(fv.BOOST_BY_DISTANCE, 1):
+        before = f"(CASE WHEN i > {d} THEN lowered[i - {d}] END)"
+        strength = f"CASE WHEN {before} IN {one_of(fv.BOOSTERS)} THEN 0.293e0 WHEN {before} IN {one_of(fv.DAMPENERS)} THEN -0.293e0 ELSE 0e0 END"
+        turned = f"CASE WHEN {before} IN {one_of(fv.NEGATIONS)} THEN -0.74e0 ELSE 1e0 END"
+        skip = f"{before} IS NULL OR {before} IN (SELECT term FROM singles)"
+        steps += f""",
+step{d} AS (SELECT *, CASE WHEN {skip} THEN {value} ELSE ({value} + sign({value}) * ({strength}) * {fades}e0) * ({turned}) END AS v{d} FROM step{d - 1})"""
+        value = f"v{d}"
+    key_list = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
     return f""",
-split AS (SELECT {keys}, string_split_regex(lower({text}), '[^a-z0-9_'']+') AS words FROM {source}),
-terms AS (
-  SELECT {keys}, unnest(words) AS term FROM split
+singles(term, valence) AS (VALUES {singles}),
+pairs(term, valence) AS (VALUES {pairs}),
+split AS (SELECT {keys}, {text} AS body, string_split_regex({text}, '[^\\pL\\pN_\'\']+') AS words FROM {source}),
+both_cases AS (SELECT *, list_transform(words, lambda w: lower(w)) AS lowered FROM split),
+placed AS (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM both_cases),
+step0 AS (
+  SELECT s.*, valence + CASE WHEN upper(words[i]) = words[i] AND len(list_filter(words, lambda w: upper(w) <> w)) > 0
+    THEN sign(valence) * 0.733e0 ELSE 0e0 END AS v0
+  FROM placed s JOIN singles ON lowered[i] = term){steps},
+valences AS (
+  SELECT {keys}, v3 * CASE WHEN coalesce(list_position(lowered, 'but'), 0) = 0 OR list_position(lowered, 'but') = i THEN 1e0
+    WHEN i < list_position(lowered, 'but') THEN 0.5e0 ELSE 1.5e0 END AS v FROM step3
   UNION ALL
-  SELECT {keys}, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM split),
-lexicon(term, valence) AS (VALUES {singles}, {pairs}),
-totals AS (SELECT {keys}, sum(valence) AS total FROM terms JOIN lexicon USING (term) GROUP BY {keys}),
-scores AS (SELECT {keys}, {_r('total / sqrt(total * total + 15)', 4)} AS score FROM totals)"""
+  SELECT {key_list}, valence AS v FROM placed s JOIN pairs ON i < len(words) AND lowered[i] || ' ' || lowered[i + 1] = term),
+totals AS (SELECT {keys}, sum(v) AS total FROM valences GROUP BY {keys}),
+emphasis AS (
+  SELECT {keys}, least(len(regexp_extract_all(body, '!')), 4) * 0.292e0 + CASE WHEN len(regexp_extract_all(body, '\\?')) <= 1 THEN 0e0
+    WHEN len(regexp_extract_all(body, '\\?')) <= 3 THEN len(regexp_extract_all(body, '\\?')) * 0.18e0 ELSE 0.96e0 END AS e FROM split),
+loud AS (SELECT *, total + sign(total) * e AS l FROM totals JOIN emphasis USING ({keys})),
+scores AS (SELECT {keys}, {_r('CASE WHEN total = 0 THEN 0 ELSE l / sqrt(l * l + 15) END', 4)} AS score FROM loud)"""
 
 
 def _levels(source="heads", score="rule_score"):

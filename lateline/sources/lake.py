@@ -7,6 +7,7 @@ from lateline import fixed_values as fv
 from lateline.functions.numbers import iso_text, moment
 from lateline.functions.text import is_project_key
 from lateline.operators.flatten import nested_to_json
+from lateline.operators.incremental import latest
 
 _PARTITIONS = ["project", "date"]
 
@@ -76,9 +77,13 @@ class Lake:
     def read_bronze(self, source, schema, projects=None, date=None):
         return self._read(self.path("bronze", source), "json", schema, projects, date, False)
 
-    def read_silver(self, source, projects=None, date=None, schema=None, merge_schema=False):
-        """Silver rows of some projects and a date; the filters prune partitions."""
-        return self._read(self.path("silver", source), "parquet", schema, projects, date, merge_schema)
+    def read_silver(self, source, projects=None, date=None, schema=None, merge_schema=False, newest_only=False):
+        """Silver rows of some projects and a date; the filters prune partitions.
+
+        Re-ingested tickets are all there unless `newest_only` asks for one version each.
+        """
+        rows = self._read(self.path("silver", source), "parquet", schema, projects, date, merge_schema)
+        return latest(rows) if newest_only else rows
 
     def read_gold(self, feature_set=fv.DEFAULT_FEATURE_SET, projects=None, date=None, schema=None, merge_schema=False):
         return self._read(self.path("gold", feature_set), "parquet", schema, projects, date, merge_schema)

@@ -13,7 +13,7 @@ import uuid
 def shared_dir(spark):
     """The cluster's checkpoint folder; a fresh local one only in local mode."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
@@ -38,6 +38,16 @@ def settle(df, label="stage"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def attach(df, stats, keys):
+    """Left join of an aggregate to the rows it came from.
+
+    Staged, a small aggregate is broadcast and the rows stay where they are. For
+    a large one both sides of the join are plain shuffles, which is what adaptive
+    execution needs to split a hot key; right behind an aggregation it cannot.
+    """
+    return df.join(settle(stats, "stats"), keys, "left")
+
+
 def spread(scan):
     """Spread a scan that is cut into too few tasks to keep the cores busy.
 

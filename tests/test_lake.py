@@ -34,6 +34,7 @@ def test_silver_layout_and_pruning(lake, make_tickets):
     assert [r["issue_key"] for r in one.collect()] == ["PROJ-1"]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "project#" in plan.split("PartitionFilters")[1][:200]
+    assert lake.read_silver("jira", schema=TICKET, newest_only=True).count() == 2
     first = lake.read_silver("jira", ["PROJ"], schema=TICKET).first()
     assert first["sprint_history"][0]["sprint_name"] == "Sprint 1"  # nested stays nested
 

@@ -32,6 +32,37 @@ def test_sign_of_score(spark, text, sign):
     assert (value > 0) - (value < 0) == sign and -1 <= value <= 1
 
 
+def compound(total):
+    return round(total / (total * total + 15) ** 0.5, 4)
+
+
+@pytest.mark.parametrize(
+    "text, total",
+    [
+        ("it shipped", 2.0),
+        ("it really shipped", 2.293),
+        ("it really just shipped", 2 + 0.293 * 0.95),
+        ("slightly broken", -2.0 + 0.293),
+        ("very very broken", -2 - 0.293 - 0.293 * 0.95),
+        ("not shipped", -1.48),
+        ("it wasn't really approved", (1.5 + 0.293) * -0.74),
+        ("approved, not a b c shipped", 1.5 + 2.0),
+        ("it SHIPPED", 2.733),
+        ("SHIPPED IT", 2.0),
+        ("BROKEN build", -2.733),
+        ("shipped!", 2.292),
+        ("broken!!!!!!", -2 - 4 * 0.292),
+        ("broken??", -2.36),
+        ("broken?????", -2.96),
+        ("shipped but broken", 2 * 0.5 - 2 * 1.5),
+        ("what? why!", 0.0),
+        ("badé éhack", 0.0),
+    ],
+)
+def test_scoring_rules(spark, text, total):
+    assert score(spark, text) == (compound(total) if total else 0.0)
+
+
 def test_compound_value_and_own_lexicon(spark):
     assert score(spark, "blocked blocked") == round(-5 / (25 + 15) ** 0.5, 4)
     assert score(spark, "on track, on track") == round(4 / (16 + 15) ** 0.5, 4)
