@@ -1,5 +1,7 @@
 """The medallion lake: bronze JSON, silver and gold Parquet, by project and date."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,6 +10,7 @@ from lateline.functions.numbers import iso_text, moment
 from lateline.functions.text import is_project_key
 from lateline.operators.flatten import nested_to_json
 from lateline.operators.incremental import latest
+from lateline.schemas import ALERT, STATE
 
 _PARTITIONS = ["project", "date"]
 
@@ -105,8 +108,6 @@ class Lake:
 
     def expire_bronze(self, as_of, days=fv.BRONZE_RETENTION_DAYS):
         """Delete bronze date folders older than `days` before `as_of` (a date)."""
-        from datetime import timedelta
-
         oldest = (as_of - timedelta(days=days)).isoformat()
         filesystem, pattern = _filesystem(self.spark, f"{self.root}/bronze/*/project=*/date=*")
         dropped = []
@@ -134,17 +135,18 @@ class Lake:
         return path
 
     def read_alerts(self):
-        return self.spark.read.parquet(self.path("gold", "alerts"))
+        path = self.path("gold", "alerts")
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], ALERT)
+        return self.spark.read.schema(ALERT).parquet(path)
 
     def save_state(self, state):
-        """Replace the ingestion state; written beside, then swapped in by name."""
+        """Store the ingestion state as a new run; readers take the newest, so a failed write changes nothing."""
         run = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS")
         state.withColumn("run", run).write.mode("append").partitionBy("run").parquet(self.path("state", "marks"))
 
     def load_state(self):
         """The marks of the newest run; none before the first."""
-        from lateline.schemas import STATE
-
         path = self.path("state", "marks")
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], STATE)

@@ -129,6 +129,7 @@ def test_latest_with_a_hot_key(spark):
 
 
 def test_ticket_ingestion(lake, make_tickets):
+    assert lake.read_alerts().count() == 0
     batch = make_tickets(
         ticket(1, description="mail a@b.io"),
         ticket(2, project_key="ALPHA", issue_key="ALPHA-2", status="Lost"),
