@@ -14,7 +14,10 @@ def with_event_time(messages, delay="2 hours"):
 
 
 def drop_redelivered(timed, keys=("channel_id", "message_ts")):
-    """One of each message; the state of a key is kept as long as its copies may arrive."""
+    """One of each message; the state of a key is kept as long as its copies may arrive.
+
+    All copies of one message meet in one task, which keeps no more than its key.
+    """
     return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
