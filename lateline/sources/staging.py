@@ -6,20 +6,13 @@ with it then becomes a broadcast only below spark.sql.autoBroadcastJoinThreshold
 and a shuffled join, which adaptive execution splits on skew, above it.
 """
 
-import tempfile
 import uuid
 
 
 def shared_dir(spark):
-    """The cluster's checkpoint folder; a fresh local one only in local mode."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="lateline-"))
-    return context.getCheckpointDir().rstrip("/")
+    """The cluster's checkpoint folder, or a folder in the warehouse where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_staged").rstrip("/")
 
 
 def _application_dir(spark):
