@@ -1,16 +1,41 @@
 """The registered corpus queries and their SQL."""
 
-import importlib
+import corpus_pipeline
+from lateline.llm import (
+    bpe,
+    embeddings,
+    line_dedup,
+    packing,
+    quality_rules,
+    quotes,
+    simhash,
+    urls,
+    warc,
+    weak_labels,
+)
 
-_MODULES = {
-    "op3_simhash_near_duplicates": "simhash",
+_OPERATORS = {
+    "op1_quote_threads": quotes,
+    "op2_weak_label_quality": weak_labels,
+    "op3_simhash_near_duplicates": simhash,
+    "op4_bpe_round_trip": bpe,
+    "op5_arc_to_warc": warc,
+    "op6_binary_packing": packing,
+    "op7_site_line_dedup": line_dedup,
+    "op8_embedding_near_duplicates": embeddings,
+    "op9_url_filter": urls,
+    "op10_rule_ledger": quality_rules,
 }
 
 
 def queries():
-    return {name: importlib.import_module(f"lateline.llm.{module}").query for name, module in _MODULES.items()}
+    found = {name: module.query for name, module in _OPERATORS.items()}
+    return {**found, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    found = {name: getattr(importlib.import_module(f"lateline.llm.{module}"), "SQL", None) for name, module in _MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    """SQL of the operators that SQL can express; the others are tested against brute force."""
+    found = {name: module.SQL for name, module in _OPERATORS.items() if hasattr(module, "SQL")}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
