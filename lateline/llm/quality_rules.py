@@ -181,7 +181,7 @@ SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
   SELECT rid, doc_id, text, regexp_extract_all(text, '{_WORD}') AS w,
-         list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '{_WORD}')) AS lines
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines
   FROM docs),
 windows AS (
   SELECT rid, unnest(range(1, len(w) - 6)) AS i, w FROM split WHERE len(w) >= 8),
@@ -197,8 +197,8 @@ m AS (
          CAST(len(lines) AS BIGINT) AS n_lines,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          coalesce(c.n, 0) AS n_repeat_words,
-         CAST(len(list_filter(w, x -> x = '|')) AS BIGINT) AS n_bars,
-         CAST(len(list_filter(w, x -> ends_with(x, '!!'))) AS BIGINT) AS n_shouts
+         CAST(len(list_filter(w, lambda x: x = '|')) AS BIGINT) AS n_bars,
+         CAST(len(list_filter(w, lambda x: ends_with(x, '!!'))) AS BIGINT) AS n_shouts
   FROM split s LEFT JOIN covered c ON s.rid = c.rid),
 b AS (
   SELECT *, CAST((n_words < 20)::INT
