@@ -16,6 +16,7 @@ cluster on any axis nothing can be skipped and the work is that of all tiles.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def _unit(rows):
 
 def _by_length(batch):
     """The rows of a batch grouped by their vectors' length."""
-    lengths = pa.compute.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
     for length in np.unique(lengths):
         yield int(length), batch.take(pa.array(np.flatnonzero(lengths == length)))
 
