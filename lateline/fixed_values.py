@@ -177,7 +177,9 @@ SECRET_PATTERNS = (
     ("database_uri", rf"(?i)(?:postgres|mysql|mongodb|redis)://[^{WHITE_SPACE}]+", "[DATABASE_URI]"),
     (
         "private_key",
-        r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC )?PRIVATE KEY-----",
+        # up to the first end line, without looking at any character twice
+        r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----[^-]*+(?:-(?!----END (?:RSA |EC )?PRIVATE KEY-----)[^-]*+)*+"
+        r"-----END (?:RSA |EC )?PRIVATE KEY-----",
         "[PRIVATE_KEY]",
     ),
 )
@@ -215,7 +217,8 @@ ENTITY_PLACEHOLDERS = {
 # (type, pattern); where two match at one place the earlier one wins
 ENTITY_PATTERNS = (
     ("URL", r"https?://[^\s<>\"]+"),
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    # parts bounded as addresses are, and no start inside a run of letters, so no text is slow or nests deep
+    ("EMAIL", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,15}[A-Za-z]{2,63}"),
     ("CREDIT_DEBIT_NUMBER", r"(?<![0-9A-Za-z_])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z_])"),
     ("SSN", r"(?<![0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_])"),
     ("IP_ADDRESS", r"(?<![0-9A-Za-z_])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_])"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lateline import fixed_values as fv
-from lateline.functions.numbers import choose
+from lateline.functions.numbers import bind, choose
 from lateline.schemas import SPAN
 
 # a text without any of these (lower case) cannot match the pattern, and a plain
@@ -86,8 +86,6 @@ def fill_gaps(gaps, types):
 
 def entity_spans(text):
     """Entities as spans: type, score, begin and end in characters."""
-    hits = entity_hits(text)
-    gaps = entity_gaps(text, hits)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("spans"))
 
     def place(seen, pair):
@@ -98,24 +96,43 @@ def entity_spans(text):
         )
         return F.struct(end.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.transform(hits, lambda hit, i: F.struct(F.get(gaps, i).alias("gap"), hit.alias("hit")))
-    return F.aggregate(pairs, start, place, lambda done: done["spans"])
+    def placed(hits, gaps):
+        pairs = F.transform(hits, lambda hit, i: F.struct(F.get(gaps, i).alias("gap"), hit.alias("hit")))
+        return F.aggregate(pairs, start, place, lambda done: done["spans"])
+
+    # hits and gaps are bound, or the text would be taken apart again for each of them
+    return bind(entity_hits(text), lambda hits: bind(entity_gaps(text, hits), lambda gaps: placed(hits, gaps)))
 
 
 def apply_spans(text, spans):
-    """Replace each span by its placeholder, from the right so offsets stay true."""
-    ordered = F.reverse(
-        F.array_sort(
-            F.transform(
-                spans, lambda s: F.struct(s["begin"].alias("b"), s["end"].alias("e"), placeholder_of(s["type"]).alias("p"))
-            )
-        )
+    """Replace each span by its placeholder. Of spans that overlap, the text up to the furthest end goes once.
+
+    The text is taken apart as four bytes per character, where a piece is found by
+    its place, so the work grows with the text and not with spans times text.
+    """
+    nothing = F.array().cast("array<struct<b:int,e:int,p:string>>")
+    ordered = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["begin"].alias("b"), s["end"].alias("e"), placeholder_of(s["type"]).alias("p")))
     )
+    ordered = F.coalesce(ordered, nothing)
+
+    def piece(wide, begin, end):
+        size = F.greatest(end - begin, F.lit(0)) * 4
+        return F.decode(F.substring(wide, begin * 4 + 1, size), "UTF-32")
+
+    def filled(wide, sorted_spans):
+        def before(span, i):
+            last = F.when(i > 0, F.get(sorted_spans, i - 1)["e"]).otherwise(0)
+            return F.concat(piece(wide, last, span["b"]), span["p"])
+
+        tail = F.get(sorted_spans, F.size(sorted_spans) - 1)["e"]
+        rest = F.decode(F.substring(wide, tail * 4 + 1, F.greatest(F.octet_length(wide) - tail * 4, F.lit(0))), "UTF-32")
+        return F.concat(F.array_join(F.transform(sorted_spans, before), ""), rest)
 
-    def replace(done, span):
-        return F.concat(F.substring(done, F.lit(1), span["b"]), span["p"], F.substr(done, span["e"] + 1))
+    def replaced(sorted_spans):
+        return bind(F.encode(text, "UTF-32"), lambda wide: filled(wide, sorted_spans))
 
-    return F.aggregate(F.coalesce(ordered, F.array().cast("array<struct<b:int,e:int,p:string>>")), text, replace)
+    return F.when(F.size(ordered) == 0, text).otherwise(bind(ordered, replaced))
 
 
 def text_chunks(max_bytes=fv.MAX_CHUNK_BYTES):

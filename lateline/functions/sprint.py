@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lateline.fixed_values import WHITE_SPACE, WHITE_SPACE_CHARACTERS
+from lateline.fixed_values import WHITE_SPACE_CHARACTERS
 from lateline.functions.numbers import bind
 
 # our name -> the tracker's name
@@ -21,21 +21,30 @@ def _strip(column):
     return F.btrim(column, F.lit(WHITE_SPACE_CHARACTERS))
 
 
-def _value(inner, key):
-    """The value behind the last `key =` among comma-separated pairs; null without one."""
-    blank = f"[{WHITE_SPACE}]*"
-    found = F.regexp_extract(F.concat(F.lit(","), inner), f"(?s)^.*,{blank}{key}{blank}(=[^,]*)", 1)
-    return F.when(found != "", F.nullif(_strip(F.substr(found, F.lit(2))), F.lit("<null>")))
+def _pairs(inner):
+    """`key = value` parts of a comma-separated list as structs (k, v); parts without "=" are skipped."""
+    parts = F.filter(F.split(inner, ","), lambda part: part.contains("="))
+    return F.transform(
+        parts,
+        lambda part: F.struct(
+            _strip(F.substring_index(part, "=", 1)).alias("k"), _strip(F.substr(part, F.instr(part, "=") + 1)).alias("v")
+        ),
+    )
 
 
 def parse_sprint_text(entry):
     """A serialized sprint as a struct; null without brackets. Of a repeated key the last counts."""
     inner = F.regexp_extract(entry, r"(?s)\[(.*)\]", 1)
+    nothing = F.struct(*[F.lit(None).cast("string").alias(ours) for ours in PARTS])
+
+    def take(seen, pair):
+        taken = [F.when(pair["k"] == theirs, pair["v"]).otherwise(seen[ours]).alias(ours) for ours, theirs in PARTS.items()]
+        return F.struct(*taken)
 
-    def sprint(pairs):
-        return F.struct(*[_value(pairs, theirs).alias(ours) for ours, theirs in PARTS.items()])
+    def finish(seen):
+        return F.struct(*[F.nullif(seen[ours], F.lit("<null>")).alias(ours) for ours in PARTS])
 
-    return F.when(entry.contains("[") & entry.contains("]"), bind(inner, sprint))
+    return F.when(entry.contains("[") & entry.contains("]"), F.aggregate(_pairs(inner), nothing, take, finish))
 
 
 def parse_sprint(entry):

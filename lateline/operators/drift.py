@@ -1,15 +1,10 @@
-"""Feature profiles and drift between two of them.
-
-Everything is read off one histogram per feature: copies of a value collapse
-before the shuffle, and quantiles stay exact at any size.
-"""
+"""Feature profiles and drift between two of them."""
 
 from pyspark.sql import functions as F
 
 from lateline import fixed_values as fv
 from lateline.functions.numbers import number, rounded
-from lateline.operators.order_stats import quantile_parts, running_totals, value_counts
-from lateline.sources.staging import settle
+from lateline.operators.order_stats import exact_quantiles
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 PROFILE = ["mean", "std", "median", "p25", "p75", "min", "max", "count"]
@@ -22,25 +17,29 @@ def long_form(df, keys=(), features=fv.MODEL_FEATURES):
     return typed.unpivot(list(keys), present, "feature", "value").where(F.col("value").isNotNull())
 
 
+def _moments(df, keys, features):
+    """Mean, std, range and count per feature (and key), in one wide partial aggregate."""
+    present = [name for name in features if name in df.columns]
+    typed = df.select(*keys, *[number(F.col(name)).alias(name) for name in present])
+    measures = [
+        F.struct(
+            F.lit(name).alias("feature"), F.avg(name).alias("mean"), F.stddev_samp(name).alias("std"),
+            F.min(name).alias("min"), F.max(name).alias("max"), F.count(name).alias("count"),
+        ).alias(f"_{name}")
+        for name in present
+    ]
+    wide = typed.groupBy(*keys).agg(*measures)
+    return wide.select(*keys, F.inline(F.array(*[F.col(f"_{name}") for name in present]))).where("count > 0")
+
+
 def feature_profile(df, keys=(), features=fv.MODEL_FEATURES):
-    """Mean, std, quartiles, range and count per feature (and key)."""
+    """Mean, std, quartiles, range and count per feature (and key). One value alone has no deviation.
+
+    Only the quartiles need the values in order, and so a histogram.
+    """
     groups = [*keys, "feature"]
-    value, n = F.col("value"), F.col("n")
-    counts = value_counts(long_form(df, keys, features), groups, "value").withColumn("weighted", value * n)
-    summed = running_totals(settle(counts, "histogram"), groups, "value", ["n", "weighted"])
-    mean = F.col("total_weighted") / F.col("total_n")
-    aggregates, quartiles = quantile_parts("value", QUARTILES)
-    profile = summed.groupBy(*groups).agg(
-        F.max(mean).alias("mean"),
-        F.sum(n * (value - mean) * (value - mean)).alias("_spread"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.max("total_n").alias("count"),
-        *aggregates,
-    )
-    # one value alone has no deviation
-    deviation = F.sqrt(F.col("_spread") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std")
-    return profile.select(*groups, "mean", deviation, *quartiles, "min", "max", "count").select(*groups, *PROFILE)
+    quartiles = exact_quantiles(long_form(df, keys, features), groups, "value", QUARTILES).drop("count")
+    return _moments(df, keys, features).join(quartiles, groups).select(*groups, *PROFILE)
 
 
 def drift_report(baseline, current, threshold=fv.DRIFT_THRESHOLD_PCT, keys=()):

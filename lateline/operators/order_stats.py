@@ -1,9 +1,8 @@
 """Ordinals, running totals and exact quantiles without one task seeing everything.
 
 A value histogram is counted first, so copies of a value collapse before the
-shuffle. A histogram small enough for one task is summed by a plain window; a
-larger one is cut into slices by a range partitioning, summed slice by slice,
-and shifted by what the earlier slices hold.
+shuffle. The histogram is cut into slices by a range partitioning, summed slice by
+slice, and shifted by what the earlier slices hold, in the same way at every size.
 """
 
 from pyspark.sql import functions as F
@@ -11,44 +10,31 @@ from pyspark.sql import Window
 
 from lateline.sources.staging import settle
 
-ROWS_PER_SLICE = 1_000_000
 _POSITION_BITS = 33  # monotonically_increasing_id: row number within its partition
 
 
-def running_totals(staged, groups, order, sums, rows_per_slice=ROWS_PER_SLICE):
+def running_totals(counted, groups, order, sums, slices=None):
     """Add `cum_<name>` and `total_<name>` per name in `sums`: its total up to and
     including the row, and over the whole group.
 
-    Runs within `groups` along `order`, which must be unique in a group. `staged`
-    is read more than once, so it must be a staged table.
+    Runs within `groups` along `order`, which must be unique in a group. Rows are
+    range-partitioned into slices, written once, summed slice by slice, and shifted
+    by what the earlier slices of their group hold.
     """
     groups, sums = list(groups), list(sums)
-    rows = staged.count()
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    if rows <= rows_per_slice:
-        frame = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return staged.withColumns(
-            {
-                **{f"cum_{name}": F.sum(name).over(frame) for name in sums},
-                **{f"total_{name}": F.sum(name).over(whole) for name in sums},
-            }
-        )
-    slices = -(-rows // rows_per_slice)
+    slices = slices or int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = settle(
-        staged.repartitionByRange(slices, *groups, order).withColumn("_slice", F.spark_partition_id()),
-        "slices",
+        counted.repartitionByRange(slices, *groups, order).withColumn("_slice", F.spark_partition_id()), "slices"
     )
     per_slice = sliced.groupBy(*groups, "_slice").agg(*[F.sum(name).alias(name) for name in sums])
     # a group has one row per slice it touches, so these windows are small
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = settle(
-        per_slice.select(
-            *groups,
-            "_slice",
-            *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums],
-            *[F.sum(name).over(whole).alias(f"total_{name}") for name in sums],
-        ),
-        "shifts",
+    shifts = per_slice.select(
+        *groups,
+        "_slice",
+        *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}") for name in sums],
+        *[F.sum(name).over(whole).alias(f"total_{name}") for name in sums],
     )
     frame = (
         Window.partitionBy(*groups, "_slice")
@@ -92,11 +78,10 @@ def quantile_parts(value, probabilities):
     return aggregates, results
 
 
-def exact_quantiles(df, groups, value, probabilities, rows_per_slice=ROWS_PER_SLICE):
+def exact_quantiles(df, groups, value, probabilities, slices=None):
     """Exact, linearly interpolated quantiles and the count; one row per group."""
     groups = list(groups)
-    counts = settle(value_counts(df, groups, value), "histogram")
-    ranked = running_totals(counts, groups, value, ["n"], rows_per_slice)
+    ranked = running_totals(value_counts(df, groups, value), groups, value, ["n"], slices)
     aggregates, results = quantile_parts(value, probabilities)
     picked = ranked.groupBy(*groups).agg(F.max("total_n").alias("count"), *aggregates)
     return picked.select(*groups, "count", *results)
@@ -120,6 +105,6 @@ def with_ordinal(df, order, name="ordinal", slices=None):
     # one row per slice, so this window holds no more rows than there are partitions
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_rows").over(before), F.lit(0))
-    shifts = settle(sizes.select("_slice", shift.alias("_before")), "shifts")
+    shifts = sizes.select("_slice", shift.alias("_before"))
     numbered = placed.join(shifts, "_slice").withColumn(name, F.col("_before") + F.col("_place"))
     return numbered.drop("_slice", "_place", "_before"), placed.count()

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lateline import fixed_values as fv
 from lateline.functions.numbers import number, rounded
 from lateline.functions.text import percent
-from lateline.sources.staging import settle
 
 
 def _profile(df, rules, keys):
@@ -114,8 +113,8 @@ def _checks(rules, columns):
 class QualityReport:
     """The outcome of the checks; each table is made when it is first asked for.
 
-    `df` is read once for the profile and once for invalid categories, so stage
-    it first when it is costly to derive.
+    All of them are lazy: they hang on one aggregate for the profile, which Spark
+    computes once in a plan, and one pass over `df` for invalid categories.
     """
 
     def __init__(self, df, rules, keys):
@@ -124,7 +123,7 @@ class QualityReport:
     @cached_property
     def _profile(self):
         """One row per group."""
-        return settle(_profile(self.df, self.rules, self.keys), "profile")
+        return _profile(self.df, self.rules, self.keys)
 
     @cached_property
     def metrics(self):
@@ -140,7 +139,7 @@ class QualityReport:
         found = broken.select(*self.keys, "_v.*", F.lit(None).cast("array<string>").alias("invalid_values"))
         offenders = _offenders(self.df, self.rules, self.keys)
         if offenders is not None:
-            bad = _offender_summary(settle(offenders, "offenders"), self.keys)
+            bad = _offender_summary(offenders, self.keys)
             text = F.concat(F.lit("Found "), F.col("invalid_count").cast("string"), F.lit(" invalid categorical values"))
             found = found.unionByName(
                 bad.select(
@@ -153,7 +152,7 @@ class QualityReport:
                     "invalid_values",
                 )
             )
-        return settle(found, "violations")
+        return found
 
     @cached_property
     def summary(self):

@@ -115,14 +115,13 @@ def _joined_lines(df, rank, line):
 
 def high_risk_digest(predictions, keep=fv.DIGEST_TICKETS):
     """The riskiest tickets of each project as lines of text."""
-    order = Window.partitionBy(KEY).orderBy(F.col("risk_score").desc(), "issue_key")
-    high = predictions.where(F.col("risk_level") == "High")
-    top = high.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep)
-    lines = _joined_lines(top.select(KEY, "_rank", _risk_line().alias("line")), "_rank", "line")
-    projects = predictions.select(KEY).distinct()
-    return projects.join(lines, KEY, "left").select(
-        KEY, F.coalesce("lines", F.lit(fv.NO_HIGH_RISK_TEXT)).alias("high_risk_digest")
-    )
+    high = F.coalesce(F.col("risk_level") == "High", F.lit(False))
+    order = Window.partitionBy(KEY).orderBy(high.desc(), F.col("risk_score").desc(), "issue_key")
+    # a project without risky tickets is there by its first ones, which give no line
+    top = predictions.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep)
+    lines = _joined_lines(top.select(KEY, "_rank", F.when(high, _risk_line()).alias("line")), "_rank", "line")
+    text = F.when(F.col("lines") == "", fv.NO_HIGH_RISK_TEXT).otherwise(F.col("lines"))
+    return lines.select(KEY, text.alias("high_risk_digest"))
 
 
 def score_digest(predictions):

@@ -8,10 +8,26 @@ from pyspark.sql import Window
 from lateline import fixed_values as fv
 from lateline.functions.numbers import bind, exact_mean, iso_text, number, rounded
 
+LEXICON_SCHEMA = "term string, valence double"
 LEXICON = {**fv.GENERAL_LEXICON, **fv.ENGINEERING_LEXICON}
 _NOT_A_WORD = r"[^\p{L}\p{N}_']+"
 
 
+def read_lexicon(spark, path, sep="\t"):
+    """A lexicon file (term and valence per line, further columns ignored) as a dict for score_text.
+
+    Terms are lower-cased; a term in twice or a line without a number is refused. A
+    lexicon is a word list of bounded size and becomes part of the expression.
+    """
+    lines = spark.read.schema(LEXICON_SCHEMA).option("sep", sep).option("quote", "").csv(path)
+    rows = lines.select(F.lower("term").alias("term"), "valence").collect()
+    bad = [row["term"] for row in rows if row["term"] is None or row["valence"] is None]
+    lexicon = {row["term"]: row["valence"] for row in rows}
+    if bad or len(lexicon) < len(rows):
+        raise ValueError(f"{path}: {len(bad)} lines without a valence, {len(rows) - len(lexicon)} repeated terms")
+    return lexicon
+
+
 def _valence(word, by_valence):
     cases = reduce(lambda done, item: done.when(word.isin(item[1]), F.lit(item[0])), by_valence, F.when(F.lit(False), 0.0))
     return cases.otherwise(0.0)

@@ -1,8 +1,7 @@
 """Group features: aggregate first, then attach to each ticket.
 
-The aggregates are staged, so Spark knows their size before the join: small
-ones are broadcast and the tickets stay where they are; large ones are joined
-by a shuffle whose hot keys adaptive execution splits.
+The join back is salted, so the tickets of a hot project or assignee are dealt to
+many tasks; where the aggregate turns out small, adaptive execution broadcasts it.
 """
 
 from pyspark.sql import functions as F
@@ -10,7 +9,9 @@ from pyspark.sql import Window
 
 from lateline import fixed_values as fv
 from lateline.functions.numbers import rounded
-from lateline.sources.staging import attach, settle
+from lateline.sources.staging import attach
+
+ROW_KEY = "issue_key"  # deals the tickets of a hot project or assignee
 
 
 def workload(features):
@@ -42,10 +43,12 @@ def assignee_stats(pairs):
 def team_features(features):
     """Add complexity_per_person, team_wip and assignee_load.
 
-    Reads `features` twice; stage it first when it is costly to derive.
+    Both aggregates follow from one table of projects and assignees; the tickets
+    themselves are neither written nor gathered.
     """
-    pairs = settle(workload(features), "workload")
-    attached = attach(attach(features, project_stats(pairs), "project_key"), assignee_stats(pairs), "assignee")
+    pairs = workload(features)
+    attached = attach(features, project_stats(pairs), "project_key", ROW_KEY)
+    attached = attach(attached, assignee_stats(pairs), "assignee", ROW_KEY)
     return attached.withColumns(
         {
             "team_wip": F.coalesce("team_wip", F.lit(0)),
@@ -82,5 +85,5 @@ def merge_sentiment(features, series=None):
     zeros = {names[0]: F.lit(0.0), names[1]: F.lit(0.0), names[2]: F.lit(0)}
     if series is None:
         return features.withColumns(zeros)
-    joined = attach(features, latest_sentiment(series), "project_key")
+    joined = attach(features, latest_sentiment(series), "project_key", ROW_KEY)
     return joined.withColumns({name: F.coalesce(name, zero) for name, zero in zeros.items()})

@@ -9,21 +9,23 @@ from lateline.operators.sentiment import sentiment_anomalies, sentiment_series
 from lateline.sources.staging import settle
 
 
-def ingest_tickets(lake, tickets, as_of=None, source="jira", rules=None):
+def ingest_tickets(lake, tickets, as_of=None, source="jira", rules=None, run_id=None, asked=None, errors=None):
     """Tickets to bronze and, redacted, to silver; alerts for projects failing a check.
 
-    Only tickets at or after their project's mark are taken. Returns the summary
-    per project.
+    Only tickets at or after their project's mark are taken. With a `run_id` a run
+    that failed half-way can be repeated: it replaces what it stored before, and the
+    marks move last. Returns the summary per project, with the projects `asked` for
+    that brought nothing and those in `errors`.
     """
     state = lake.load_state()
     fresh = settle(since_mark(tickets, state), "fresh")
-    lake.write_bronze(fresh, source, as_of)
+    lake.write_bronze(fresh, source, as_of, run_id=run_id)
     clean = settle(redact_records(fresh, fv.TICKET_TEXT_FIELDS), "clean")
-    lake.write_silver(clean, source, as_of)
+    lake.write_silver(clean, source, as_of, run_id=run_id)
     report = quality_report(clean, rules, ["project_key"])
-    lake.append_alerts(quality_alerts(report, as_of=as_of))
-    lake.save_state(advance_marks(state, fresh, as_of=as_of))
-    return ingestion_summary(clean, report.summary)
+    lake.append_alerts(quality_alerts(report, as_of=as_of), run_id)
+    lake.save_state(advance_marks(state, fresh))
+    return ingestion_summary(clean, report.summary, asked=asked, errors=errors)
 
 
 def ingest_messages(lake, messages, as_of=None, source="slack", window_hours=24, threshold=fv.ANOMALY_SIGMAS):

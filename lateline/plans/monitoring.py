@@ -5,11 +5,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from lateline import fixed_values as fv
-from lateline.operators.alerts import drift_alerts
+from lateline.operators.alerts import drift_alerts, retrain_requests
 from lateline.operators.drift import drift_report, drift_summary, feature_profile
 from lateline.operators.reports import report_context
 from lateline.operators.sentiment import sentiment_anomalies, sentiment_series
-from lateline.plans.risk_model import load_model, score
+from lateline.plans.risk_model import load_model, run_training, score
+from lateline.sources.lake import path_exists
 from lateline.sources.staging import settle
 
 PREDICTIONS = "predictions"
@@ -50,3 +51,33 @@ def report_rows(lake, period, projects=None, date=None, source="slack"):
     predictions = lake.read_gold(PREDICTIONS, projects, date)
     series = settle(sentiment_series(lake.read_silver(source, projects)), "series")
     return report_context(predictions, series, sentiment_anomalies(series), period)
+
+
+SERVED = "retrain_served"
+
+
+def open_requests(lake, requests, key):
+    """Retrain requests (key, project_key, ...) that no training has served yet."""
+    path = lake.path("gold", SERVED)
+    if not path_exists(lake.spark, path):
+        return requests
+    served = lake.spark.read.parquet(path).select(key, "project_key").distinct()
+    return requests.join(served, [key, "project_key"], "left_anti")
+
+
+def mark_served(lake, requests, key):
+    """Remember that these requests have been served."""
+    requests.select(key, "project_key").write.mode("append").parquet(lake.path("gold", SERVED))
+
+
+def retrain(lake, envelopes, project_keys, key, **training):
+    """Delivered alerts to a new model: one training for all requests that are open, then marked as served.
+
+    Returns the training's result, or None if nothing is asked for.
+    """
+    asked = settle(open_requests(lake, retrain_requests(envelopes, project_keys, key), key), "requests")
+    if asked.isEmpty():
+        return None
+    result = run_training(lake, list(project_keys), **training)
+    mark_served(lake, asked, key)
+    return result

@@ -264,7 +264,8 @@ def _count_secrets(text):
 
 
 def _re2(pattern):
-    return pattern.replace("(?<![0-9A-Za-z_])", r"\b").replace("(?![0-9A-Za-z_])", r"\b")
+    pattern = pattern.replace("(?<![0-9A-Za-z_])", r"\b").replace("(?![0-9A-Za-z_])", r"\b")
+    return pattern.replace("(?<![A-Za-z0-9._%+-])", "").replace("}+@", "}@")
 
 
 _ENTITIES = [(name, _re2(pattern)) for name, pattern in fv.ENTITY_PATTERNS]
@@ -365,13 +366,20 @@ _METRICS = " UNION ALL ".join(
 
 # ---- drift -----------------------------------------------------------------
 
-_DRIFT_FEATURES = list(fv.MODEL_FEATURES[:16]) + ["comment_count"]
+_DRIFT_FEATURES = list(fv.MODEL_FEATURES)
 PROFILES = (
-    FEATURES
+    TEAM
+    + ", "
+    + MESSAGES
+    + _series()
+    + MOOD
     + f""",
+rich AS (
+  SELECT t.*, coalesce(v.avg_sentiment, 0.0) AS avg_sentiment, coalesce(v.sentiment_velocity, 0.0) AS sentiment_velocity,
+    coalesce(v.sentiment_anomaly, 0) AS sentiment_anomaly FROM team t LEFT JOIN velocity v USING (project_key)),
 typed AS (
   SELECT CASE WHEN created < TIMESTAMP '1999-01-01' THEN 'baseline' ELSE 'current' END AS period,
-    {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _DRIFT_FEATURES)} FROM features),
+    {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _DRIFT_FEATURES)} FROM rich),
 long AS (UNPIVOT typed ON {', '.join(_DRIFT_FEATURES)} INTO NAME feature VALUE value),
 profiles AS (
   SELECT period, feature, avg(value) AS mean, stddev_samp(value) AS std, quantile_cont(value, 0.5) AS median,
@@ -396,11 +404,12 @@ report AS (
 # ---- folds -----------------------------------------------------------------
 
 FOLDED = (
-    HEADS
+    FEATURES
+    + _label("features")
     + """,
 numbered AS (
-  SELECT issue_key, created, rule_score, CAST(coalesce(resolution_date > due_date, false) AS INTEGER) AS is_delayed,
-    row_number() OVER (ORDER BY created, issue_key) - 1 AS ordinal, count(*) OVER () AS n FROM heads),
+  SELECT issue_key, created, rule_score, is_delayed,
+    row_number() OVER (ORDER BY created, issue_key) - 1 AS ordinal, count(*) OVER () AS n FROM labelled),
 folded AS (
   SELECT *, CASE WHEN ordinal >= n - 5 * (n // 6) THEN CAST((ordinal - (n - 5 * (n // 6))) // (n // 6) AS INTEGER) END AS test_fold
   FROM numbered)"""
@@ -473,7 +482,10 @@ _STREAM_CLOSED = "date_trunc('day', ts) + to_days(1) <= (SELECT max(ts) - to_hou
 
 
 def oracle_sql():
-    """name -> SQL; queries on a fitted model and the text chunks have none."""
+    """name -> SQL; of the fitted model, what must hold of its results."""
+    from lateline.operators.reports import REPORT_KEYS
+    from lateline.plans.queries import CHUNK_BYTES, PERIOD
+
     sql = {}
     sql["ticket_features"] = f"""WITH {FEATURES}
 SELECT issue_key, {', '.join(fv.MODEL_FEATURES[:16])}, comment_count, current_sprint_name FROM features"""
@@ -499,6 +511,7 @@ SELECT conv_id, turn, role, coalesce(score, 0.0) AS sentiment_score FROM src LEF
     sql["sentiment_timeseries_day"] = f"WITH {MESSAGES} {_series()} SELECT * FROM series"
     sql["sentiment_timeseries_hour"] = f"WITH {MESSAGES} {_series('hour')} SELECT * FROM series"
     sql["sentiment_anomalies"] = f"WITH {MESSAGES} {_series()} {_anomalies()} {FIRST} SELECT * FROM first_anomalies"
+    sql["sentiment_anomalies_all"] = f"WITH {MESSAGES} {_series('hour')} {_anomalies()} SELECT * FROM anomalies"
     sql["sentiment_anomalies_hourly"] = f"WITH {MESSAGES} {_series('hour', '')} {_anomalies('')} SELECT * FROM anomalies"
     sql["sentiment_outlook"] = f"""WITH {MESSAGES} {_series()} {MOOD}
 SELECT project_key, {_r('mean', 6)} AS recent_sentiment, recent_windows,
@@ -525,7 +538,12 @@ SELECT test_fold, {_r('CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END', 6)
   {_r('CASE WHEN p = 0 OR n = 0 THEN 0 ELSE (rank_sum - p * (p + 1) / 2) / (p * n) END', 6)} AS auc_roc FROM sums"""
     sql["risk_levels"] = f"WITH {HEADS} {_levels()} SELECT issue_key, risk_score, risk_level FROM scored"
     sql["ranked_factors"] = f"""WITH {FEATURES} {FACTORS.format('features')}
-SELECT issue_key, rank, feature, value, importance FROM factors WHERE rank <= 3"""
+SELECT issue_key, rank, feature, value, importance FROM factors"""
+    sql["risk_model_scores"] = f"""WITH {FEATURES} {_label('features')}
+SELECT issue_key, project_key, is_delayed, true AS in_range, true AS level_fits FROM labelled"""
+    sql["feature_importance"] = 'SELECT CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS negative, true AS adds_up, true AS "distinct"'
+    sql["top_risk_factors"] = f"WITH {HEADS} SELECT issue_key, CAST({fv.TOP_FACTORS} AS BIGINT) AS factors, true AS own_values FROM heads"
+    sql["model_storage"] = f"WITH {HEADS} SELECT project_key, count(*) AS tickets, CAST(0 AS BIGINT) AS changed FROM heads GROUP BY 1"
 
     sql["quality_metrics"] = f"{_quality(False)} {_METRICS}"
     sql["quality_violations"] = f"{_quality(False)} SELECT * FROM violations"
@@ -543,12 +561,17 @@ c AS (SELECT count(*) AS total_features, count(*) FILTER (WHERE status <> 'stabl
   coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE status <> 'stable'), '') AS drifted_features FROM report)
 SELECT {_r('drifted_count / total_features * 100', 2)} AS overall_drift_pct, drifted_count / total_features * 100 > 10 AS needs_retrain,
   drifted_features, total_features, drifted_count FROM c"""
-    sql["baseline_roundtrip"] = f"WITH {PROFILES} SELECT feature, min, max, count FROM profiles WHERE period = 'current'"
+    sql["baseline_roundtrip"] = f"WITH {PROFILES} SELECT feature, {six}, min, max, count FROM profiles WHERE period = 'current'"
     one = PROFILES.replace("CASE WHEN created < TIMESTAMP '1999-01-01' THEN 'baseline' ELSE 'current' END AS period", "unnest(CASE WHEN project_key = 'BUILDING' THEN ['baseline', 'current'] ELSE ['baseline'] END) AS period")
     sql["drift_status"] = f"WITH {one} SELECT * FROM report WHERE feature <> 'retired_feature'"
     sql["retrain_requests"] = """SELECT event_id, value AS overall_drift_pct, project_key
 FROM events CROSS JOIN (VALUES ('PROJ'), ('ALPHA')) p(project_key) WHERE event_type = 'error'"""
 
+    sql["open_retrain_requests"] = sql["retrain_requests"] + " AND event_id % 3 <> 0"
+    sql["drift_alert"] = f"""WITH {PROFILES},
+c AS (SELECT {_r("count(*) FILTER (WHERE status <> 'stable') / count(*) * 100", 2)} AS share, min(feature) FILTER (WHERE status <> 'stable') AS f FROM report)
+SELECT '{fv.DRIFT_ALERT}' AS alert_type, CAST(share AS DOUBLE) AS overall_drift_pct, f AS first_feature, '{star.AS_OF}' AS created_at FROM c WHERE share > 10"""
+
     sql["secret_redaction"] = f"SELECT doc_id, {_redact('text')} AS redacted, {_n(_count_secrets('text'))} AS secrets FROM documents"
     placed = """list_transform(range(1, len(hits) + 1), lambda i: {'hit': hits[i],
     'b': list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: len(h))), 0)})"""
@@ -567,6 +590,18 @@ SELECT lang, count(*) AS records, count(*) FILTER (WHERE len(hits) > 0) AS pii_d
 FROM pieces GROUP BY lang"""
     sql["span_redaction"] = f"WITH {_pieces('documents', 'doc_id', 'text')} SELECT doc_id, {_FILLED} AS text FROM pieces"
 
+    best = """greatest(
+      CASE WHEN contains(p, '. ') THEN length(p) - instr(reverse(p), ' .') - 1 ELSE -1 END,
+      CASE WHEN contains(p, chr(10)) THEN length(p) - instr(reverse(p), chr(10)) ELSE -1 END)"""
+    fits = f"list_max(list_filter(range({CHUNK_BYTES // 4}, {CHUNK_BYTES} + 1), lambda n: strlen(left(rest, n)) <= {CHUNK_BYTES}))"
+    sql["text_chunks"] = f"""WITH RECURSIVE steps AS (
+  SELECT doc_id, -1 AS position, '' AS chunk, text AS rest, false AS done FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, position + 1, left(rest, cut), substr(rest, cut + 1), last FROM (
+    SELECT *, CASE WHEN last THEN length(rest) WHEN {best} > 0 THEN {best} + 1 ELSE length(p) END AS cut FROM (
+      SELECT *, strlen(rest) <= {CHUNK_BYTES} AS last, left(rest, CAST({fits} AS BIGINT)) AS p FROM steps WHERE NOT done)))
+SELECT doc_id, position, chunk FROM steps WHERE position >= 0"""
+
     sql["project_risk_summary"] = f"""WITH {HEADS} {_levels()}
 SELECT project_key, count(*) AS total_tickets, {LEVEL_COUNTS}, {_r(_mean('risk_score'), 4)} AS avg_risk_score FROM scored GROUP BY project_key"""
     rated = f"WITH {FEATURES}, {MESSAGES} {_series()} {MOOD} {WITH_MOOD} {_levels('rated')}"
@@ -586,9 +621,6 @@ FROM factors f JOIN scored s USING (issue_key) WHERE s.k = (SELECT max(k) FROM h
     sql["score_digest"] = f"WITH {HEADS} {_levels()} {SCORE_DIGEST} SELECT * FROM score_digest"
     moods = f"{MESSAGES} {_series()} {_anomalies()} {FIRST} {MOOD} {SENTIMENT_DIGEST}"
     sql["sentiment_digest"] = f"WITH {moods} SELECT * FROM sentiment_digest"
-    from lateline.operators.reports import REPORT_KEYS
-    from lateline.plans.queries import PERIOD
-
     lines = [
         f"'Write the weekly status report of project ' || project_key || ' for {PERIOD}.'",
         "'Tickets: ' || total_tickets",
@@ -614,7 +646,7 @@ SELECT issue_key, concat_ws(chr(10), 'Name the category, complexity_assessment a
   'Story Points: ' || CAST(coalesce(points, 0.0) AS VARCHAR)) AS prompt FROM tickets"""
     sql["explanation_prompts"] = f"""WITH {FEATURES} {_levels('features')} {FACTORS.format('scored')},
 fl AS (SELECT issue_key, string_agg('- ' || feature || ': value=' || CAST(value AS VARCHAR) || ', importance=' || CAST(importance AS VARCHAR), chr(10) ORDER BY rank) AS lines
-  FROM factors WHERE rank <= 3 GROUP BY 1)
+  FROM factors GROUP BY 1)
 SELECT issue_key, concat_ws(chr(10), 'Explain in two or three sentences why this ticket is at risk.', 'Key: ' || issue_key, 'Summary: ' || summary,
   'Status: ' || status, 'Risk Score: ' || {_percent('risk_score')}, 'Risk Level: ' || risk_level, lines, '{fv.NO_CONTEXT_TEXT}') AS prompt
 FROM scored JOIN fl USING (issue_key)"""
@@ -652,10 +684,12 @@ FROM lineitem WHERE l_linenumber <> 1"""
   CASE WHEN o_orderkey % 4 = 0 THEN 'Blocks|outward|' || c_mktsegment || '-' || (o_orderkey + 1) || ';Relates|inward|' || c_mktsegment || '-' || (o_orderkey + 1) ELSE '' END AS issue_links,
   o_orderkey % 21 AS comment_count, '{star.AS_OF}' AS ingested_at FROM {_BASE}"""
     sql["message_flatten"] = f"""WITH m AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, {_case('event_type', star.EVENT_TEXT)} AS text FROM events),
-kept AS (SELECT * FROM m WHERE event_type NOT IN ('signup', 'view') AND event_id >= 100) {_scores('kept', 'text', 'event_id')}
+kept AS (SELECT * FROM m WHERE event_type NOT IN ('signup', 'view')) {_scores('kept', 'text', 'event_id')}
 SELECT 'C' || (user_id % 5) AS channel_id, CAST(event_id AS VARCHAR) AS message_ts, 'U' || user_id AS user_id, text, coalesce(score, 0.0) AS sentiment_score,
   CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS reply_count, CASE WHEN k % 3 <> 0 THEN k + 1 ELSE 0 END AS reaction_count,
   {_iso('make_timestamp(event_id * 1000000)')} AS datetime_utc, '{star.AS_OF}' AS ingested_at FROM kept LEFT JOIN scores USING (event_id)"""
+    sql["page_rejects"] = """SELECT CAST(o_orderkey AS VARCHAR) AS issue_id,
+  CASE WHEN o_orderkey % 50 = 7 THEN 'rejected' ELSE 'read' END AS outcome FROM orders"""
     link = """'{"type":"' || a || '","direction":"' || b || '","linked_issue":"' || c_mktsegment || '-' || (o_orderkey + 1) || '"}'"""
     blocks = link.replace("' || a || '", "Blocks").replace("' || b || '", "outward")
     relates = link.replace("' || a || '", "Relates").replace("' || b || '", "inward")
@@ -667,6 +701,9 @@ SELECT 'C' || (user_id % 5) AS channel_id, CAST(event_id AS VARCHAR) AS message_
     CASE WHEN o_orderkey % 3 = 0 THEN c_mktsegment || '-' ELSE c_mktsegment || '-' || (o_orderkey * 1003) END AS issue_key FROM {_BASE})
 SELECT *, regexp_full_match(project_key, '[A-Z][A-Z0-9_]{{1,19}}') AS project_ok, regexp_full_match(issue_key, '[A-Z][A-Z0-9_]{{1,19}}-[0-9]{{1,7}}') AS issue_ok,
   split_part(issue_key, '-', 1) AS project FROM keys"""
+    sql["split_keys"] = f"""WITH keys AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN c_mktsegment || '-' ELSE c_mktsegment || '-' || (o_orderkey * 1003) END AS issue_key FROM {_BASE})
+SELECT *, regexp_full_match(issue_key, '[A-Z][A-Z0-9_]{{1,19}}-[0-9]{{1,7}}') AS valid FROM keys"""
     sql["export_clean"] = f"""WITH {HEADS}
 SELECT issue_key, strftime(created, '%Y-%m-%dT%H:%M:%S+00:00') AS created, strftime(due_date, '%Y-%m-%dT%H:%M:%S+00:00') AS due_date,
   CASE WHEN k % 4 <= 1 THEN 0.0 ELSE {_r('k / 7', 4)} END AS odd, {_r('rule_score', 4)} AS risk_score FROM heads"""
@@ -678,15 +715,24 @@ SELECT issue_key, project_key, status, {_iso('updated + to_days(CAST(k % 4 AS IN
     sql["incremental_tickets"] = f"""WITH {HEADS}, {marks}
 SELECT issue_key, project_key, {_iso('updated')} AS updated FROM heads LEFT JOIN marks USING (project_key) WHERE mark IS NULL OR updated >= mark"""
     sql["advanced_marks"] = f"""WITH {HEADS}, {marks}
-SELECT p.project_key, CASE WHEN p.project_key IN ('BUILDING', 'FURNITURE') THEN strftime(mark, '%Y-%m-%d %H:%M') ELSE '2001-12-01 00:00' END AS last_ingest_date
-FROM (SELECT DISTINCT project_key FROM heads) p LEFT JOIN marks USING (project_key)"""
+SELECT h.project_key, CASE WHEN h.project_key IN ('BUILDING', 'FURNITURE') THEN strftime(any_value(mark), '%Y-%m-%d %H:%M')
+  ELSE strftime(max(updated), '%Y-%m-%dT%H:%M:%S.%fZ') END AS last_ingest_date
+FROM heads h LEFT JOIN marks USING (project_key) GROUP BY 1"""
     sql["recent_messages"] = f"""WITH {MESSAGES}
 SELECT event_id, channel_id, {_iso('ts')} AS datetime_utc FROM messages WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'"""
     sql["ingestion_summary"] = f"""WITH {HEADS}, c AS (
   SELECT project_key, count(*) AS tickets_ingested, count(*) FILTER (WHERE k % 11 <> 0) AS pii_detected, count(priority) / count(*) AS done FROM heads GROUP BY 1)
-SELECT project_key, tickets_ingested, pii_detected, done >= 0.8 AS quality_passed, CAST(done < 0.8 AS BIGINT) AS quality_violations, 'success' AS status FROM c"""
+SELECT project_key, tickets_ingested, pii_detected, done >= 0.8 AS quality_passed, CAST(done < 0.8 AS BIGINT) AS quality_violations, 'success' AS status FROM c
+UNION ALL SELECT 'IDLE', 0, 0, NULL, NULL, 'no_new_data' UNION ALL SELECT 'BROKEN', 0, 0, NULL, NULL, 'error'"""
     sql["lake_roundtrip"] = f"""WITH {HEADS}
-SELECT issue_key, project_key, status, rule_score, project_key AS project, '2024-01-04' AS date FROM heads WHERE project_key IN ('BUILDING', 'MACHINERY')"""
+SELECT issue_key, project_key, status, rule_score, day AS silver_date, project_key AS project, '2024-01-04' AS date,
+  CASE WHEN day = '2024-01-02' AND project_key IN ('BUILDING', 'MACHINERY') THEN true END AS filtered
+FROM heads CROSS JOIN (VALUES ('2024-01-02'), ('2024-01-03')) d(day) WHERE day = '2024-01-02' OR status = 'Done'"""
+    sql["newest_silver"] = f"""WITH {HEADS}
+SELECT issue_key, {_iso('updated + to_days(CAST(k % 4 AS INTEGER))')} AS updated, CAST(k % 4 AS INTEGER) AS version FROM heads"""
+    sql["repeated_load"] = f"""WITH {HEADS}
+SELECT project_key, count(*) AS tickets, CAST(count(priority) / count(*) < 0.8 AS BIGINT) AS alerts FROM heads GROUP BY 1"""
+    sql["expired_bronze"] = f"WITH {HEADS} SELECT project_key, '2024-02-15' AS date, count(*) AS tickets FROM heads GROUP BY 1"
     sql["catalog_table"] = f"""WITH {HEADS}
 SELECT project_key AS project, '2024-01-04' AS date, count(*) AS tickets, max(rule_score) AS top FROM heads GROUP BY 1"""
     sql["feedback"] = f"""WITH {HEADS}, f AS (
@@ -695,7 +741,7 @@ SELECT project_key AS project, '2024-01-04' AS date, count(*) AS tickets, max(ru
 SELECT project_key, feedback_type, '{star.AS_OF}' AS timestamp, k % 6 <> 0 AND k % 4 <> 1 AS stored, count(*) AS records FROM f GROUP BY ALL"""
 
     closed = _series(where=_STREAM_CLOSED)
-    sql["stream_sentiment"] = f"WITH {MESSAGES} {closed} SELECT * FROM series"
+    sql["stream_sentiment"] = sql["sentiment_timeseries_day"]
     sql["stream_dedup"] = f"WITH {MESSAGES} SELECT event_id, channel_id, user_id FROM messages"
     sql["stream_silver"] = f"""SELECT c_mktsegment || '-' || o_orderkey AS issue_key, c_mktsegment AS project, '2001-12-01' AS date,
   CASE WHEN o_orderkey % 11 <> 0 THEN 'Ask [EMAIL] about host [IP_ADDRESS] and order ' || o_orderkey END AS description,
@@ -703,6 +749,7 @@ SELECT project_key, feedback_type, '{star.AS_OF}' AS timestamp, k % 6 <> 0 AND k
     sql["stream_quality_alerts"] = f"""WITH {HEADS}
 SELECT '{fv.QUALITY_ALERT}' AS alert_type, project_key, CAST(1 AS BIGINT) AS violations, '{star.AS_OF}' AS created_at
 FROM heads GROUP BY project_key HAVING count(priority) / count(*) < 0.8"""
-    sql["stream_anomalies"] = f"""WITH {MESSAGES} {closed} {_anomalies()}
-SELECT project_key, window_start, avg_sentiment, z_score, anomaly_type FROM anomalies"""
+    shown = "SELECT project_key, window_start, avg_sentiment, z_score, anomaly_type FROM anomalies"
+    sql["stream_anomalies"] = f"WITH {MESSAGES} {_series()} {_anomalies()} {shown}"
+    sql["stream_closed_anomalies"] = f"WITH {MESSAGES} {closed} {_anomalies()} {shown}"
     return sql

@@ -4,6 +4,8 @@ Each takes (spark, sf_dir). Arrays are shown joined and timestamps as text, so
 that any SQL engine can be asked for the same values.
 """
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from lateline import fixed_values as fv
@@ -21,15 +23,15 @@ from lateline.plans.training import labelled_features, project_delay_summary
 from lateline.session import prepare
 from lateline.sources import star
 from lateline.sources.catalog import register_table
-from lateline.sources.lake import Lake
-from lateline.sources.pages import read_issue_pages, read_message_pages
+from lateline.plans.ingestion import ingest_tickets
+from lateline.sources.lake import Lake, path_exists
+from lateline.sources.pages import read_issue_pages, read_message_pages, rejected_issue_pages
 from lateline.sources.staging import new_path, settle
 from lateline.streaming import quality as stream_quality
 from lateline.streaming import sentiment as stream_sent
 from lateline.streaming import silver as stream_silver_pages
 
 DRIFT_CUT = "1999-01-01"
-DRIFT_FEATURES = fv.MODEL_FEATURES[:16] + ("comment_count",)
 FIXED_IMPORTANCE = [("sprint_rollover_count", 0.5), ("days_in_status", 0.25), ("story_points", 0.125), ("is_overdue", 0.0625)]
 QUALITY_RULES = {
     **fv.QUALITY_RULES,
@@ -38,7 +40,6 @@ QUALITY_RULES = {
     "sprint": {"type": "string"},
 }
 QUALITY_COLUMNS = ["project_key", "issue_key", "story_points", "status", "priority", "issue_type", "created", "resolution_date"]
-MODEL_ROUNDS = 8
 PERIOD = "2001-11-24 to 2001-12-01"
 CHUNK_BYTES = 2_000
 
@@ -53,6 +54,12 @@ def _series(spark, sf_dir, hours=24):
     return sent.sentiment_series(star.raw_messages(spark, sf_dir), hours)
 
 
+def _all_features(spark, sf_dir):
+    """Every model input: ticket, team and sentiment features."""
+    merged = merge_sentiment(team_features(_features(spark, sf_dir)), _series(spark, sf_dir))
+    return merged.withColumn("sentiment_velocity", F.floor(F.col("sentiment_velocity") * 1e4 + 0.5) / 1e4)
+
+
 def _labelled(spark, sf_dir, with_sentiment=False):
     series = _series(spark, sf_dir) if with_sentiment else None
     return labelled_features(star.tickets(spark, sf_dir), star.AS_OF, series)
@@ -70,7 +77,7 @@ def _scored_heads(spark, sf_dir):
 
 
 def _anomalies(spark, sf_dir):
-    return sent.sentiment_anomalies(settle(_series(spark, sf_dir), "series"))
+    return sent.sentiment_anomalies(_series(spark, sf_dir))
 
 
 def _as_text(df):
@@ -90,10 +97,7 @@ def q_ticket_features(spark, sf_dir):
 
 
 def q_team_features(spark, sf_dir):
-    staged = settle(
-        _features(spark, sf_dir).select("issue_key", "project_key", "assignee", "story_points", "status_category")
-    )
-    return team_features(staged).select("issue_key", "complexity_per_person", "team_wip", "assignee_load")
+    return team_features(_features(spark, sf_dir)).select("issue_key", "complexity_per_person", "team_wip", "assignee_load")
 
 
 def q_merged_sentiment(spark, sf_dir):
@@ -103,12 +107,12 @@ def q_merged_sentiment(spark, sf_dir):
 
 
 def q_delay_label(spark, sf_dir):
-    labelled = delay_label(settle(_features(spark, sf_dir), "features"))
+    labelled = delay_label(_features(spark, sf_dir))
     return labelled.select("issue_key", "project_key", "is_delayed")
 
 
 def q_delay_label_by_project(spark, sf_dir):
-    labelled = delay_label(settle(_features(spark, sf_dir), "features"), by_project=True)
+    labelled = delay_label(_features(spark, sf_dir), by_project=True)
     return labelled.select("issue_key", "project_key", "is_delayed")
 
 
@@ -117,9 +121,7 @@ def q_project_delay_summary(spark, sf_dir):
 
 
 def q_model_input(spark, sf_dir):
-    merged = merge_sentiment(team_features(settle(_features(spark, sf_dir), "features")), _series(spark, sf_dir))
-    rounded = merged.withColumn("sentiment_velocity", F.floor(F.col("sentiment_velocity") * 1e4 + 0.5) / 1e4)
-    return model_input(rounded, ["issue_key"])
+    return model_input(_all_features(spark, sf_dir), ["issue_key"])
 
 
 # ---- sentiment -------------------------------------------------------------
@@ -148,6 +150,11 @@ def q_sentiment_anomalies(spark, sf_dir):
     return sent.first_anomalies(_anomalies(spark, sf_dir))
 
 
+def q_sentiment_anomalies_all(spark, sf_dir):
+    """Hourly drops of each project, all of them."""
+    return sent.sentiment_anomalies(_series(spark, sf_dir, 1))
+
+
 def q_sentiment_anomalies_hourly(spark, sf_dir):
     series = sent.sentiment_series(star.raw_messages(spark, sf_dir), 1, keys=())
     return sent.sentiment_anomalies(series, keys=())
@@ -166,10 +173,9 @@ def q_sentiment_velocity(spark, sf_dir):
 # ---- model -----------------------------------------------------------------
 
 
-def _folded(spark, sf_dir, columns=()):
-    heads = star.ticket_heads(spark, sf_dir)
-    late = F.coalesce(F.col("resolution_date") > F.col("due_date"), F.lit(False)).cast("int")
-    return scoring.walk_forward(heads.select("issue_key", "created", late.alias("is_delayed"), "rule_score", *columns))
+def _folded(spark, sf_dir):
+    labelled = delay_label(_features(spark, sf_dir))
+    return scoring.walk_forward(labelled.select("issue_key", "created", "is_delayed", "rule_score"))
 
 
 def q_walk_forward_folds(spark, sf_dir):
@@ -194,37 +200,75 @@ _models = {}
 
 
 def _model(spark, sf_dir):
-    """Features and a model fitted once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _models:
-        features = settle(_labelled(spark, sf_dir, with_sentiment=True), "labelled")
-        _models[key] = (features, risk_model.fit_model(features, rounds=MODEL_ROUNDS))
-    return _models[key]
+    """Features and a model with the default rounds, fitted once per application and state of the inputs.
+
+    Kept as files of its own under the shared folder, which are looked for before they are used.
+    """
+    orders = star.table(spark, sf_dir, "orders").inputFiles()
+    state = spark.read.format("binaryFile").load(orders).agg(F.max("modificationTime"), F.sum("length")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _models or not path_exists(spark, _models[key]):
+        path = new_path(spark, "model")
+        features = _labelled(spark, sf_dir, with_sentiment=True)
+        inputs = [n for n in fv.MODEL_FEATURES if n in features.columns]
+        features.select("issue_key", "project_key", "is_delayed", *inputs).write.parquet(f"{path}/features")
+        model = risk_model.fit_model(spark.read.parquet(f"{path}/features"))
+        risk_model.save_model(spark, model, {"rounds": fv.BOOSTING_ROUNDS}, f"{path}/stored", "v1")
+        _models[key] = path
+    path = _models[key]
+    return spark.read.parquet(f"{path}/features"), risk_model.load_model(spark, f"{path}/stored")[0]
 
 
 def q_risk_model_scores(spark, sf_dir):
+    """Every ticket scored by the stored model, with what must hold of a score."""
     features, model = _model(spark, sf_dir)
-    return risk_model.score(features, model).select("issue_key", "project_key", "risk_score", "risk_level", "is_delayed")
+    score, level = F.col("risk_score"), F.col("risk_level")
+    fits = level == F.when(score >= fv.RISK_HIGH, "High").when(score >= fv.RISK_MEDIUM, "Medium").otherwise("Low")
+    scored = risk_model.score(features, model)
+    return scored.select("issue_key", "project_key", "is_delayed", score.between(0, 1).alias("in_range"), fits.alias("level_fits"))
 
 
 def q_feature_importance(spark, sf_dir):
-    return risk_model.importance_table(spark, _model(spark, sf_dir)[1])
+    """What must hold of the importances: known features, positive shares that add up to one."""
+    table = risk_model.importance_table(spark, _model(spark, sf_dir)[1])
+    known, share = F.col("feature").isin(*fv.MODEL_FEATURES), F.col("importance")
+    return table.agg(
+        F.count_if(~known).alias("unknown"),
+        F.count_if(share < 0).alias("negative"),
+        (F.abs(F.sum(share) - 1) < 0.01).alias("adds_up"),
+        (F.count_distinct("feature") == F.count("*")).alias("distinct"),
+    )
 
 
 def q_top_risk_factors(spark, sf_dir):
+    """Per ticket, how many factors it lists and whether each carries the ticket's own value."""
     features, model = _model(spark, sf_dir)
-    return scoring.top_factors(features, risk_model.feature_importance(model), ["issue_key"])
+    listed = scoring.top_factors(features, risk_model.feature_importance(model), ["issue_key"])
+    own = drift.long_form(features, ["issue_key"]).withColumnRenamed("value", "own")
+    joined = listed.join(own, ["issue_key", "feature"], "left")
+    same = F.col("value") == F.coalesce("own", F.lit(0.0))
+    return joined.groupBy("issue_key").agg(F.count("*").alias("factors"), F.bool_and(same).alias("own_values"))
+
+
+def q_model_storage(spark, sf_dir):
+    """Scores of a model before and after it is stored, per project."""
+    features, model = _model(spark, sf_dir)
+    path = new_path(spark, "stored")
+    risk_model.save_model(spark, model, {"rounds": fv.BOOSTING_ROUNDS}, path, "v2")
+    again, _ = risk_model.load_model(spark, path)
+    both = risk_model.probability(risk_model.probability(features, model, "before"), again, "after")
+    return both.groupBy("project_key").agg(F.count("*").alias("tickets"), F.count_if(F.col("before") != F.col("after")).alias("changed"))
 
 
 def q_ranked_factors(spark, sf_dir):
-    return scoring.top_factors(_features(spark, sf_dir), FIXED_IMPORTANCE, ["issue_key"], 3)
+    return scoring.top_factors(_features(spark, sf_dir), FIXED_IMPORTANCE, ["issue_key"])
 
 
 # ---- quality and drift -----------------------------------------------------
 
 
 def _quality(spark, sf_dir, keys=()):
-    tickets = settle(star.tickets(spark, sf_dir, None).select(*QUALITY_COLUMNS), "tickets")
+    tickets = star.tickets(spark, sf_dir, None).select(*QUALITY_COLUMNS)
     return quality.quality_report(tickets, QUALITY_RULES, keys)
 
 
@@ -262,8 +306,8 @@ def q_quality_alerts(spark, sf_dir):
 def _profiles(spark, sf_dir):
     """Feature profiles of the tickets created before and from the cut on, in one pass."""
     period = F.when(F.col("created") < F.lit(DRIFT_CUT).cast("timestamp"), "baseline").otherwise("current")
-    features = _features(spark, sf_dir).withColumn("period", period)
-    return drift.feature_profile(features, ["period"], DRIFT_FEATURES)
+    features = _all_features(spark, sf_dir).withColumn("period", period)
+    return drift.feature_profile(features, ["period"])
 
 
 def q_drift_profile(spark, sf_dir):
@@ -296,16 +340,16 @@ def q_baseline_roundtrip(spark, sf_dir):
     lake.save_baseline(profiles.where("period = 'baseline'").drop("period"), "v1")
     lake.save_baseline(profiles.where("period = 'current'").drop("period"), "v2")
     lake.save_baseline(profiles.where("period = 'current'").drop("period"), "v2")
-    return lake.load_baseline("v2").select("feature", "min", "max", "count")
+    names = ("mean", "std", "median", "p25", "p75")
+    return lake.load_baseline("v2").withColumns({n: F.floor(F.col(n) * 1e6 + 0.5) / 1e6 for n in names})
 
 
 def q_drift_status(spark, sf_dir):
     """One project's gold features against the stored baseline of all, as the drift page shows it."""
     lake = Lake(spark, new_path(spark, "lake"))
-    features = settle(_features(spark, sf_dir).drop("order_key"), "features")
-    lake.write_gold(features, run_date=star.AS_OF)
-    lake.save_baseline(drift.feature_profile(features, features=DRIFT_FEATURES))
-    report = monitoring.drift_status(lake, "BUILDING", features=DRIFT_FEATURES).report
+    lake.write_gold(_all_features(spark, sf_dir).drop("order_key"), run_date=star.AS_OF)
+    lake.save_baseline(drift.feature_profile(lake.read_gold()))
+    report = monitoring.drift_status(lake, "BUILDING").report
     names = ("baseline_mean", "current_mean")
     return report.withColumns({n: F.floor(F.col(n) * 1e6 + 0.5) / 1e6 for n in names})
 
@@ -361,7 +405,7 @@ def q_span_redaction(spark, sf_dir):
     """Documents redacted by a table of spans found earlier."""
     documents = star.texts(spark, sf_dir).select("doc_id", "text")
     spans = documents.select("doc_id", F.inline(entity_spans(F.col("text"))))
-    return redaction.apply_span_table(documents, settle(spans, "spans"), "doc_id")
+    return redaction.apply_span_table(documents, spans, "doc_id")
 
 
 def q_text_chunks(spark, sf_dir):
@@ -391,9 +435,9 @@ def q_radar_axes(spark, sf_dir):
 
 def q_ticket_lookup(spark, sf_dir):
     """The ticket with the highest key, looked up by that key; its factors beside it."""
-    predictions = settle(_predictions(spark, sf_dir), "predictions")
-    key = predictions.agg(F.max_by("issue_key", "order_key")).first()[0]
-    found = reports.ticket_lookup(predictions, key)
+    row = star.ticket_heads(spark, sf_dir).agg(F.max("order_key").alias("n"), F.max_by("issue_key", "order_key").alias("key")).first()
+    features = ticket_features(star.tickets(spark, sf_dir, order_key=row["n"]), star.AS_OF)
+    found = reports.ticket_lookup(scoring.with_risk(features, F.col("rule_score")), row["key"])
     factors = scoring.top_factors(found, FIXED_IMPORTANCE, ["issue_key", "project_key", "risk_score", "risk_level"])
     return factors.withColumn("key_project", project_of(F.col("issue_key")))
 
@@ -411,23 +455,23 @@ def q_score_digest(spark, sf_dir):
 
 
 def q_sentiment_digest(spark, sf_dir):
-    series = settle(_series(spark, sf_dir), "series")
+    series = _series(spark, sf_dir)
     return reports.sentiment_digest(series, sent.sentiment_anomalies(series))
 
 
 def q_report_context(spark, sf_dir):
-    series = settle(_series(spark, sf_dir), "series")
-    predictions = settle(scoring.with_risk(_features(spark, sf_dir), F.col("rule_score")), "predictions")
+    series = _series(spark, sf_dir)
+    predictions = scoring.with_risk(_features(spark, sf_dir), F.col("rule_score"))
     return reports.report_context(predictions, series, sent.sentiment_anomalies(series), PERIOD)
 
 
 def q_classification_prompts(spark, sf_dir):
-    return reports.classification_prompts(star.tickets(spark, sf_dir, "text"))
+    return reports.classification_prompts(star.tickets(spark, sf_dir, fv.PROMPT_DESCRIPTION_CHARS))
 
 
 def q_explanation_prompts(spark, sf_dir):
     scored = scoring.with_risk(_features(spark, sf_dir), F.col("rule_score"))
-    return reports.explanation_prompts(scored, FIXED_IMPORTANCE, 3)
+    return reports.explanation_prompts(scored, FIXED_IMPORTANCE)
 
 
 def q_anomaly_prompts(spark, sf_dir):
@@ -457,7 +501,7 @@ def q_cited_tickets(spark, sf_dir):
 
 def q_anomaly_analysis(spark, sf_dir):
     """Hourly anomalies joined to the replies about some of them."""
-    series = settle(_series(spark, sf_dir, 1), "series")
+    series = _series(spark, sf_dir, 1)
     found = sent.sentiment_anomalies(series)
     body = F.concat(F.lit('{"hypothesis":"'), F.col("message_count").cast("string"), F.lit(' messages","severity":"low"}'))
     answered = series.where(F.col("message_count") % 2 == 1).select("project_key", "window_start", body.alias("raw"))
@@ -503,7 +547,26 @@ def q_issue_flatten(spark, sf_dir):
 
 def q_message_flatten(spark, sf_dir):
     path = _landed(star.raw_message_pages(spark, sf_dir))
-    return read_message_pages(spark, path, oldest=100, ingested_at=star.AS_OF).drop("thread_ts")
+    return read_message_pages(spark, path, ingested_at=star.AS_OF).drop("thread_ts")
+
+
+def q_page_rejects(spark, sf_dir):
+    """Landed pages, some of them cut short: those read, and those kept as rejects."""
+    pages = star.raw_issue_pages(spark, sf_dir)
+    cut = F.get_json_object("value", "$.issues[0].id").cast("long") % 50 == 7
+    half = F.substr("value", F.lit(1), F.floor(F.length("value") / 2).cast("int"))
+    path = _landed(pages.select(F.when(cut, half).otherwise(F.col("value")).alias("value")))
+    read = read_issue_pages(spark, path, star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF).select("issue_id", F.lit("read").alias("outcome"))
+    lost = rejected_issue_pages(spark, path, star.POINTS_FIELD, star.SPRINT_FIELD)
+    number_of = F.regexp_extract("raw", r'"id":"(\d+)"', 1)
+    return read.unionByName(lost.select(number_of.alias("issue_id"), F.lit("rejected").alias("outcome")))
+
+
+def q_split_keys(spark, sf_dir):
+    """Rows parted by the format of their key."""
+    keys = q_key_validation(spark, sf_dir)
+    valid, invalid = flatten.split_by_key(keys.select("o_orderkey", "issue_key"), "issue_key", "issue")
+    return valid.withColumn("valid", F.lit(True)).unionByName(invalid.withColumn("valid", F.lit(False)))
 
 
 def q_nested_json(spark, sf_dir):
@@ -568,7 +631,7 @@ def q_incremental_tickets(spark, sf_dir):
 
 def q_advanced_marks(spark, sf_dir):
     batch = star.ticket_heads(spark, sf_dir).where("project_key not in ('BUILDING', 'FURNITURE')")
-    return incremental.advance_marks(_state(spark, sf_dir), batch, as_of=star.AS_OF)
+    return incremental.advance_marks(_state(spark, sf_dir), batch)
 
 
 def q_recent_messages(spark, sf_dir):
@@ -580,21 +643,74 @@ def q_recent_messages(spark, sf_dir):
 def q_ingestion_summary(spark, sf_dir):
     clean = settle(redaction.redact_records(_flat_issues(spark, sf_dir), fv.TICKET_TEXT_FIELDS), "clean")
     report = quality.quality_report(clean, None, ["project_key"])
-    return incremental.ingestion_summary(clean, report.summary)
+    asked = spark.createDataFrame([(name,) for name in ("BUILDING", "IDLE")], "project_key string")
+    errors = spark.createDataFrame([("BROKEN", "unreadable page")], "project_key string, error string")
+    return incremental.ingestion_summary(clean, report.summary, asked=asked, errors=errors)
 
 
 def q_lake_roundtrip(spark, sf_dir):
-    """Tickets through bronze, silver and gold; two projects of one date read back."""
+    """Tickets through bronze, silver and gold: all read back, and marked where a filtered read has them too."""
     lake = Lake(spark, new_path(spark, "lake"))
     heads = settle(star.ticket_heads(spark, sf_dir).select("issue_key", "project_key", "status", "rule_score"), "heads")
     lake.write_bronze(heads, "jira", "2024-01-01")
     raw = lake.read_bronze("jira", heads.schema)
     lake.write_silver(raw.drop("project", "date"), "jira", "2024-01-02")
     lake.write_silver(raw.where("status = 'Done'").drop("project", "date"), "jira", "2024-01-03")
-    silver = lake.read_silver("jira", ["BUILDING", "MACHINERY"], "2024-01-02", heads.schema)
-    lake.write_gold(silver.drop("project", "date"), run_date="2024-01-04")
-    gold = lake.read_gold(schema=heads.schema)
-    return gold.withColumn("date", F.col("date").cast("string"))
+    part = lake.read_silver("jira", ["BUILDING", "MACHINERY"], "2024-01-02", heads.schema)
+    part = part.select("issue_key", F.to_date("date").cast("string").alias("date"), F.lit(True).alias("filtered"))
+    silver = lake.read_silver("jira", schema=heads.schema).withColumn("date", F.to_date("date").cast("string"))
+    marked = silver.join(part, ["issue_key", "date"], "left").withColumnRenamed("date", "silver_date")
+    lake.write_gold(marked.drop("project"), run_date="2024-01-04")
+    return lake.read_gold().withColumn("date", F.col("date").cast("string"))
+
+
+def q_newest_silver(spark, sf_dir):
+    """Tickets ingested several times, one version each read back."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    lake.write_silver(_as_text(_versions(spark, sf_dir)), "jira", "2024-01-02")
+    return lake.read_silver("jira", newest_only=True).select("issue_key", "updated", "version")
+
+
+def q_repeated_load(spark, sf_dir):
+    """A load that is run twice under one id stores each ticket once."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    tickets = _flat_issues(spark, sf_dir)
+    for _ in range(2):
+        state = lake.load_state()
+        ingest_tickets(lake, tickets, star.AS_OF, run_id="run-1")
+        lake.save_state(state)  # as if the first run had ended before its marks moved
+    stored = lake.read_silver("jira").groupBy("project_key").agg(F.count("*").alias("tickets"))
+    alerted = lake.read_alerts().groupBy("project_key").agg(F.count("*").alias("alerts"))
+    return stored.join(alerted, "project_key", "left").select("project_key", "tickets", F.coalesce("alerts", F.lit(0)).alias("alerts"))
+
+
+def q_expired_bronze(spark, sf_dir):
+    """Bronze tickets of several dates, after those out of retention were deleted."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    heads = star.ticket_heads(spark, sf_dir).select("issue_key", "project_key")
+    for day in ("2024-01-01", "2024-02-15"):
+        lake.write_bronze(heads, "jira", day)
+    lake.expire_bronze(date(2024, 3, 1))
+    stored = lake.read_bronze("jira", heads.schema)
+    return stored.groupBy("project_key", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("tickets"))
+
+
+def q_open_retrain_requests(spark, sf_dir):
+    """Alerts stored, delivered and asked for; those served are left out."""
+    envelopes = star.alert_envelopes(star.texts(spark, sf_dir, "events"))
+    asked = alerts.retrain_requests(envelopes, ["PROJ", "ALPHA"], "event_id")
+    lake = Lake(spark, new_path(spark, "lake"))
+    monitoring.mark_served(lake, asked.where("event_id % 3 = 0"), "event_id")
+    return monitoring.open_requests(lake, asked, "event_id")
+
+
+def q_drift_alert(spark, sf_dir):
+    """The alert that a drift of the features raises."""
+    summary = drift.drift_summary(_drift(spark, sf_dir))
+    raised = alerts.drift_alerts(summary, as_of=star.AS_OF)
+    share = F.get_json_object("payload", "$.overall_drift_pct").cast("double")
+    first = F.get_json_object("payload", "$.drifted_features[0]")
+    return raised.select("alert_type", share.alias("overall_drift_pct"), first.alias("first_feature"), "created_at")
 
 
 def q_catalog_table(spark, sf_dir):
@@ -649,8 +765,8 @@ def _drain(query):
 def q_stream_sentiment(spark, sf_dir):
     timed = stream_sent.with_event_time(_event_stream(spark, sf_dir))
     out = new_path(spark, "windows")
-    _drain(stream_sent.write_closed_windows(stream_sent.windowed_sentiment(timed), out, out + "-checkpoint"))
-    return spark.read.parquet(out)
+    _drain(stream_sent.write_windows(stream_sent.windowed_sentiment(timed), out, out + "-checkpoint"))
+    return stream_sent.read_windows(spark, out)
 
 
 def q_stream_dedup(spark, sf_dir):
@@ -693,6 +809,12 @@ def q_stream_quality_alerts(spark, sf_dir):
 
 
 def q_stream_anomalies(spark, sf_dir):
+    """Drops among all windows of the stream, the open ones too."""
+    columns = ("project_key", "window_start", "avg_sentiment", "z_score", "anomaly_type")
+    return sent.sentiment_anomalies(q_stream_sentiment(spark, sf_dir)).select(*columns)
+
+
+def q_stream_closed_anomalies(spark, sf_dir):
     timed = stream_sent.with_event_time(_event_stream(spark, sf_dir))
     series, found = new_path(spark, "series"), new_path(spark, "anomalies")
     windows = stream_sent.windowed_sentiment(timed)

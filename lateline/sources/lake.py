@@ -1,5 +1,6 @@
 """The medallion lake: bronze JSON, silver and gold Parquet, by project and date."""
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -13,6 +14,12 @@ from lateline.operators.incremental import latest
 from lateline.schemas import ALERT, STATE
 
 _PARTITIONS = ["project", "date"]
+_RUN = "run"
+
+
+def _tier(tier, run_id):
+    """Runs with an id lie beside what was appended without one."""
+    return tier if run_id is None else f"{tier}_runs"
 
 
 def _filesystem(spark, path):
@@ -36,29 +43,45 @@ class Lake:
     def path(self, tier, name):
         return f"{self.root}/{tier}/{name}"
 
-    def _write(self, df, path, file_format, run_date, key):
+    def _write(self, df, path, file_format, run_date, key, run_id=None):
         day = F.date_format(moment(run_date), "yyyy-MM-dd")
         placed = df.withColumns({"project": F.col(key), "date": day})
         # even file sizes: small projects share a task, a dominant one is split over many
         placed = placed.hint("rebalance", "project")
-        placed.write.mode("append").partitionBy(*_PARTITIONS).format(file_format).option(
+        writer = placed.write.mode("append")
+        if run_id is not None:
+            # a folder per run, so that a repeated run replaces its own rows and no others
+            path = f"{path}/{_RUN}={run_id}"
+            writer = placed.write.mode("overwrite")
+        writer.partitionBy(*_PARTITIONS).format(file_format).option(
             "compression", "snappy" if file_format == "parquet" else "none"
         ).save(path)
         return path
 
-    def write_bronze(self, df, source, run_date=None, key="project_key"):
-        """Append raw records as JSON."""
-        return self._write(df, self.path("bronze", source), "json", run_date, key)
+    def write_bronze(self, df, source, run_date=None, key="project_key", run_id=None):
+        """Append raw records as JSON. A run with an id replaces what it wrote before."""
+        return self._write(df, self.path(_tier("bronze", run_id), source), "json", run_date, key, run_id)
 
-    def write_silver(self, df, source, run_date=None, key="project_key", json_text=False):
+    def write_silver(self, df, source, run_date=None, key="project_key", json_text=False, run_id=None):
         """Append sanitized records; nested columns stay nested unless JSON text is asked for."""
         df = nested_to_json(df) if json_text else df
-        return self._write(df, self.path("silver", source), "parquet", run_date, key)
+        return self._write(df, self.path(_tier("silver", run_id), source), "parquet", run_date, key, run_id)
 
     def write_gold(self, df, feature_set=fv.DEFAULT_FEATURE_SET, run_date=None, key="project_key"):
         """Append a feature set, all projects in one write."""
         return self._write(df, self.path("gold", feature_set), "parquet", run_date, key)
 
+    def _read_runs(self, tier, name, file_format, schema, projects, date, merge_schema):
+        """Rows appended without a run id and rows of runs, which lie apart."""
+        plain, runs = self.path(tier, name), self.path(_tier(tier, True), name)
+        if not path_exists(self.spark, runs):
+            return self._read(plain, file_format, schema, projects, date, merge_schema)
+        found = self._read(runs, file_format, schema, projects, date, merge_schema).drop(_RUN)
+        if not path_exists(self.spark, plain):
+            return found
+        appended = self._read(plain, file_format, schema, projects, date, merge_schema)
+        return appended.unionByName(found, allowMissingColumns=True)
+
     def _read(self, path, file_format, schema, projects, date, merge_schema):
         if not path_exists(self.spark, path):
             if schema is None:
@@ -78,22 +101,22 @@ class Lake:
         return df
 
     def read_bronze(self, source, schema, projects=None, date=None):
-        return self._read(self.path("bronze", source), "json", schema, projects, date, False)
+        return self._read_runs("bronze", source, "json", schema, projects, date, False)
 
     def read_silver(self, source, projects=None, date=None, schema=None, merge_schema=False, newest_only=False):
         """Silver rows of some projects and a date; the filters prune partitions.
 
         Re-ingested tickets are all there unless `newest_only` asks for one version each.
         """
-        rows = self._read(self.path("silver", source), "parquet", schema, projects, date, merge_schema)
+        rows = self._read_runs("silver", source, "parquet", schema, projects, date, merge_schema)
         return latest(rows) if newest_only else rows
 
     def read_gold(self, feature_set=fv.DEFAULT_FEATURE_SET, projects=None, date=None, schema=None, merge_schema=False):
         return self._read(self.path("gold", feature_set), "parquet", schema, projects, date, merge_schema)
 
     def training_tickets(self, source, projects, schema=None):
-        """Silver tickets of several projects in one scan; an error where there are none."""
-        tickets = self.read_silver(source, projects, schema=schema)
+        """The newest version of each silver ticket of several projects; an error where there are none."""
+        tickets = self.read_silver(source, projects, schema=schema, newest_only=True)
         if tickets.isEmpty():
             raise ValueError("No training data available in the Silver layer")
         return tickets
@@ -109,9 +132,10 @@ class Lake:
     def expire_bronze(self, as_of, days=fv.BRONZE_RETENTION_DAYS):
         """Delete bronze date folders older than `days` before `as_of` (a date)."""
         oldest = (as_of - timedelta(days=days)).isoformat()
-        filesystem, pattern = _filesystem(self.spark, f"{self.root}/bronze/*/project=*/date=*")
         dropped = []
-        for status in filesystem.globStatus(pattern) or []:
+        filesystem, pattern = _filesystem(self.spark, f"{self.root}/bronze/*/project=*/date=*")
+        _, of_runs = _filesystem(self.spark, f"{self.root}/{_tier('bronze', True)}/*/{_RUN}=*/project=*/date=*")
+        for status in [*(filesystem.globStatus(pattern) or []), *(filesystem.globStatus(of_runs) or [])]:
             folder = status.getPath()
             if folder.getName().removeprefix("date=") < oldest:
                 filesystem.delete(folder, True)
@@ -129,16 +153,18 @@ class Lake:
         stored = self.spark.read.parquet(self.path("models", "baseline_stats"))
         return stored.where(F.col("version") == version).drop("version")
 
-    def append_alerts(self, alerts):
-        path = self.path("gold", "alerts")
-        alerts.write.mode("append").partitionBy("alert_type").parquet(path)
+    def append_alerts(self, alerts, run_id=None):
+        """Append alerts; those of a run with an id replace what it stored before."""
+        path, run = self.path("gold", "alerts"), F.lit(run_id or uuid.uuid4().hex)
+        writer = alerts.withColumn(_RUN, run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("alert_type", _RUN).parquet(path)
         return path
 
     def read_alerts(self):
         path = self.path("gold", "alerts")
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], ALERT)
-        return self.spark.read.schema(ALERT).parquet(path)
+        return self.spark.read.schema(ALERT).parquet(path).select(*ALERT.fieldNames())
 
     def save_state(self, state):
         """Store the ingestion state as a new run; readers take the newest, so a failed write changes nothing."""

@@ -1,9 +1,35 @@
 """Landed API pages: files with one JSON page per line or file."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from lateline.operators.flatten import explode_issues, explode_messages, flatten_issues, flatten_messages
 from lateline.schemas import FIELD, MESSAGE_PAGE, issue_page
 
 
+_BROKEN = "_broken"
+
+
+def rejected_pages(spark, path, schema, multi_line=False):
+    """(file, raw) of the landed pages that are no JSON of the declared schema.
+
+    The readers below give no rows for such a page; here it is kept as it landed.
+    """
+    pages = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("file"), "value")
+    marked = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    read = F.from_json("value", marked, {"columnNameOfCorruptRecord": _BROKEN, "mode": "PERMISSIVE"})
+    filled = pages.where(F.trim("value") != "").withColumn("_read", read)
+    return filled.where(F.col(f"_read.{_BROKEN}").isNotNull()).select("file", F.col("value").alias("raw"))
+
+
+def rejected_issue_pages(spark, path, points_field, sprint_field, multi_line=False):
+    return rejected_pages(spark, path, issue_page(points_field, sprint_field), multi_line)
+
+
+def rejected_message_pages(spark, path, multi_line=False):
+    return rejected_pages(spark, path, MESSAGE_PAGE, multi_line)
+
+
 def read_fields(spark, path):
     """The tracker's field list."""
     return spark.read.schema(FIELD).json(path)

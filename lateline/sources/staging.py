@@ -3,11 +3,17 @@
 A staged table is written to the shared folder of the cluster, so it outlives
 the executor that made it. Read back, Spark knows its size in bytes. A join
 with it then becomes a broadcast only below spark.sql.autoBroadcastJoinThreshold
-and a shuffled join, which adaptive execution splits on skew, above it.
+and a shuffled join, which adaptive execution splits on skew, above it. Only
+small aggregates that several jobs read are staged, never the rows themselves.
 """
 
 import uuid
 
+from pyspark.sql import functions as F
+
+SALTS = 16
+SMALL_BYTES, SMALL_FILES = 64 << 20, 64
+
 
 def shared_dir(spark):
     """The cluster's checkpoint folder, or a folder in the warehouse where none is set."""
@@ -31,24 +37,33 @@ def settle(df, label="stage"):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(df, stats, keys):
-    """Left join of an aggregate to the rows it came from.
+def attach(df, stats, keys, row_key=None, salts=SALTS):
+    """Left join of an aggregate, unique in `keys`, to the rows it came from; nothing is written.
 
-    Staged, a small aggregate is broadcast and the rows stay where they are. For
-    a large one both sides of the join are plain shuffles, which is what adaptive
-    execution needs to split a hot key; right behind an aggregation it cannot.
+    Adaptive execution does not split a hot key right behind an aggregation. So
+    the rows of a key are dealt to `salts` places by the hash of `row_key`, and
+    the aggregate, one row per key, is laid out at each of them. Without `row_key`
+    keys hold few rows each and are joined plainly.
     """
-    return df.join(settle(stats, "stats"), keys, "left")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if row_key is None:
+        return df.join(stats, keys, "left")
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
+    laid = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(laid, [*keys, "_salt"], "left").select(*df.columns, *[c for c in stats.columns if c not in keys])
 
 
 def spread(scan):
-    """Spread a scan that is cut into too few tasks to keep the cores busy.
+    """Spread a small scan over the cores: a small file is read by one task however heavy its rows are.
 
-    A small file is read by one task however heavy the work on its rows is. An
-    input with two tasks per core or more is returned as it is, unshuffled.
+    Files of more than SMALL_BYTES together are left as they are scanned, so what
+    is shuffled here has a fixed bound; only the files' sizes are looked up.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
+    spark, files = scan.sparkSession, scan.inputFiles()
+    if not 0 < len(files) <= SMALL_FILES:
+        return scan
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return scan.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else scan
 
 
 def release_staged(spark):

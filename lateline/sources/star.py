@@ -59,9 +59,12 @@ def order_measures(lineitem):
     )
 
 
-def ticket_heads(spark, sf_dir):
-    """The ticket columns that come from orders and customers alone."""
-    orders = texts(spark, sf_dir, "orders")
+def ticket_heads(spark, sf_dir, order_key=None):
+    """The ticket columns that come from orders and customers alone; of one order if its key is given."""
+    if order_key is None:
+        orders = texts(spark, sf_dir, "orders")
+    else:
+        orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") == order_key)
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
@@ -91,14 +94,16 @@ def ticket_heads(spark, sf_dir):
     )
 
 
-def tickets(spark, sf_dir, description="words"):
-    """Tickets with their measures.
+def tickets(spark, sf_dir, description="words", order_key=None):
+    """Tickets with their measures; that of one order if its key is given.
 
-    description="words" counts the words of each document once, before the
-    join, so no text is shuffled; "text" carries the text; None leaves it out.
+    description="words" counts the words of each document once, before the join,
+    so no text is shuffled; a number carries so many characters of the text; None
+    leaves it out.
     """
-    heads = ticket_heads(spark, sf_dir)
-    measures = order_measures(table(spark, sf_dir, "lineitem"))
+    heads = ticket_heads(spark, sf_dir, order_key)
+    items = table(spark, sf_dir, "lineitem")
+    measures = order_measures(items if order_key is None else items.where(F.col("l_orderkey") == order_key))
     joined = heads.join(measures, heads.order_key == measures.l_orderkey, "left").drop("l_orderkey")
     zeros = {name: F.coalesce(name, F.lit(0)) for name in ("comment_count", "sprint_count", "link_count", "blocker_count")}
     joined = joined.withColumns(zeros)
@@ -109,7 +114,7 @@ def tickets(spark, sf_dir, description="words"):
     if description == "words":
         carried = documents.select("doc_id", word_count(F.col("text")).alias("description_word_count"))
     else:
-        carried = documents.select("doc_id", F.col("text").alias("description"))
+        carried = documents.select("doc_id", F.substring("text", 1, description).alias("description"))
     pointed = joined.withColumn("doc_id", F.col("order_key") % size)
     return pointed.join(carried, "doc_id", "left").drop("doc_id")
 

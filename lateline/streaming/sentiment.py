@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from lateline import fixed_values as fv
 from lateline.functions.numbers import exact_mean, iso_text, rounded
-from lateline.operators.sentiment import sent_at, sentiment_anomalies
+from lateline.operators.sentiment import sent_at
+from lateline.sources.lake import path_exists
 
 
 def with_event_time(messages, delay="2 hours"):
@@ -41,20 +42,58 @@ def write_closed_windows(series, path, checkpoint):
     return writer.trigger(availableNow=True).start(path)
 
 
+def write_windows(series, path, checkpoint):
+    """Store every window as it stands after each batch, open ones too; read_windows takes the newest."""
+
+    def store(batch, batch_id):
+        _overwrite_batch(batch, batch_id, path)
+
+    writer = series.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(store).trigger(availableNow=True).start()
+
+
+def read_windows(spark, path, keys=("project_key",)):
+    """Each window of write_windows once, as its newest batch left it."""
+    stored = spark.read.parquet(path)
+    whole = [name for name in stored.columns if name not in (*keys, "window_start", "batch_id")]
+    newest = F.max_by(F.struct(*whole), "batch_id").alias("_w")
+    return stored.groupBy(*keys, "window_start").agg(newest).select(*keys, "window_start", "_w.*")
+
+
 def flag_closed_windows(series, series_path, anomaly_path, checkpoint, threshold=fv.ANOMALY_SIGMAS):
     """Store closed windows and flag those far below all windows stored so far.
 
-    A batch writes its own partition and overwrites it when it is run again
-    after a failure, so nothing is stored twice.
+    What came before is kept as count, sum and sum of squares per project, so a batch
+    reads its own windows and one row per project. It writes its own partition and
+    overwrites it when it is run again after a failure, so nothing is stored twice.
     """
+    state_path, value = series_path.rstrip("/") + "-state", F.col("avg_sentiment")
 
     def store(batch, batch_id):
         spark = batch.sparkSession
+        batch.persist()
         _overwrite_batch(batch, batch_id, series_path)
-        schema = batch.schema.add("batch_id", "long")
-        stored = spark.read.schema(schema).parquet(series_path).where(F.col("batch_id") <= batch_id)
-        found = sentiment_anomalies(stored, threshold).where(F.col("batch_id") == batch_id)
-        _overwrite_batch(found.drop("batch_id"), batch_id, anomaly_path)
+        now = batch.groupBy("project_key").agg(
+            F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(value * value).alias("squares")
+        )
+        if path_exists(spark, state_path):
+            stored = spark.read.schema(now.schema.add("batch_id", "long")).parquet(state_path)
+            stored = stored.where(F.col("batch_id") < batch_id)
+            newest = stored.agg(F.max("batch_id")).scalar()
+            before = stored.where(F.col("batch_id") == newest).drop("batch_id")
+            summed = [F.sum(name).alias(name) for name in ("n", "total", "squares")]
+            now = now.unionByName(before).groupBy("project_key").agg(*summed)
+        _overwrite_batch(now, batch_id, state_path)
+        state = spark.read.schema(now.schema.add("batch_id", "long")).parquet(state_path)
+        state = state.where(F.col("batch_id") == batch_id).drop("batch_id")
+        mean = F.col("total") / F.col("n")
+        spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("squares") - F.col("total") * mean) / F.nullif(F.col("n") - 1, F.lit(0))))
+        z = F.try_divide(value - mean, F.when(spread > 1e-9, spread))  # equal values differ by rounding alone
+        low = batch.join(state, "project_key").withColumn("_z", z)
+        low = low.where((F.col("n") >= fv.ANOMALY_MIN_WINDOWS) & (F.col("_z") < -threshold))
+        found = low.withColumns({"z_score": rounded(F.col("_z"), 4), "anomaly_type": F.lit(fv.ANOMALY_TYPE)})
+        _overwrite_batch(found.drop("_z", "n", "total", "squares"), batch_id, anomaly_path)
+        batch.unpersist()
 
     writer = series.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(store).trigger(availableNow=True).start()

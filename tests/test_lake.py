@@ -102,11 +102,13 @@ def test_marks(spark, lake):
     df = spark.createDataFrame(rows, "project_key string, updated string")
     state = spark.createDataFrame([("P", "2024-01-05 00:00"), ("IDLE", "2023-01-01 00:00")], STATE)
     assert sorted(tuple(r) for r in I.since_mark(df, state).select("project_key", "updated").collect()) == [rows[2], rows[0]]
-    moved = {r[0]: r[1] for r in I.advance_marks(state, df, as_of="2024-02-01T10:20:30Z").collect()}
-    assert moved == {"P": "2024-02-01 10:20", "NEW": "2024-02-01 10:20", "IDLE": "2023-01-01 00:00"}
+    moved = {r[0]: r[1] for r in I.advance_marks(state, df).collect()}
+    assert moved == {"P": "2024-01-05 00:00", "NEW": "2020-01-01T00:00:00.000000Z", "IDLE": "2023-01-01 00:00"}
+    later = spark.createDataFrame([("P", "2024-01-05T00:00:00.250Z"), ("P", "bad")], "project_key string, updated string")
+    assert dict(map(tuple, I.advance_marks(state, later).collect()))["P"] == "2024-01-05T00:00:00.250000Z"
     assert lake.load_state().count() == 0
     lake.save_state(state)
-    lake.save_state(I.advance_marks(lake.load_state(), df, as_of="2024-02-01T10:20:30Z"))
+    lake.save_state(I.advance_marks(lake.load_state(), df))
     assert {r[0]: r[1] for r in lake.load_state().collect()} == moved
 
 
@@ -141,10 +143,34 @@ def test_ticket_ingestion(lake, make_tickets):
     assert lake.read_bronze("jira", TICKET, "PROJ").first()["description"] == "mail a@b.io"
     assert [(a["alert_type"], a["project_key"]) for a in lake.read_alerts().collect()] == [(fv.QUALITY_ALERT, "ALPHA")]
     # a second run takes only what was updated since
-    again = make_tickets(ticket(1), ticket(3, updated="2024-05-01T00:00:00Z"))
+    again = make_tickets(ticket(1, updated="2024-02-20T18:35:59Z"), ticket(3, updated="2024-05-01T00:00:00Z"))
     assert ingest_tickets(lake, again, "2024-05-02T00:00:00Z").first()["tickets_ingested"] == 1
 
 
+def test_a_repeated_run_stores_each_row_once(lake, make_tickets, monkeypatch):
+    batch = make_tickets(ticket(1), ticket(2, project_key="ALPHA", issue_key="ALPHA-2", status="Lost"))
+    lake.write_silver(make_tickets(ticket(9)), "jira", "2024-01-01")
+    with monkeypatch.context() as broken:
+        broken.setattr(Lake, "save_state", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest_tickets(lake, batch, AS_OF, run_id="r1")
+    ingest_tickets(lake, batch, AS_OF, run_id="r1")
+    assert sorted(r["issue_key"] for r in lake.read_silver("jira", schema=TICKET).collect()) == ["ALPHA-2", "PROJ-1", "PROJ-9"]
+    assert lake.read_bronze("jira", TICKET).count() == 2 and lake.read_alerts().count() == 1
+    assert ingest_tickets(lake, make_tickets(ticket(3, updated="2024-05-01T00:00:00Z")), AS_OF, run_id="r2").count() == 1
+    assert lake.read_silver("jira").count() == 4 and "run" not in lake.read_silver("jira").columns
+    assert len(lake.expire_bronze(date(2025, 1, 1))) == 3
+
+
+def test_outcomes(lake, make_tickets, spark):
+    asked = spark.createDataFrame([("PROJ",), ("CALM",)], "project_key string")
+    errors = spark.createDataFrame([("ODD", "no access")], "project_key string, error string")
+    rows = ingest_tickets(lake, make_tickets(ticket(1)), AS_OF, asked=asked, errors=errors).collect()
+    assert {r["project_key"]: (r["status"], r["tickets_ingested"]) for r in rows} == {
+        "PROJ": ("success", 1), "CALM": ("no_new_data", 0), "ODD": ("error", 0),
+    }
+
+
 def test_message_ingestion(lake, spark):
     rows = [("P", "C1", str(1704067200 + i * 3600), "mail a@b.io" if i % 2 else "fine", 0.5 if i < 90 else -0.9) for i in range(96)]
     df = spark.createDataFrame(rows, "project_key string, channel_id string, message_ts string, text string, sentiment_score double")
@@ -160,9 +186,10 @@ def test_staged_tables(spark):
     assert df.count() == 10 and df.schema["x"].dataType.simpleString() == "string"
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
     assert new_path(spark) != new_path(spark)
-    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == 4
-    many = spark.range(100, numPartitions=16)
-    assert spread(many) is many
+    small = settle(spark.range(100).coalesce(1))
+    assert spread(small).rdd.getNumPartitions() == 4
+    computed = spark.range(100, numPartitions=1)
+    assert spread(computed) is computed
 
 
 def test_release(spark):

@@ -22,7 +22,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(name for name in QUERIES if not name.startswith("op") and name != "pipeline"))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, SF)
     got = compared(df.columns, [tuple(row) for row in df.collect()])
@@ -34,7 +34,8 @@ def test_query(spark, db, name):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"risk_model_scores", "feature_importance", "top_risk_factors", "text_chunks"}
+    own = {name for name in QUERIES if not name.startswith("op") and name != "pipeline"}
+    assert own <= set(ORACLE)
 
 
 def test_entry(spark):

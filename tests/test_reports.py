@@ -44,14 +44,15 @@ def test_percent(spark):
 
 
 def test_summaries(scored):
-    df = scored(row(1, 0.8, status_category="Done"), row(2, 0.75), row(3, 0.5, status_category="In Progress"), row(4, 0.2), row(5, 0.1, project="Q"))
+    dock = [(1, 0.93, "In Progress"), (2, 0.41, "In Progress"), (3, 0.66, "Done"), (4, 0.72, "Done"), (5, 0.4, "Done"), (6, 0.08, "To Do")]
+    df = scored(*[row(n, s, "DOCK", status_category=c) for n, s, c in dock], row(7, 0.39, project="PIER"))
     risk = {r["project_key"]: r for r in R.project_risk(df).collect()}
-    assert [risk["P"][n] for n in ("total_tickets", "high_risk", "medium_risk", "low_risk", "avg_risk_score")] == [4, 2, 1, 1, 0.5625]
+    assert [risk["DOCK"][n] for n in ("total_tickets", "high_risk", "medium_risk", "low_risk", "avg_risk_score")] == [6, 2, 3, 1, 0.5333]
     facts = {r["project_key"]: r for r in R.report_facts(df).collect()}
-    assert [facts["P"][n] for n in ("completed", "in_progress", "high_risk")] == [1, 1, 2]
+    assert [facts["DOCK"][n] for n in ("completed", "in_progress", "high_risk")] == [3, 2, 2]
     digest = {r["project_key"]: r["score_digest"] for r in R.score_digest(df).collect()}
-    assert digest["P"] == "Risk Distribution: 2 High, 1 Medium, 1 Low\nAverage Risk Score: 56.25%\nTotal Tickets Scored: 4"
-    assert [r["issue_key"] for r in R.ticket_lookup(df, "Q-5").collect()] == ["Q-5"]
+    assert digest["DOCK"] == "Risk Distribution: 2 High, 3 Medium, 1 Low\nAverage Risk Score: 53.33%\nTotal Tickets Scored: 6"
+    assert [r["issue_key"] for r in R.ticket_lookup(df, "PIER-7").collect()] == ["PIER-7"]
 
 
 def test_high_risk_digest(scored):
@@ -129,7 +130,7 @@ def test_ticket_prompts(spark, scored):
         ('Here: {"key": "v"} and more.', '{"key":"v"}'),
         ('  {"a": {"b": [1]}}\n', '{"a":{"b":[1]}}'),
         ("```\nnot json\n```", None),
-        ("This is not JSON at all.", None),
+        ("The harbour master has nothing to add today", None),
         ("} wrong {", None),
         ("", None),
         (None, None),

@@ -1,5 +1,7 @@
 """Plans and values where one key holds a third of all rows."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,8 @@ from lateline.operators import team
 from lateline.operators.labels import delay_label
 from lateline.operators.reports import high_risk_digest
 from lateline.operators.sentiment import sentiment_series
-from lateline.sources.staging import settle
+from lateline.operators.quality import quality_report
+from lateline.sources.staging import settle, shared_dir
 
 ROWS = 60_000
 
@@ -50,28 +53,26 @@ def hot(spark):
     )
 
 
-def final_plan(df):
-    df.write.format("noop").mode("overwrite").save()
-    execution = df._jdf.queryExecution()
-    df.collect()
-    return execution.executedPlan().toString()
-
-
-def test_hot_keys_split_in_the_shuffled_join(spark, hot, small_limits):
+def test_hot_keys_are_dealt_to_many_tasks(spark, hot, small_limits):
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    joined = team.merge_sentiment(hot, hot.limit(0).selectExpr("project_key", "'' AS window_start", "0.0D AS avg_sentiment"))
+    sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == ROWS and max(sizes) < ROWS / 3
     joined = team.team_features(hot)
-    plan = final_plan(joined)
-    assert "skew=true" in plan and "BroadcastHashJoin" not in plan
     row = joined.where("project_key = 'HOT'").agg(F.count("*").alias("n"), F.max("assignee_load").alias("load")).first()
     expected = hot.where("assignee = 'busy'").agg(F.sum("story_points").alias("s")).first()["s"]
     assert (row["n"], row["load"]) == (ROWS // 3, expected)
     assert joined.where("assignee IS NULL AND assignee_load <> 0").count() == 0
+    assert joined.columns == [*hot.columns, "complexity_per_person", "team_wip", "assignee_load"]
 
 
-def test_small_aggregates_leave_the_tickets_in_place(hot):
-    plan = team.team_features(hot)._jdf.queryExecution().executedPlan().toString()
-    # the only exchanges are on the aggregates' side: the tickets are scanned and joined
-    ticket_side = plan.split("BuildRight")[-1]
-    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in ticket_side
+def test_features_write_nothing_before_an_action(spark, hot):
+    folder = shared_dir(spark)
+    before = sorted(str(p) for p in Path(folder).rglob("part-*"))
+    team.team_features(hot)
+    quality_report(hot, {"story_points": {"type": "numeric", "min": 1}}, ["project_key"]).summary
+    assert sorted(str(p) for p in Path(folder).rglob("part-*")) == before
 
 
 def test_group_aggregates_combine_before_the_shuffle(hot):

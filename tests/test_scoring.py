@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -152,6 +153,14 @@ def test_training_from_the_lake(spark, tickets, tmp_path):
     with pytest.raises(ValueError, match="No training data"):
         M.run_training(lake, ["EMPTY"])
 
+    # a delivered drift alert leads to one training, and is then served
+    message = json.dumps({"alert_type": fv.DRIFT_ALERT, "overall_drift_pct": 60.0})
+    envelope = json.dumps({"Records": [{"Sns": {"Message": message}}]})
+    delivered = spark.createDataFrame([(1, envelope), (2, envelope)], "id int, envelope string")
+    options = dict(as_of=AS_OF, folds=2, **TREES)
+    assert monitoring.retrain(lake, delivered, ["PROJ", "ALPHA"], "id", version="v2", **options)["model_version"] == "v2"
+    assert monitoring.retrain(lake, delivered, ["PROJ", "ALPHA"], "id", version="v3", **options) is None
+
 
 def test_project_delay_summary(tickets):
     rows = {r["project_key"]: r for r in project_delay_summary(labelled_features(tickets, AS_OF)).collect()}

@@ -36,6 +36,18 @@ def test_windows_equal_the_batch(spark, tmp_path):
     assert len(batch) == 5 and got == batch[:4]  # the last window is still open
 
 
+def test_all_windows_are_stored(spark, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    everything = hourly(5) + hourly(3, "Q")
+    for part in (everything[:70], everything[70:]):
+        path, stream = messages(spark, tmp_path, part)
+        windows = sentiment.windowed_sentiment(sentiment.with_event_time(stream, "30 days"))
+        sentiment.write_windows(windows, out, checkpoint).awaitTermination()
+    got = sentiment.read_windows(spark, out)
+    batch = sentiment_series(spark.read.schema(MESSAGES).parquet(path)).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.count() == 8
+
+
 def test_a_second_run_goes_on_where_the_first_stopped(spark, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     everything = hourly(6)
