@@ -1,8 +1,7 @@
 """BPE encoding in batched numpy merge rounds, and decoding.
 
-Words never hold white space, so a text is parted at it and what was encoded
-before is remembered. The words of a batch that were not seen before are encoded
-together: the symbols of all of them lie in one flat array. Every round forms the pair keys of all
+The words of a batch that were not seen before are encoded together: the symbols
+of all of them lie in one flat array. Every round forms the pair keys of all
 neighbours, finds their ranks by binary search over the sorted keys of the merge
 table, and merges the lowest-ranked pair of every word at once, so the number of
 rounds is that of the longest merge chain of a word, not the number of words.
@@ -26,7 +25,7 @@ from tokenizers import Tokenizer
 from lateline.llm.common import map_batches
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 250_000  # chunks a worker remembers; beyond it starts afresh, results do not depend on it
+CACHE_WORDS = 400_000  # words a worker remembers; beyond it starts afresh, results do not depend on it
 _NO_RANK = np.iinfo(np.int64).max
 
 
@@ -109,53 +108,52 @@ class Encoder:
         found = self.keys[place] == key
         return found, place, np.where(found, self.ranks[place], _NO_RANK)
 
-    def learn(self, chunks):
-        """Encode chunks that are not in the cache yet; their words are merged together, each once."""
-        split = {chunk: [chunk[0]] if chunk.__class__ is tuple else self.words_of(chunk) for chunk in chunks if chunk not in self.cache}
-        if not split:
+    def learn(self, words):
+        """Encode words (text) that are not in the cache yet."""
+        new = [word for word in words if word not in self.cache]
+        if not new:
             return
-        words = list({word for found in split.values() for word in found})
-        ids = {}
-        if words:
-            flat, bounds = self.merge_words([word.encode("utf-8") for word in words])
-            raw, cuts = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
-            ids = {word: raw[start:end] for word, start, end in zip(words, cuts[:-1], cuts[1:], strict=True)}
-        for chunk, found in split.items():
-            self.cache[chunk] = ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found))
+        flat, bounds = self.merge_words([word.encode("utf-8") for word in new])
+        raw, cuts = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
+        for word, start, end in zip(new, cuts[:-1], cuts[1:], strict=True):
+            self.cache[word] = raw[start:end]
 
     # -- texts
 
     def encode_batch(self, texts):
         """The ids of each text (None: empty) as little-endian unsigned 32-bit integers, in bytes."""
-        split = [self._chunks(text or "") for text in texts]
+        split = [self._words(text or "") for text in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = dict(self.special_ids)
-        self.learn(set().union(*split))
+        self.learn({word for words in split for word in words})
         found = self.cache.__getitem__
-        return [b"".join(map(found, chunks)) for chunks in split]
+        out = []
+        for words in split:
+            out.append(b"".join(map(found, words)))
+        return out
 
-    def _chunks(self, text):
-        """What white space parts, in lower case; special tokens are taken out first and stand as their id's bytes."""
+    def _words(self, text):
+        """Words of the normalised text; special tokens in it are taken out first and stand as their id's bytes."""
         if "<|" not in text:
-            return self._plain_chunks(text)
-        chunks = []
+            return self._plain_words(text)
+        words = []
         for piece in self.split_special(text):
             if piece in self.special:
-                chunks.append(int(self.special[piece]).to_bytes(4, "little"))
+                words.append(int(self.special[piece]).to_bytes(4, "little"))
             else:
-                chunks.extend(self._plain_chunks(piece))
-        return chunks
+                words.extend(self._plain_words(piece))
+        return words
 
-    def _plain_chunks(self, text):
-        """Chunks of a text in which everyday scripts are normalised here; of others the library's words, as tuples.
+    def _plain_words(self, text):
+        """Words of a text in which everyday scripts are normalised here, others by the library.
 
         What is a letter and what its lower case is depends on the Unicode version
         for characters off the everyday ranges; the library's own is the one to match.
         """
         if not _RARE(text):
-            return normalise(text).split()
+            return self.words_of(normalise(text))
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [(bytes(map(self.byte_of.__getitem__, word)).decode("utf-8"),) for word, _ in split]
+        return [bytes(map(self.byte_of.__getitem__, word)).decode("utf-8") for word, _ in split]
 
     def decode(self, ids):
         """Tokens of the ids, joined by single spaces; ids are bytes as encode_batch returns them."""
@@ -172,9 +170,8 @@ def _without_overlap(chosen):
     return chosen & ((at - begun) % 2 == 0)
 
 
-# off the ranges whose characters stand alone under NFC and mean the same in all versions of Unicode;
-# also what counts as white space for some only
-_RARE = regex.compile(r"[\x1c-\x1f\x85]|[^\0-\u024f\u0391-\u03c9\u0410-\u044f\u2013-\u2026\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]").search
+# off the ranges whose characters stand alone under NFC and mean the same in all versions of Unicode
+_RARE = regex.compile(r"[^\0-\u024f\u0391-\u03c9\u0410-\u044f\u2013-\u2026\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]").search
 
 
 def normalise(text):

@@ -5,8 +5,8 @@ from lateline.session import prepare
 SPACE = " \t\n\x0b\x0c\r"  # the six ASCII white-space characters that part words
 # Python workers get batches bounded in rows and bytes, so a run of very long texts stays small
 BATCHES = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

@@ -21,7 +21,7 @@ BUCKETS = 4096
 FIT_DOCUMENTS = 8_000  # expected number of documents the scorer is fitted on
 THRESHOLD = 0.5
 EM_ROUNDS = 200
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 # ---- what is seen in a text ----------------------------------------------------
 
