@@ -120,17 +120,26 @@ def apply_spans(text, spans):
         size = F.greatest(end - begin, F.lit(0)) * 4
         return F.decode(F.substring(wide, begin * 4 + 1, size), "UTF-32")
 
-    def filled(wide, sorted_spans):
+    def filled(wide, sorted_spans, reach):
         def before(span, i):
-            last = F.when(i > 0, F.get(sorted_spans, i - 1)["e"]).otherwise(0)
+            last = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
             return F.concat(piece(wide, last, span["b"]), span["p"])
 
-        tail = F.get(sorted_spans, F.size(sorted_spans) - 1)["e"]
+        tail = F.get(reach, F.size(reach) - 1)
         rest = F.decode(F.substring(wide, tail * 4 + 1, F.greatest(F.octet_length(wide) - tail * 4, F.lit(0))), "UTF-32")
         return F.concat(F.array_join(F.transform(sorted_spans, before), ""), rest)
 
+    def furthest(sorted_spans):  # behind each span, the furthest end so far: a span may hold the next one
+        def further(seen, span):
+            return F.concat(seen, F.array(F.greatest(F.get(seen, F.size(seen) - 1), span["e"])))
+
+        return F.aggregate(sorted_spans, F.array().cast("array<int>"), further)
+
     def replaced(sorted_spans):
-        return bind(F.encode(text, "UTF-32"), lambda wide: filled(wide, sorted_spans))
+        return bind(
+            furthest(sorted_spans),
+            lambda reach: bind(F.encode(text, "UTF-32"), lambda wide: filled(wide, sorted_spans, reach)),
+        )
 
     return F.when(F.size(ordered) == 0, text).otherwise(bind(ordered, replaced))
 

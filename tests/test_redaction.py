@@ -70,6 +70,15 @@ def test_spans_are_replaced_from_the_right(spark):
     assert got == ["[NAME] has [PET] [DATETIME]!", "none", "null"]
 
 
+def test_spans_within_a_span_leave_nothing_of_it(spark):
+    outer, inner, after = ("NAME", 1.0, 0, 10), ("PET", 1.0, 2, 4), ("AGE", 1.0, 6, 8)
+    schema = "n int, text string, spans array<struct<type:string,score:double,begin:int,end:int>>"
+    cases = [[inner, outer], [after, inner, outer], [outer, inner, ("AGE", 1.0, 8, 12)], [outer, inner, ("AGE", 1.0, 12, 13)]]
+    df = spark.createDataFrame([(n, "0123456789abcdef", spans) for n, spans in enumerate(cases)], schema)
+    got = [r[0] for r in df.orderBy("n").select(R.apply_spans(F.col("text"), F.col("spans"))).collect()]
+    assert got == ["[NAME][PET]abcdef", "[NAME][PET][AGE]abcdef", "[NAME][PET][AGE]cdef", "[NAME][PET]ab[AGE]def"]
+
+
 def test_overlapping_spans_and_wide_characters(spark):
     spans = [("PET", 1.0, 4, 8), ("NAME", 1.0, 0, 6), ("AGE", 1.0, 9, 10)]
     schema = "text string, spans array<struct<type:string,score:double,begin:int,end:int>>"
