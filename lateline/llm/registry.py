@@ -9,6 +9,7 @@ from lateline.llm import (
     quality_rules,
     quotes,
     simhash,
+    token_ids,
     urls,
     warc,
     weak_labels,
@@ -25,6 +26,7 @@ _OPERATORS = {
     "op8_embedding_near_duplicates": embeddings,
     "op9_url_filter": urls,
     "op10_rule_ledger": quality_rules,
+    "op12_simple8b_token_ids": token_ids,
 }
 
 
