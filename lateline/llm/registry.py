@@ -13,6 +13,7 @@ from lateline.llm import (
     urls,
     warc,
     weak_labels,
+    whitening,
 )
 
 _OPERATORS = {
@@ -27,6 +28,7 @@ _OPERATORS = {
     "op9_url_filter": urls,
     "op10_rule_ledger": quality_rules,
     "op12_simple8b_token_ids": token_ids,
+    "op13_qdwh_whitening": whitening,
 }
 
 
