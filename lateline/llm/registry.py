@@ -8,6 +8,7 @@ from lateline.llm import (
     packing,
     quality_rules,
     quotes,
+    repair,
     simhash,
     token_ids,
     urls,
@@ -27,6 +28,7 @@ _OPERATORS = {
     "op8_embedding_near_duplicates": embeddings,
     "op9_url_filter": urls,
     "op10_rule_ledger": quality_rules,
+    "op11_auction_repair": repair,
     "op12_simple8b_token_ids": token_ids,
     "op13_qdwh_whitening": whitening,
 }
