@@ -8,16 +8,17 @@ sequence crosses documents and none needs padding, whatever the lengths.
 """
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lateline.llm.bpe import VOCABULARY, encoder
+from lateline.llm.bpe import VOCABULARY
 from lateline.llm.common import map_batches
+from lateline.llm.tokens import chunk_encoder
 
 LONGEST, END_ID = 2048, 1
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 def piece_lengths(n, longest=LONGEST):
@@ -32,28 +33,31 @@ def pieces(docs, longest=LONGEST, end_id=END_ID, vocabulary=VOCABULARY, with_ids
     length 1. `length` is the piece's bucket. Each piece is its own sequence with a
     number of its own, also where rows are repeated; numbers of a bucket are not dense.
     """
-    end = int(end_id).to_bytes(4, "little")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def batch_of(batch):
-        columns = [[] for _ in range(6)]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode_batch(batch.column(1).to_pylist()), strict=True):
-            ids += end
-            n = len(ids) // 4
-            lengths = piece_lengths(n, longest)
-            starts = np.cumsum([0, *lengths[:-1]]).tolist()
-            cuts = [ids[4 * s : 4 * (s + k)] for s, k in zip(starts, lengths, strict=True)]
-            columns[0] += [doc_id] * len(lengths)
-            columns[1] += starts
-            columns[2] += lengths
-            columns[3] += map(zlib.crc32, cuts)
-            columns[4] += [n] * len(lengths)
-            columns[5] += cuts if with_ids else [None] * len(lengths)
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        ids, bounds = chunk_encoder(vocabulary).encode(batch.column(1))
+        ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+        bounds = bounds + np.arange(len(bounds))
+        tokens = np.diff(bounds)
+        lengths = [piece_lengths(n, longest) for n in tokens.tolist()]
+        counts = np.fromiter(map(len, lengths), np.int64, len(lengths))
+        length = np.fromiter(chain.from_iterable(lengths), np.int64, int(counts.sum()))
+        end = np.cumsum(length)
+        raw, cuts = memoryview(ids.tobytes()), list(zip((4 * (end - length)).tolist(), (4 * end).tolist(), strict=True))
+        columns = [
+            batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))),
+            pa.array(end - length - np.repeat(bounds[:-1], counts)),
+            pa.array(length),
+            pa.array(np.fromiter((zlib.crc32(raw[a:b]) for a, b in cuts), np.int64, len(cuts))),
+            pa.array(np.repeat(tokens, counts)),
+        ]
+        if with_ids:
+            columns.append(pa.array([bytes(raw[a:b]) for a, b in cuts], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, [*names, "ids"] if with_ids else names)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    cut = map_batches(docs, batch_of, _PIECES)
+    cut = map_batches(docs, batch_of, ", ".join(f"{name} long" for name in names) + (", ids binary" if with_ids else ""))
     return cut.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
