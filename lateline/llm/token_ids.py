@@ -27,7 +27,7 @@ from lateline.llm.tokens import chunk_encoder
 from lateline.sources.staging import new_path, settle
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
-BLOCK = 4096
+BLOCK = 16_384
 FRAME_IDS = 1 << 18  # a frame is closed at so many ids; a longer document makes a longer frame
 MARK = "\n<end-of-frame>\n"
 MAGIC = int.from_bytes(b"simple8b", "little")
@@ -44,20 +44,27 @@ _NULL = np.uint64(1 << 63)  # in a document's size: its doc_id is null
 def pack(ids):
     """(words, escapes) of one block of unsigned ids."""
     n = len(ids)
-    best = np.full(n, _ESCAPE)
-    at = np.arange(n)
+    wide = np.zeros(n + int(_COUNTS[0]), np.int8)  # bits of each id; behind the end everything fits
+    halves = np.frexp((ids >> np.uint64(32)).astype(np.float64))[1], np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    wide[:n] = np.where(halves[0] > 0, halves[0] + 32, halves[1])
+    widest, best = int(wide.max(initial=0)), np.full(n, _ESCAPE, np.int8)
+    spans = {1: wide}  # the widest of so many ids from each place on
+    for size in (1, 2, 4, 8, 16, 32, 64):
+        spans[2 * size] = np.maximum(spans[size][:-size], spans[size][size:])
     for selector in range(15, -1, -1):  # the more ids a word packs, the later it is tried
-        if selector == _ESCAPE:
-            continue
         width, count = int(_WIDTHS[selector]), int(_COUNTS[selector])
-        wide = np.concatenate([[0], np.cumsum(ids >> np.uint64(width) != 0)])
-        best[wide[np.minimum(at + count, n)] == wide[:-1]] = selector
-    onward, starts, here = (at + _COUNTS[best]).tolist(), [], 0
+        if width >= widest and selector != _ESCAPE:
+            best[:] = selector
+        elif selector != _ESCAPE:
+            size = 1 << count.bit_length() - 1
+            span = np.maximum(spans[size][:n], spans[size][count - size : count - size + n])
+            np.copyto(best, np.int8(selector), where=span <= width)
+    steps, starts, here = _COUNTS.astype(np.uint8)[best].tobytes(), [], 0
     while here < n:
         starts.append(here)
-        here = onward[here]
+        here += steps[here]
     starts = np.array(starts, np.int64)
-    selectors = best[starts]
+    selectors = best[starts].astype(np.int64)
     words = selectors.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(240, np.uint64)])
     for selector in np.unique(selectors):
@@ -65,9 +72,10 @@ def pack(ids):
         if selector == _ESCAPE:
             words[rows] |= np.arange(len(rows), dtype=np.uint64)
         elif selector:
-            place = np.arange(_COUNTS[selector])
-            shifts = (place * _WIDTHS[selector]).astype(np.uint64)
-            words[rows] |= np.bitwise_or.reduce(padded[starts[rows][:, None] + place] << shifts, axis=1)
+            packed = words[rows]
+            for place in range(_COUNTS[selector]):
+                packed |= padded[starts[rows] + place] << np.uint64(place * _WIDTHS[selector])
+            words[rows] = packed
     return words, ids[starts[selectors == _ESCAPE]]
 
 

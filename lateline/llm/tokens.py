@@ -11,18 +11,25 @@ one gather over a flat array lays out the ids.
 
 import json
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lateline.llm.bpe import byte_letters
+
 CACHE_BYTES = 128 << 20  # what a worker remembers; beyond it starts afresh, results do not depend on it
-_LIBRARY_TEXTS = 4096  # texts handed to the library at a time
+_LIBRARY_TEXTS = 256  # words handed to the library at a time
 # characters that are certainly no white space and combine with nothing before them
 _FIRM = "[!-~¡-¬®-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥가-힣]"
 _LEADS = ("", " ", "\n")
+# a word of letters, and marks behind it: two tokens' worth under a byte-level vocabulary's pattern
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)?").fullmatch
+_LETTERS = dict(enumerate(byte_letters()))
 
 
 class ChunkEncoder:
@@ -52,10 +59,9 @@ class ChunkEncoder:
         known = self.number[lead]
         for at in range(0, len(words), _LIBRARY_TEXTS):
             part = words[at : at + _LIBRARY_TEXTS]
-            chunks = [_LEADS[lead] + word for word in part] if lead else part
-            encoded = self.library.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-            flat = np.array(encoded.ids, np.uint32)
-            sizes = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part))
+            ids = self._ids([_LEADS[lead] + word for word in part])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
             self.store = _room(self.store, self.used + len(flat))
             self.starts, self.sizes = _room(self.starts, self.chunks + len(part)), _room(self.sizes, self.chunks + len(part))
             self.store[self.used : self.used + len(flat)] = flat
@@ -66,6 +72,24 @@ class ChunkEncoder:
             self.chunks += len(part)
             self.held += 120 * len(part) + sum(map(len, part)) + 4 * len(flat)
 
+    def _ids(self, chunks):
+        """The ids of each chunk; plain words go to the library's model without its pattern."""
+        out = [None] * len(chunks)
+        if self.leads:
+            tokenize, found = self.library.model.tokenize, map(_PLAIN, chunks)
+            for i, match in enumerate(found):
+                if match:
+                    word, marks = match.groups()
+                    ids = [token.id for token in tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
+                    out[i] = ids + [token.id for token in tokenize(marks)] if marks else ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        encoded = self.library.encode([chunks[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
+        bounds = np.append(0, np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(rest)))).tolist()
+        ids = encoded.ids
+        for place, i in enumerate(rest):
+            out[i] = ids[bounds[place] : bounds[place + 1]]
+        return out
+
     def _numbers(self, lead, words):
         """Numbers of words (each once) behind a lead."""
         known = self.number[lead]
