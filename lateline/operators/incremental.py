@@ -14,12 +14,20 @@ def with_marks(df, state, key="project_key"):
 
 
 def since_mark(df, state, key="project_key", updated="updated"):
-    """Rows updated at or after their project's mark; all rows of a new project."""
-    mark = F.col("last_ingest_date").try_cast("timestamp")
-    fresh = mark.isNull() | (F.col(updated).try_cast("timestamp") >= mark)
+    """Rows updated at or after their project's mark; all rows of a new project.
+
+    A row whose update cannot be read may be new, so it is taken each time.
+    """
+    mark, moved = F.col("last_ingest_date").try_cast("timestamp"), F.col(updated).try_cast("timestamp")
+    fresh = mark.isNull() | moved.isNull() | (moved >= mark)
     return with_marks(df, state, key).where(fresh).drop("last_ingest_date")
 
 
+def undated(df, updated="updated"):
+    """Rows whose update cannot be read: no mark can tell whether they were loaded before."""
+    return df.where(F.col(updated).try_cast("timestamp").isNull())
+
+
 def advance_marks(state, batch, key="project_key", updated="updated"):
     """New state: the newest update that was read, in full, for projects that brought rows.
 

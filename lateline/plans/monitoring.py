@@ -10,7 +10,7 @@ from lateline.operators.drift import drift_report, drift_summary, feature_profil
 from lateline.operators.reports import report_context
 from lateline.operators.sentiment import sentiment_anomalies, sentiment_series
 from lateline.plans.risk_model import load_model, run_training, score
-from lateline.sources.lake import path_exists
+from lateline.sources.lake import new_run_id, path_exists
 from lateline.sources.staging import settle
 
 PREDICTIONS = "predictions"
@@ -38,11 +38,11 @@ def watch_drift(lake, projects=None, version="latest", threshold=fv.DRIFT_THRESH
     return status
 
 
-def run_scoring(lake, projects=None, version="latest", run_date=None):
-    """Score gold features once with a stored model; the read models read the result."""
+def run_scoring(lake, projects=None, version="latest", run_date=None, run_id=None):
+    """Score gold features with a stored model; of each project and date the newest run's result is read."""
     model, _ = load_model(lake.spark, lake.path("models", "risk_model"), version)
     predictions = score(lake.read_gold(projects=projects), model)
-    lake.write_gold(predictions.drop("project", "date"), PREDICTIONS, run_date)
+    lake.write_gold(predictions.drop("project", "date"), PREDICTIONS, run_date, run_id=run_id or new_run_id())
     return lake.read_gold(PREDICTIONS, projects)
 
 

@@ -732,6 +732,34 @@ FROM heads CROSS JOIN (VALUES ('2024-01-02'), ('2024-01-03')) d(day) WHERE day =
 SELECT issue_key, {_iso('updated + to_days(CAST(k % 4 AS INTEGER))')} AS updated, CAST(k % 4 AS INTEGER) AS version FROM heads"""
     sql["repeated_load"] = f"""WITH {HEADS}
 SELECT project_key, count(*) AS tickets, CAST(count(priority) / count(*) < 0.8 AS BIGINT) AS alerts FROM heads GROUP BY 1"""
+    landed = f"""numbered AS (SELECT project_key, row_number() OVER (PARTITION BY project_key ORDER BY k) - 1 AS pos, count(*) OVER (PARTITION BY project_key) AS n FROM heads),
+whole AS (SELECT project_key, pos // {star.PAGE_SIZE} AS page, min(pos) AS s, max(pos) + 1 AS e, any_value(n) AS n, project_key <> 'MACHINERY' AS hurt FROM numbered GROUP BY 1, 2),
+pages AS (SELECT *, hurt AND page % 17 = 5 AS lost, hurt AND page % 17 <> 5 AND page % 23 = 7 AS cut,
+  hurt AND page % 17 <> 5 AND page % 23 <> 7 AND page % 29 = 3 AS twice FROM whole)"""
+    sql["page_sets"] = f"""WITH {HEADS}, {landed}
+SELECT project_key, count(*) FILTER (WHERE NOT lost) + count(*) FILTER (WHERE twice) AS pages, count(*) FILTER (WHERE cut) AS rejects, any_value(n) AS total,
+  {_n('sum(CASE WHEN lost OR cut THEN 0 WHEN twice THEN 2 * (e - s) ELSE e - s END)')} AS received,
+  {_n('sum(CASE WHEN twice THEN e - s ELSE 0 END)')} AS repeated, {_n('sum(CASE WHEN lost OR cut THEN e - s ELSE 0 END)')} AS missing,
+  NOT bool_or(lost OR cut) AS complete FROM pages GROUP BY 1"""
+    sql["page_gaps"] = f"""WITH {HEADS}, {landed},
+runs AS (SELECT *, page - row_number() OVER (PARTITION BY project_key ORDER BY page) AS run FROM pages WHERE lost OR cut)
+SELECT project_key, min(s) AS gap_start, max(e) AS gap_end FROM runs GROUP BY project_key, run"""
+    sql["page_load"] = f"""WITH {HEADS}, {landed}
+SELECT project_key, CASE WHEN bool_or(lost OR cut) THEN 'error' ELSE 'success' END AS status,
+  {_n('sum(CASE WHEN lost OR cut THEN 0 WHEN twice THEN 2 * (e - s) ELSE e - s END)')} AS tickets_ingested,
+  count(*) FILTER (WHERE cut) AS rejects, NOT bool_or(lost OR cut) AS marked FROM pages GROUP BY 1"""
+    sql["united_schemas"] = f"""WITH {HEADS}
+SELECT issue_key, CASE k % 3 WHEN 0 THEN k WHEN 1 THEN k + 8589934592 END AS size, CASE WHEN k % 3 = 1 THEN status END AS status,
+  '2024-01-0' || (k % 3 + 1) AS date FROM heads"""
+    sql["repeated_gold"] = f"""WITH {HEADS}
+SELECT issue_key, CASE WHEN project_key IN ('BUILDING', 'MACHINERY') THEN 'second' ELSE 'first' END AS run_of FROM heads
+WHERE project_key NOT IN ('BUILDING', 'MACHINERY') OR k % 2 = 0"""
+    sql["merged_marks"] = f"""WITH {HEADS}, {marks}
+SELECT h.project_key, CASE WHEN h.project_key NOT IN ('BUILDING', 'MACHINERY') THEN strftime(any_value(mark), '%Y-%m-%d %H:%M')
+  ELSE strftime(max(updated), '%Y-%m-%dT%H:%M:%S.%fZ') END AS last_ingest_date
+FROM heads h LEFT JOIN marks USING (project_key) GROUP BY 1"""
+    sql["message_load"] = """SELECT 'C' || (user_id % 5) AS project_key, 2 * count(*) AS messages, count(*) AS in_series
+FROM events WHERE event_type NOT IN ('signup', 'view') GROUP BY 1"""
     sql["expired_bronze"] = f"WITH {HEADS} SELECT project_key, '2024-02-15' AS date, count(*) AS tickets FROM heads GROUP BY 1"
     sql["catalog_table"] = f"""WITH {HEADS}
 SELECT project_key AS project, '2024-01-04' AS date, count(*) AS tickets, max(rule_score) AS top FROM heads GROUP BY 1"""

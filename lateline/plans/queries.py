@@ -13,7 +13,7 @@ from lateline.functions.numbers import iso_text
 from lateline.functions.redaction import count_secrets, entity_spans, redact_secrets
 from lateline.functions.sprint import PARTS, parse_sprint
 from lateline.functions.text import is_issue_key, is_project_key, project_of
-from lateline.operators import alerts, drift, flatten, incremental, quality, redaction, replies, reports, scoring
+from lateline.operators import alerts, completeness, drift, flatten, incremental, quality, redaction, replies, reports, scoring
 from lateline.operators import sentiment as sent
 from lateline.operators.features import model_input, ticket_features
 from lateline.operators.labels import delay_label
@@ -23,9 +23,9 @@ from lateline.plans.training import labelled_features, project_delay_summary
 from lateline.session import prepare
 from lateline.sources import star
 from lateline.sources.catalog import register_table
-from lateline.plans.ingestion import ingest_tickets
+from lateline.plans.ingestion import ingest_issue_pages, ingest_messages, ingest_tickets, read_rejects
 from lateline.sources.lake import Lake, path_exists
-from lateline.sources.pages import read_issue_pages, read_message_pages, rejected_issue_pages
+from lateline.sources.pages import issue_page_places, read_issue_pages, read_message_pages, rejected_issue_pages
 from lateline.sources.staging import new_path, settle
 from lateline.streaming import quality as stream_quality
 from lateline.streaming import sentiment as stream_sent
@@ -688,6 +688,82 @@ def q_repeated_load(spark, sf_dir):
     return stored.join(alerted, "project_key", "left").select("project_key", "tickets", F.coalesce("alerts", F.lit(0)).alias("alerts"))
 
 
+def _landed_sets(spark, sf_dir):
+    path = new_path(spark, "pages")
+    star.issue_page_sets(spark, sf_dir).write.partitionBy("project").text(path)
+    return path
+
+
+def _page_places(spark, sf_dir):
+    return settle(issue_page_places(spark, _landed_sets(spark, sf_dir), star.POINTS_FIELD, star.SPRINT_FIELD), "places")
+
+
+def q_page_sets(spark, sf_dir):
+    """Landed page sets with pages lost, cut short and landed twice, held against the totals they declare."""
+    return completeness.page_sets(_page_places(spark, sf_dir), 64).drop("page_set")
+
+
+def q_page_gaps(spark, sf_dir):
+    """The positions that no readable page covers."""
+    return completeness.page_gaps(_page_places(spark, sf_dir), 64).drop("page_set")
+
+
+def q_page_load(spark, sf_dir):
+    """Landed page sets loaded: outcomes, what is stored, rejects, and whose marks moved."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    path = _landed_sets(spark, sf_dir)
+    summary, _ = ingest_issue_pages(lake, path, star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF, run_id="run-1")
+    rejects = read_rejects(lake).groupBy("project_key").agg(F.count("*").alias("rejects"))
+    marks = lake.load_state().select("project_key", F.lit(True).alias("marked"))
+    joined = summary.join(rejects, "project_key", "left").join(marks, "project_key", "left")
+    return joined.select("project_key", "status", "tickets_ingested", F.coalesce("rejects", F.lit(0)).alias("rejects"), F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
+def q_united_schemas(spark, sf_dir):
+    """Gold written in three schemas: with a narrower number, a column more, a column less; read as one table."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    heads = settle(star.ticket_heads(spark, sf_dir).select("issue_key", "project_key", "order_key", "status"), "heads")
+    small = heads.where("order_key % 3 = 0").select("issue_key", "project_key", F.col("order_key").cast("int").alias("size"))
+    more = heads.where("order_key % 3 = 1").select("issue_key", "project_key", (F.col("order_key") + (1 << 33)).alias("size"), "status")
+    less = heads.where("order_key % 3 = 2").select("issue_key", "project_key")
+    for day, part in enumerate((small, more, less), 1):
+        lake.write_gold(part, run_date=f"2024-01-0{day}")
+    return lake.read_gold().select("issue_key", "size", "status", F.col("date").cast("string").alias("date"))
+
+
+def q_repeated_gold(spark, sf_dir):
+    """Gold of one run written twice, then of a later run for some projects: one run of each project is read."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    heads = settle(star.ticket_heads(spark, sf_dir).select("issue_key", "project_key", "order_key"), "heads")
+    for _ in range(2):
+        lake.write_gold(heads.withColumn("run_of", F.lit("first")), run_date="2024-01-01", run_id="run-1")
+    later = heads.where("project_key in ('BUILDING', 'MACHINERY') and order_key % 2 = 0")
+    lake.write_gold(later.withColumn("run_of", F.lit("second")), run_date="2024-01-01", run_id="run-2")
+    return lake.read_gold().select("issue_key", "run_of")
+
+
+def q_merged_marks(spark, sf_dir):
+    """Two loads of different projects that start from the same marks and end in either order."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    lake.save_state(_state(spark, sf_dir))
+    before = settle(lake.load_state(), "before")
+    heads = star.ticket_heads(spark, sf_dir)
+    for project in ("MACHINERY", "BUILDING"):
+        lake.save_state(incremental.advance_marks(before, heads.where(F.col("project_key") == project)))
+    return lake.load_state()
+
+
+def q_message_load(spark, sf_dir):
+    """Messages loaded twice under one run id and once more under a later one: silver of two runs, series of one."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    messages = settle(q_message_flatten(spark, sf_dir).withColumn("project_key", F.upper("channel_id")), "messages")
+    for run_id in ("run-1", "run-1", "run-2"):
+        ingest_messages(lake, messages, star.AS_OF, run_id=run_id)
+    stored = lake.read_silver("slack").groupBy("project_key").agg(F.count("*").alias("messages"))
+    series = lake.read_gold(fv.SENTIMENT_FEATURE_SET).groupBy("project_key").agg(F.sum("message_count").alias("in_series"))
+    return stored.join(series, "project_key", "left").select("project_key", "messages", "in_series")
+
+
 def q_expired_bronze(spark, sf_dir):
     """Bronze tickets of several dates, after those out of retention were deleted."""
     lake = Lake(spark, new_path(spark, "lake"))

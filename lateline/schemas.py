@@ -72,6 +72,8 @@ ALERT = _struct(alert_type=_S, project_key=_S, payload=_S, created_at=_S)
 
 STATE = _struct(project_key=_S, last_ingest_date=_S)
 
+REJECT = _struct(project_key=_S, file=_S, raw=_S, reason=_S)
+
 # a raw message as the chat API returns it
 _RAW_MESSAGE = _struct(
     type=_S,

@@ -1,7 +1,8 @@
 """The medallion lake: bronze JSON, silver and gold Parquet, by project and date."""
 
 import uuid
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from lateline.functions.text import is_project_key
 from lateline.operators.flatten import nested_to_json
 from lateline.operators.incremental import latest
 from lateline.schemas import ALERT, STATE
+from lateline.sources import schema_union
 
 _PARTITIONS = ["project", "date"]
 _RUN = "run"
@@ -22,6 +24,11 @@ def _tier(tier, run_id):
     return tier if run_id is None else f"{tier}_runs"
 
 
+def new_run_id():
+    """An id that sorts behind those given out before it."""
+    return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%fZ-") + uuid.uuid4().hex[:8]
+
+
 def _filesystem(spark, path):
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
@@ -43,11 +50,17 @@ class Lake:
     def path(self, tier, name):
         return f"{self.root}/{tier}/{name}"
 
+    def _files(self, path):
+        filesystem, _ = _filesystem(self.spark, path)
+        return filesystem, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
     def _write(self, df, path, file_format, run_date, key, run_id=None):
         day = F.date_format(moment(run_date), "yyyy-MM-dd")
         placed = df.withColumns({"project": F.col(key), "date": day})
         # even file sizes: small projects share a task, a dominant one is split over many
         placed = placed.hint("rebalance", "project")
+        if file_format == "parquet":
+            schema_union.record(*self._files(path), path, df.schema)
         writer = placed.write.mode("append")
         if run_id is not None:
             # a folder per run, so that a repeated run replaces its own rows and no others
@@ -67,9 +80,40 @@ class Lake:
         df = nested_to_json(df) if json_text else df
         return self._write(df, self.path(_tier("silver", run_id), source), "parquet", run_date, key, run_id)
 
-    def write_gold(self, df, feature_set=fv.DEFAULT_FEATURE_SET, run_date=None, key="project_key"):
-        """Append a feature set, all projects in one write."""
-        return self._write(df, self.path("gold", feature_set), "parquet", run_date, key)
+    def write_gold(self, df, feature_set=fv.DEFAULT_FEATURE_SET, run_date=None, key="project_key", run_id=None):
+        """Store a feature set, all projects in one write.
+
+        Without a run id rows are appended. A run with an id has a folder of its own in
+        each project and date; written again it replaces what it stored there before,
+        and readers take one run of each project and date, the one whose id sorts last.
+        """
+        if run_id is None:
+            return self._write(df, self.path("gold", feature_set), "parquet", run_date, key)
+        path = self.path(_tier("gold", run_id), feature_set)
+        schema_union.record(*self._files(path), path, df.schema)
+        day = F.date_format(moment(run_date), "yyyy-MM-dd")
+        placed = df.withColumns({"project": F.col(key), "date": day, _RUN: F.lit(run_id)}).hint("rebalance", "project")
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*_PARTITIONS, _RUN).option("compression", "snappy").parquet(path)
+        return path
+
+    def newest_runs(self, feature_set=fv.DEFAULT_FEATURE_SET, projects=None, date=None):
+        """The folders of the runs that readers take: of each project and date the one that sorts last.
+
+        Folders are listed, as any reader of a partitioned table does; no file is opened.
+        """
+        base = self.path(_tier("gold", True), feature_set)
+        filesystem, pattern = _filesystem(self.spark, f"{base}/project=*/date={date or '*'}/{_RUN}=*")
+        wanted = None if projects is None else {projects} if isinstance(projects, str) else set(projects)
+        newest = {}
+        for status in filesystem.globStatus(pattern) or []:
+            folder = status.getPath()
+            place = folder.getParent()
+            project = unquote(place.getParent().getName().removeprefix("project="))
+            if wanted is None or project in wanted:
+                run = unquote(folder.getName().removeprefix(f"{_RUN}="))
+                newest[place.toString()] = max(newest.get(place.toString(), ("", "")), (run, folder.toString()))
+        return [folder for _, folder in newest.values()]
 
     def _read_runs(self, tier, name, file_format, schema, projects, date, merge_schema):
         """Rows appended without a run id and rows of runs, which lie apart."""
@@ -82,17 +126,25 @@ class Lake:
         appended = self._read(plain, file_format, schema, projects, date, merge_schema)
         return appended.unionByName(found, allowMissingColumns=True)
 
-    def _read(self, path, file_format, schema, projects, date, merge_schema):
-        if not path_exists(self.spark, path):
+    def _united(self, reader, path):
+        """The reader with the union of all schemas written to a table."""
+        if path_exists(self.spark, f"{path}/{schema_union.LOG}"):
+            return reader.schema(_with_partitions(schema_union.union_of(schema_union.recorded(self.spark, path))))
+        return reader.option("mergeSchema", True)  # files of other writers: Spark reads all their footers
+
+    def _read(self, path, file_format, schema, projects, date, merge_schema, folders=None):
+        if not path_exists(self.spark, path) or folders == []:
             if schema is None:
                 raise FileNotFoundError(f"nothing under {path}, and no schema for an empty table")
             return self.spark.createDataFrame([], _with_partitions(schema))
         reader = self.spark.read.format(file_format)
+        if folders is not None:
+            reader = reader.option("basePath", path)
         if schema is not None:
             reader = reader.schema(_with_partitions(schema))
-        elif file_format == "parquet":
-            reader = reader.option("mergeSchema", merge_schema)
-        df = reader.load(path)
+        elif file_format == "parquet" and merge_schema:
+            reader = self._united(reader, path)
+        df = reader.load(path if folders is None else folders)
         if projects is not None:
             names = [projects] if isinstance(projects, str) else list(projects)
             df = df.where(F.col("project").isin(*names))
@@ -103,7 +155,7 @@ class Lake:
     def read_bronze(self, source, schema, projects=None, date=None):
         return self._read_runs("bronze", source, "json", schema, projects, date, False)
 
-    def read_silver(self, source, projects=None, date=None, schema=None, merge_schema=False, newest_only=False):
+    def read_silver(self, source, projects=None, date=None, schema=None, merge_schema=True, newest_only=False):
         """Silver rows of some projects and a date; the filters prune partitions.
 
         Re-ingested tickets are all there unless `newest_only` asks for one version each.
@@ -111,8 +163,21 @@ class Lake:
         rows = self._read_runs("silver", source, "parquet", schema, projects, date, merge_schema)
         return latest(rows) if newest_only else rows
 
-    def read_gold(self, feature_set=fv.DEFAULT_FEATURE_SET, projects=None, date=None, schema=None, merge_schema=False):
-        return self._read(self.path("gold", feature_set), "parquet", schema, projects, date, merge_schema)
+    def read_gold(self, feature_set=fv.DEFAULT_FEATURE_SET, projects=None, date=None, schema=None, merge_schema=True):
+        """Rows appended without a run id, and of each project and date those of its newest run.
+
+        Columns of all files are there, null where a file has none, in the widest
+        of their types; types without a common one raise SchemaConflict.
+        """
+        plain, runs = self.path("gold", feature_set), self.path(_tier("gold", True), feature_set)
+        folders = self.newest_runs(feature_set, projects, date)
+        if not folders:
+            return self._read(plain, "parquet", schema, projects, date, merge_schema)
+        found = self._read(runs, "parquet", schema, projects, date, merge_schema, folders).drop(_RUN)
+        if not path_exists(self.spark, plain):
+            return found
+        appended = self._read(plain, "parquet", schema, projects, date, merge_schema)
+        return appended.unionByName(found, allowMissingColumns=True)
 
     def training_tickets(self, source, projects, schema=None):
         """The newest version of each silver ticket of several projects; an error where there are none."""
@@ -167,19 +232,30 @@ class Lake:
         return self.spark.read.schema(ALERT).parquet(path).select(*ALERT.fieldNames())
 
     def save_state(self, state):
-        """Store the ingestion state as a new run; readers take the newest, so a failed write changes nothing."""
-        run = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS")
-        state.withColumn("run", run).write.mode("append").partitionBy("run").parquet(self.path("state", "marks"))
+        """Add marks; each write is a folder of its own, so loads at the same time keep each other's."""
+        marks = state.where(F.col("last_ingest_date").isNotNull()).withColumn(_RUN, F.lit(new_run_id()))
+        marks.write.mode("append").partitionBy(_RUN).parquet(self.path("state", "marks"))
 
     def load_state(self):
-        """The marks of the newest run; none before the first."""
+        """The furthest mark of every project over all that was ever saved; none before the first.
+
+        Marks only grow, so the order in which loads saved them does not matter.
+        """
         path = self.path("state", "marks")
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], STATE)
-        schema = T.StructType([*STATE.fields, T.StructField("run", T.StringType())])
-        stored = self.spark.read.schema(schema).parquet(path)
-        return stored.where(F.col("run") == stored.agg(F.max("run")).scalar()).drop("run")
-
+        mark = F.col("last_ingest_date")
+        furthest = F.coalesce(F.max_by(mark, mark.try_cast("timestamp")), F.max(mark))
+        return self.spark.read.schema(STATE).parquet(path).groupBy("project_key").agg(furthest.alias("last_ingest_date"))
+
+    def compact_state(self):
+        """Replace the marks saved so far by their furthest; folders that appear meanwhile stay."""
+        filesystem, pattern = _filesystem(self.spark, f"{self.path('state', 'marks')}/{_RUN}=*")
+        old = [status.getPath() for status in filesystem.globStatus(pattern) or []]
+        if old:
+            self.save_state(self.load_state())  # before the old ones go: a failure between leaves both
+            for folder in old:
+                filesystem.delete(folder, True)
 
 def split_feedback(feedback):
     """(valid, rejected) feedback by project key and type."""

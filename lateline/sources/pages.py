@@ -10,16 +10,44 @@ from lateline.schemas import FIELD, MESSAGE_PAGE, issue_page
 _BROKEN = "_broken"
 
 
+def _read_pages(spark, path, schema, multi_line):
+    """(file, value, page) of every landed page; a page that cannot be read has its text in page._broken."""
+    pages = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("file"), "value")
+    marked = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    read = F.from_json("value", marked, {"columnNameOfCorruptRecord": _BROKEN, "mode": "PERMISSIVE"})
+    return pages.where(F.trim("value") != "").withColumn("page", read)
+
+
 def rejected_pages(spark, path, schema, multi_line=False):
     """(file, raw) of the landed pages that are no JSON of the declared schema.
 
     The readers below give no rows for such a page; here it is kept as it landed.
     """
-    pages = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("file"), "value")
-    marked = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
-    read = F.from_json("value", marked, {"columnNameOfCorruptRecord": _BROKEN, "mode": "PERMISSIVE"})
-    filled = pages.where(F.trim("value") != "").withColumn("_read", read)
-    return filled.where(F.col(f"_read.{_BROKEN}").isNotNull()).select("file", F.col("value").alias("raw"))
+    filled = _read_pages(spark, path, schema, multi_line)
+    return filled.where(F.col(f"page.{_BROKEN}").isNotNull()).select("file", F.col("value").alias("raw"))
+
+
+def issue_page_places(spark, path, points_field, sprint_field, multi_line=False):
+    """(page_set, project_key, start, n, total, rejected, file, raw) of every landed issue page.
+
+    The pages of one folder are one set. Its project is named by a folder
+    project=KEY on the way, else by the issues. `raw` is null unless the page is rejected.
+    """
+    read = _read_pages(spark, path, issue_page(points_field, sprint_field), multi_line)
+    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    named = F.regexp_extract(folder, r"/project=([^/]+)", 1)
+    inside = F.array_min(F.transform("page.issues", lambda issue: issue["fields"]["project"]["key"]))
+    rejected = F.coalesce(F.col(f"page.{_BROKEN}").isNotNull() | F.col("page").isNull(), F.lit(True))
+    return read.select(
+        folder.alias("page_set"),
+        F.when(named != "", F.try_url_decode(named)).otherwise(inside).alias("project_key"),
+        F.col("page.startAt").alias("start"),
+        F.coalesce(F.array_size("page.issues"), F.lit(0)).cast("long").alias("n"),
+        F.col("page.total").alias("total"),
+        rejected.alias("rejected"),
+        "file",
+        F.when(rejected, F.col("value")).alias("raw"),
+    )
 
 
 def rejected_issue_pages(spark, path, points_field, sprint_field, multi_line=False):

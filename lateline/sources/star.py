@@ -6,6 +6,7 @@ counted there by one aggregation, so no ticket carries an array that could grow
 with a hot order.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lateline.functions.numbers import choose, iso_text
@@ -220,6 +221,30 @@ def raw_issue_pages(spark, sf_dir):
     return raw_issues(spark, sf_dir).select(F.to_json(page).alias("value"))
 
 
+PAGE_SIZE = 10
+
+
+def issue_page_sets(spark, sf_dir):
+    """Each project's issues as pages of PAGE_SIZE, as JSON text in `value`, damaged on their way in all projects but one.
+
+    Every 17th page is lost, every 23rd cut short, every 29th landed twice.
+    """
+    issues = raw_issues(spark, sf_dir).select(F.col("fields.project.key").alias("project"), "id", "key", "fields")
+    ordered = Window.partitionBy("project").orderBy(F.col("id").cast("long"))
+    issues = issues.withColumns({"pos": F.row_number().over(ordered) - 1, "total": F.count("*").over(Window.partitionBy("project"))})
+    page = F.floor(F.col("pos") / PAGE_SIZE).alias("page")
+    pages = issues.groupBy("project", "total", page).agg(
+        F.min("pos").cast("long").alias("startAt"), F.collect_list(F.struct("id", "key", "fields")).alias("issues")
+    )
+    value = F.to_json(F.struct("startAt", "total", "issues"))
+    hurt = F.col("project") != "MACHINERY"
+    cut, twice = hurt & (F.col("page") % 23 == 7), hurt & (F.col("page") % 29 == 3)
+    half = F.substr(value, F.lit(1), F.floor(F.length(value) / 2).cast("int"))
+    landed = pages.where(~(hurt & (F.col("page") % 17 == 5)))
+    landed = landed.select("project", F.when(cut, half).otherwise(value).alias("value"), F.when(twice & ~cut, 2).otherwise(1).alias("times"))
+    return landed.select("project", "value", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+
+
 def raw_message_pages(spark, sf_dir):
     """Events as landed channel pages, as JSON text in `value`; some are notices or blank."""
     events = texts(spark, sf_dir, "events")
