@@ -748,6 +748,12 @@ SELECT project_key, min(s) AS gap_start, max(e) AS gap_end FROM runs GROUP BY pr
 SELECT project_key, CASE WHEN bool_or(lost OR cut) THEN 'error' ELSE 'success' END AS status,
   {_n('sum(CASE WHEN lost OR cut THEN 0 WHEN twice THEN 2 * (e - s) ELSE e - s END)')} AS tickets_ingested,
   count(*) FILTER (WHERE cut) AS rejects, NOT bool_or(lost OR cut) AS marked FROM pages GROUP BY 1"""
+    sql["stream_lake"] = f"""WITH {HEADS}, {landed}, c AS (
+  SELECT project_key, {_n('sum(CASE WHEN lost OR cut THEN 0 WHEN twice THEN 2 * (e - s) ELSE e - s END)')} AS silver, count(*) FILTER (WHERE cut) AS rejects FROM pages GROUP BY 1)
+SELECT project_key, silver, silver AS bronze, rejects FROM c"""
+    sql["updated_table"] = f"""WITH {HEADS}
+SELECT issue_key, project_key, CAST(NULL AS VARCHAR) AS status, '2024-01-01' AS date FROM heads
+UNION ALL SELECT issue_key, project_key, status, '2024-01-02' FROM heads WHERE status = 'Done'"""
     sql["united_schemas"] = f"""WITH {HEADS}
 SELECT issue_key, CASE k % 3 WHEN 0 THEN k WHEN 1 THEN k + 8589934592 END AS size, CASE WHEN k % 3 = 1 THEN status END AS status,
   '2024-01-0' || (k % 3 + 1) AS date FROM heads"""

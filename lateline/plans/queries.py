@@ -4,6 +4,7 @@ Each takes (spark, sf_dir). Arrays are shown joined and timestamps as text, so
 that any SQL engine can be asked for the same values.
 """
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from lateline.operators.labels import delay_label
 from lateline.operators.team import latest_sentiment, merge_sentiment, team_features
 from lateline.plans import monitoring, risk_model
 from lateline.plans.training import labelled_features, project_delay_summary
+from lateline.schemas import TICKET
 from lateline.session import prepare
 from lateline.sources import star
 from lateline.sources.catalog import register_table
@@ -880,6 +882,28 @@ def q_stream_silver(spark, sf_dir):
     )
 
 
+def q_stream_lake(spark, sf_dir):
+    """Landed page sets, some pages cut short, streamed into the lake: what its three places hold of each project."""
+    lake, path = Lake(spark, new_path(spark, "lake")), _landed_sets(spark, sf_dir)
+    _drain(stream_silver_pages.stream_pages(lake, path, star.POINTS_FIELD, star.SPRINT_FIELD, new_path(spark, "checkpoint"), run_date=star.AS_OF))
+    silver = lake.read_silver("jira").groupBy("project_key").agg(F.count("*").alias("silver"))
+    bronze = lake.read_bronze("jira", TICKET).groupBy("project_key").agg(F.count("*").alias("bronze"))
+    rejects = read_rejects(lake).groupBy("project_key").agg(F.count("*").alias("rejects"))
+    joined = silver.join(bronze, "project_key").join(rejects, "project_key", "left")
+    return joined.select("project_key", "silver", "bronze", F.coalesce("rejects", F.lit(0)).alias("rejects"))
+
+
+def q_updated_table(spark, sf_dir):
+    """A registered table that gets a column and a day more: every row of both days, by the catalog."""
+    lake, name = Lake(spark, new_path(spark, "lake")), f"updated_{uuid.uuid4().hex}"
+    heads = settle(star.ticket_heads(spark, sf_dir).select("issue_key", "project_key", "status"), "heads")
+    columns, by = [("issue_key", "string"), ("project_key", "string")], [("project", "string"), ("date", "string")]
+    path = lake.write_gold(heads.drop("status"), run_date="2024-01-01")
+    register_table(spark, "shop", name, path, columns, by)
+    lake.write_gold(heads.where("status = 'Done'"), run_date="2024-01-02")
+    return register_table(spark, "shop", name, path, [*columns, ("status", "string")], by).drop("project")
+
+
 def q_stream_quality_alerts(spark, sf_dir):
     tickets = _ticket_stream(spark, sf_dir)
     out = new_path(spark, "alerts")

@@ -11,13 +11,38 @@ _BROKEN = "_broken"
 
 
 def _read_pages(spark, path, schema, multi_line):
-    """(file, value, page) of every landed page; a page that cannot be read has its text in page._broken."""
-    pages = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parsed_pages(page_texts(spark.read, path, multi_line), schema)
+
+
+def page_texts(reader, path, multi_line=False):
+    """(file, value) of landed pages, by a batch or a stream reader."""
+    return reader.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def parsed_pages(pages, schema):
+    """The rows of `pages` (file, value) that are not blank, with `page`; where it cannot be read, page._broken has the text."""
     marked = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
     read = F.from_json("value", marked, {"columnNameOfCorruptRecord": _BROKEN, "mode": "PERMISSIVE"})
     return pages.where(F.trim("value") != "").withColumn("page", read)
 
 
+def _named_project():
+    """The project that a folder project=KEY on a file's way names, or null."""
+    return F.try_url_decode(F.nullif(F.regexp_extract("file", r"/project=([^/]+)/", 1), F.lit("")))
+
+
+def _unreadable():
+    return F.coalesce(F.col(f"page.{_BROKEN}").isNotNull() | F.col("page").isNull(), F.lit(True))
+
+
+def tickets_and_rejects(pages, points_field, sprint_field, ingested_at=None):
+    """(tickets, rejects) of landed issue pages (file, value), each page in one of them."""
+    read = parsed_pages(pages, issue_page(points_field, sprint_field)).withColumn("_bad", _unreadable())
+    whole = explode_issues(read.where(~F.col("_bad")).select("page.*").drop(_BROKEN))
+    rejects = read.where("_bad").select(_named_project().alias("project_key"), "file", F.col("value").alias("raw"), F.lit("unreadable page").alias("reason"))
+    return flatten_issues(whole, points_field, sprint_field, ingested_at), rejects
+
+
 def rejected_pages(spark, path, schema, multi_line=False):
     """(file, raw) of the landed pages that are no JSON of the declared schema.
 
@@ -34,13 +59,12 @@ def issue_page_places(spark, path, points_field, sprint_field, multi_line=False)
     project=KEY on the way, else by the issues. `raw` is null unless the page is rejected.
     """
     read = _read_pages(spark, path, issue_page(points_field, sprint_field), multi_line)
-    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
-    named = F.regexp_extract(folder, r"/project=([^/]+)", 1)
+    folder, named = F.regexp_extract("file", r"^(.*)/[^/]*$", 1), _named_project()
     inside = F.array_min(F.transform("page.issues", lambda issue: issue["fields"]["project"]["key"]))
-    rejected = F.coalesce(F.col(f"page.{_BROKEN}").isNotNull() | F.col("page").isNull(), F.lit(True))
+    rejected = _unreadable()
     return read.select(
         folder.alias("page_set"),
-        F.when(named != "", F.try_url_decode(named)).otherwise(inside).alias("project_key"),
+        F.coalesce(named, inside).alias("project_key"),
         F.col("page.startAt").alias("start"),
         F.coalesce(F.array_size("page.issues"), F.lit(0)).cast("long").alias("n"),
         F.col("page.total").alias("total"),

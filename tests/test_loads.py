@@ -12,9 +12,11 @@ from lateline.operators import completeness as C
 from lateline.operators import incremental as I
 from lateline.plans.ingestion import ingest_issue_pages, ingest_messages, ingest_tickets, read_rejects
 from lateline.schemas import STATE, TICKET
+from lateline.sources.catalog import register_table
 from lateline.sources.lake import Lake
-from lateline.sources.pages import issue_page_places
+from lateline.sources.pages import issue_page_places, page_texts
 from lateline.sources.schema_union import SchemaConflict, union_of
+from lateline.streaming.silver import page_batch, stream_pages
 
 PAGES = "page_set string, project_key string, start long, n long, total long, rejected boolean"
 
@@ -187,3 +189,47 @@ def test_messages_loaded_twice(spark, lake):
         ingest_messages(lake, messages, AS_OF, run_id="r1")
     assert lake.read_silver("slack").count() == 30
     assert lake.read_gold(fv.SENTIMENT_FEATURE_SET).groupBy().sum("message_count").first()[0] == 30
+
+
+def test_a_stream_of_pages_stores_rejects_once(spark, lake, tmp_path):
+    pages, checkpoint = tmp_path / "pages", str(tmp_path / "checkpoint")
+
+    def stored():
+        names = [sorted(r["issue_key"] for r in read.collect()) for read in (lake.read_silver("jira", schema=TICKET), lake.read_bronze("jira", TICKET))]
+        assert names[0] == names[1]
+        return names[0], [(r["project_key"], r["reason"]) for r in read_rejects(lake).collect()]
+
+    land(pages / "project=P", 0, 2, ["P-1", "P-2"])
+    land(pages / "project=P", 2, 2, ["P-3", "P-4"], cut=True)
+    stream_pages(lake, str(pages), "points", "sprint", checkpoint, run_date=AS_OF).awaitTermination()
+    assert stored() == (["P-1", "P-2"], [("P", "unreadable page")])
+    # the batch is run again, as after a failure before its commit
+    store = page_batch(lake, "points", "sprint", AS_OF)
+    store(page_texts(spark.read, str(pages)), 0)
+    assert stored() == (["P-1", "P-2"], [("P", "unreadable page")])
+    land(pages / "project=Q", 0, 1, ["Q-1"])  # only this is new to the stream
+    stream_pages(lake, str(pages), "points", "sprint", checkpoint, run_date=AS_OF).awaitTermination()
+    assert stored() == (["P-1", "P-2", "Q-1"], [("P", "unreadable page")])
+
+
+def test_a_registered_table_is_changed_in_place(spark, lake):
+    def gold(day, row, schema):
+        return lake.write_gold(spark.createDataFrame([row], "project_key string, " + schema), run_date=f"2024-01-0{day}")
+
+    by, columns = [("project", "string"), ("date", "string")], [("project_key", "string"), ("a", "int")]
+    path = gold(1, ("P", 1), "a int")
+    register_table(spark, "loads", "features", path, columns, by)
+    created = spark.sql("DESCRIBE TABLE EXTENDED loads.features").where("col_name = 'Created Time'").first()
+    gold(2, ("it's", 2, "x"), "a int, b string")
+    table = register_table(spark, "loads", "features", path, [*columns, ("b", "string")], by)
+    assert sorted((r["a"], r["b"]) for r in table.collect()) == [(1, None), (2, "x")]
+    assert created == spark.sql("DESCRIBE TABLE EXTENDED loads.features").where("col_name = 'Created Time'").first()
+    gold(3, ("P", 3), "a int")
+    gold(4, ("P", 4), "a int")
+    table = register_table(spark, "loads", "features", path, columns, by, added=[("P", "2024-01-03")])
+    assert sorted(r["a"] for r in table.collect()) == [1, 2, 3]  # what the caller names is added, nothing is dropped
+    with pytest.raises(SchemaConflict, match="column a"):
+        register_table(spark, "loads", "features", path, [("a", "string")], by)
+    other = Lake(spark, lake.root + "-other")
+    path = other.write_gold(spark.createDataFrame([("P", 9)], "project_key string, a int"), run_date="2024-01-01")
+    assert [r["a"] for r in register_table(spark, "loads", "features", path, columns, by).collect()] == [9]
