@@ -11,12 +11,13 @@ def check_batches(tickets, alert_path, checkpoint, rules=None, as_of=None):
 
     def check(batch, batch_id):
         batch.persist()  # profile and invalid categories read it
-        report = quality_report(batch, rules, ["project_key"])
-        alerts = quality_alerts(report, as_of=as_of).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
-            alert_path
-        )
-        batch.unpersist()
+        try:
+            report = quality_report(batch, rules, ["project_key"])
+            alerts = quality_alerts(report, as_of=as_of).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            writer = alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("batch_id").parquet(alert_path)
+        finally:
+            batch.unpersist()
 
     writer = tickets.writeStream.option("checkpointLocation", checkpoint)
     return writer.foreachBatch(check).trigger(availableNow=True).start()

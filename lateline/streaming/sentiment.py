@@ -65,13 +65,21 @@ def flag_closed_windows(series, series_path, anomaly_path, checkpoint, threshold
 
     What came before is kept as count, sum and sum of squares per project, so a batch
     reads its own windows and one row per project. It writes its own partition and
-    overwrites it when it is run again after a failure, so nothing is stored twice.
+    overwrites it when it is run again after a failure, so nothing is stored twice. Of
+    what came before the last two batches' state is kept, however many there were.
     """
     state_path, value = series_path.rstrip("/") + "-state", F.col("avg_sentiment")
 
     def store(batch, batch_id):
-        spark = batch.sparkSession
         batch.persist()
+        try:
+            flag(batch, batch_id)
+            _keep_newest(batch.sparkSession, state_path)
+        finally:
+            batch.unpersist()
+
+    def flag(batch, batch_id):
+        spark = batch.sparkSession
         _overwrite_batch(batch, batch_id, series_path)
         now = batch.groupBy("project_key").agg(
             F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(value * value).alias("squares")
@@ -93,12 +101,21 @@ def flag_closed_windows(series, series_path, anomaly_path, checkpoint, threshold
         low = low.where((F.col("n") >= fv.ANOMALY_MIN_WINDOWS) & (F.col("_z") < -threshold))
         found = low.withColumns({"z_score": rounded(F.col("_z"), 4), "anomaly_type": F.lit(fv.ANOMALY_TYPE)})
         _overwrite_batch(found.drop("_z", "n", "total", "squares"), batch_id, anomaly_path)
-        batch.unpersist()
 
     writer = series.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(store).trigger(availableNow=True).start()
 
 
+def _keep_newest(spark, path, kept=2):
+    """Delete all but the newest partitions: a batch that is repeated needs no more than the one before it."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*")
+    filesystem = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [status.getPath() for status in filesystem.globStatus(pattern) or []]
+    found.sort(key=lambda folder: int(folder.getName().removeprefix("batch_id=")))
+    for folder in found[:-kept]:
+        filesystem.delete(folder, True)
+
+
 def _overwrite_batch(df, batch_id, path):
     stamped = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)

@@ -77,6 +77,19 @@ def test_anomalies_on_closed_windows(spark, tmp_path):
     assert [r["window_start"] for r in spark.read.parquet(found).collect()] == ["2024-01-09T00:00:00Z"]
 
 
+def test_state_of_closed_windows_does_not_grow(spark, tmp_path):
+    rows = [("P", "C", str(1704067200 + d * 86400), -0.9 if d in (8, 14) else 0.5 + d / 100) for d in range(20)]
+    series, found, cp = (str(tmp_path / name) for name in ("series", "found", "cp"))
+    for start in range(0, 20, 4):  # stopped and started again after each part
+        _, stream = messages(spark, tmp_path, rows[start : start + 4])
+        windows = sentiment.windowed_sentiment(sentiment.with_event_time(stream))
+        sentiment.flag_closed_windows(windows, series, found, cp).awaitTermination()
+    assert len([name for name in os.listdir(series + "-state") if name.startswith("batch_id=")]) == 2
+    assert spark.read.parquet(series).count() == 18
+    flagged = sorted(r["window_start"][:10] for r in spark.read.parquet(found).collect())
+    assert flagged == ["2024-01-09", "2024-01-15"]
+
+
 def page(number, project="PROJ", status="Open"):
     fields = {
         "project": {"key": project}, "summary": f"S {number}", "description": "mail a@b.io", "status": {"name": status},
