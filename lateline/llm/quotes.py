@@ -4,7 +4,7 @@ Lines that open with ">" are quoted, one level per mark. Neighbouring lines of o
 level form a passage; its text is normalised (white space, case) and hashed, and so
 are the passages and single lines that each message says itself. A quoted passage
 is joined to the first message of its conversation that says it, or else to the
-first message anywhere. The message quoted at the first level is what a message
+first message of the other conversations. The message quoted at the first level is what a message
 replies to; following these links gives the thread it belongs to. Within a
 conversation, threads stand in the order of their first messages and replies stand
 after what they answer, with all quotes taken out.
@@ -15,6 +15,7 @@ the other side alone, and both sides are stored tables, which lets adaptive
 execution split it.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lateline.sources.staging import settle
@@ -114,8 +115,10 @@ def quoted_sources(messages):
     """(conv_id, turn, quote, level, source_conv, source_turn) of each quoted passage that some message says itself.
 
     Sources are other messages: the first one of the conversation if it is earlier,
-    else the first one by conversation and turn anywhere. The whole passage counts
-    before its lines, earlier lines before later ones.
+    else the first one by conversation and turn of all other conversations. For that
+    the sources in the two smallest conversations are kept per hash, as one of them
+    at most is the quoting one. The whole passage counts before its lines, earlier
+    lines before later ones.
     """
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     quotes = known.select("conv_id", "turn", F.posexplode("p.units.quotes").alias("quote", "q"))
@@ -123,10 +126,14 @@ def quoted_sources(messages):
     asked = units.select("hash").distinct()
     said = known.select("conv_id", "turn", F.explode("p.units.own").alias("hash"))
     here = settle(said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here")).join(asked, "hash", "left_semi"), "said")
-    first = settle(here.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("first")), "first")
+    # two rows a hash and task are left before the shuffle, so a passage said everywhere meets nowhere
+    ranked = here.withColumn("place", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("place <= 2")
+    source = F.struct("conv_id", F.col("here").alias("turn"))
+    first = ranked.groupBy("hash").agg(*(F.min(F.when(F.col("place") == k, source)).alias(name) for k, name in ((1, "first"), (2, "second"))))
+    first = settle(first, "first")
     met = units.join(here, ["hash", "conv_id"], "left").join(first, "hash", "left")
     inside = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn")))
-    outside = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first"))
+    outside = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
     met = met.withColumn("source", F.coalesce(inside, outside)).where("source IS NOT NULL")
     best = F.min(F.struct("rank", "source")).alias("best")
     found = met.groupBy("conv_id", "turn", "quote", "level").agg(best)
@@ -220,10 +227,11 @@ units AS (
          unnest(range(len(bodies) + 1)) AS rank FROM passages),
 h AS (SELECT rid, run, level, rank, md5(lower(trim(regexp_replace(unit, '\s+', ' ', 'g')))) AS hash FROM units),
 said AS (SELECT conv_id, hash, min(turn) AS here FROM h JOIN m USING (rid) WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
-first AS (SELECT hash, min({'c': conv_id, 't': here}) AS f FROM said GROUP BY hash),
+ranked AS (SELECT hash, {'c': conv_id, 't': here} AS s, row_number() OVER (PARTITION BY hash ORDER BY conv_id) AS place FROM said),
+first AS (SELECT hash, min(s) FILTER (WHERE place = 1) AS f, min(s) FILTER (WHERE place = 2) AS g FROM ranked WHERE place <= 2 GROUP BY hash),
 met AS (
   SELECT q.conv_id, q.turn, h.run, h.level, h.rank,
-         CASE WHEN s.here < q.turn THEN {'c': q.conv_id, 't': s.here} WHEN f.f.c <> q.conv_id THEN f.f END AS source
+         CASE WHEN s.here < q.turn THEN {'c': q.conv_id, 't': s.here} WHEN f.f.c <> q.conv_id THEN f.f ELSE f.g END AS source
   FROM h JOIN m q USING (rid) LEFT JOIN said s ON s.conv_id = q.conv_id AND s.hash = h.hash LEFT JOIN first f ON f.hash = h.hash
   WHERE h.level > 0),
 found AS (

@@ -42,6 +42,27 @@ def test_thread(spark):
     assert ordered == [(1, 0), (1, 2), (1, 3), (1, 1), (1, 4), (2, 0), (2, 1)]
 
 
+# the first source of a line lies in the quoting conversation, at the same or a later turn
+ELSEWHERE = [
+    (0, 0, "u", "> common line\nwhat of it", "x", 1),
+    (0, 1, "u", "common line", "x", 1),
+    (1, 0, "u", "common line", "x", 1),
+    (2, 0, "u", "> common line\nindeed", "x", 1),
+    (3, 0, "u", "> own line\nown line", "x", 1),
+    (4, 0, "u", "> self\nself", "x", 1),
+    (7, 3, "u", "own line", "x", 1),
+    (9, 1, "u", "own line", "x", 1),
+]
+
+
+def test_source_in_another_conversation(spark, tmp_path):
+    rows = {(r["conv_id"], r["turn"]): r for r in quotes.reply_ordered(spark.createDataFrame(ELSEWHERE, SCHEMA)).collect()}
+    link = lambda c, t: (rows[c, t]["n_linked"], rows[c, t]["reply_conv"], rows[c, t]["reply_turn"])
+    assert link(0, 0) == (1, 1, 0) and link(2, 0) == (1, 0, 1) and link(3, 0) == (1, 7, 3) and link(4, 0) == (0, None, None)
+    got, want = run(spark, tmp_path, ELSEWHERE)
+    assert got == want
+
+
 def test_query_against_sql(spark, tmp_path):
     rng = random.Random(6)
     rows, said = list(THREAD), []
