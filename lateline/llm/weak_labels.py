@@ -21,7 +21,8 @@ BUCKETS = 4096
 FIT_DOCUMENTS = 8_000  # expected number of documents the scorer is fitted on
 THRESHOLD = 0.5
 EM_ROUNDS = 200
-_REMEMBERED = 100_000
+_REMEMBERED, _REMEMBERED_LETTERS = 100_000, 4_000_000
+_WINDOW = 500  # words within which repeats lower a text's variety
 
 # ---- what is seen in a text ----------------------------------------------------
 
@@ -33,8 +34,16 @@ _SENTENCE = regex.compile(r"\p{Ll}[.!?]\s+\p{Lu}").findall  # one ends and the n
 
 
 def shape(word):
-    """A word with runs of capitals as A, of other letters as a, of digits as 0, and repeated signs cut to two."""
-    return _REPEATS.sub(r"\1\1", _DIGITS.sub("0", _OTHER.sub("a", _UPPER.sub("A", word))))[:12]
+    """A word with runs of capitals as A, of other letters as a, of digits as 0, and repeated signs cut to two.
+
+    A shape of more than twelve signs is told by which signs it holds and how long it is, to a power of two.
+    """
+    found = _squeezed(_DIGITS.sub("0", _OTHER.sub("a", _UPPER.sub("A", word))))
+    return found if len(found) <= 12 else f"{''.join(sorted(set(found)))}:{len(found).bit_length()}"
+
+
+def _squeezed(signs):
+    return _REPEATS.sub(r"\1\1", signs)
 
 
 class _Looks(dict):
@@ -42,28 +51,35 @@ class _Looks(dict):
 
     def __init__(self):
         super().__init__()
-        self.kinds, self.rows, self.table = {}, [], np.zeros((0, 6))
+        self.letters = 0
+        self._forget()
+
+    def _forget(self):
+        self.clear()
+        self.letters, self.kinds, self.rows, self.table = 0, {}, [], np.zeros((0, 6))
 
     def __missing__(self, word):
         core = word.rstrip(_CLOSING)
-        ends = word[len(core) :]
+        ends = _squeezed(word[len(core) :])
+        ends = ends if len(ends) <= 3 else "".join(sorted(set(ends)))
         if core.isalpha():
-            form = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[0].isupper() and core[1:].islower() else shape(core[:64])
+            form = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[0].isupper() and core[1:].islower() else shape(core)
             symbols = False
         else:
-            form, symbols = shape(core[:64]), sum(c in _SYMBOLS for c in core[:64]) >= 2
-        kind = (form, ends[:3], len(word) > 1 and word.isupper(), word.endswith("!!"), symbols, word == "|", core.isalpha() and len(ends) < 2 and not (len(word) > 1 and word.isupper()))
+            form, symbols = shape(core), sum(map(core.count, _SYMBOLS)) >= 2
+        kind = (form, ends, len(word) > 1 and word.isupper(), word.endswith("!!"), symbols, word == "|", core.isalpha() and len(ends) < 2 and not (len(word) > 1 and word.isupper()))
         number = self.kinds.get(kind)
         if number is None:
             number = self.kinds[kind] = len(self.rows)
-            bucket = zlib.crc32((form + _REPEATS.sub(r"\1\1", ends[:3])).encode()) % BUCKETS
+            bucket = zlib.crc32((form + ends).encode()) % BUCKETS
             self.rows.append((bucket, *map(float, kind[2:])))
         self[word] = number
+        self.letters += len(word)
         return number
 
     def of(self, words):
-        if len(self) > _REMEMBERED:
-            self.clear()
+        if len(self) > _REMEMBERED or self.letters > _REMEMBERED_LETTERS:
+            self._forget()
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if len(self.table) < len(self.rows):
             self.table = np.array(self.rows)
@@ -74,7 +90,7 @@ _looks = _Looks()
 
 
 def observe(text):
-    """Measurements of a text and its hashed features: (measures, buckets, values)."""
+    """Measurements of a text and its hashed features: (measures, buckets, values). All of it is read, long words too."""
     words = (text or "").split()
     n = len(words)
     counts = Counter(words)
@@ -84,10 +100,12 @@ def observe(text):
     repeats = sum(map(str.__eq__, words, words[1:])) / n if n else 0.0
     measures = dict(zip(("caps", "bangs", "symbols", "bars", "plain"), shares.tolist(), strict=True), n=n, repeats=repeats)
     measures["sentences"] = len(_SENTENCE(text)) / n if n else 0.0
-    measures["distinct"] = len(counts) / min(n, 500) if n else 0.0  # long texts repeat words
+    # over windows of all its words: long texts repeat words, that does not make them poor
+    windows = [counts] if n <= _WINDOW else (set(words[i : i + _WINDOW]) for i in range(0, n, _WINDOW))
+    measures["distinct"] = sum(map(len, windows)) / n if n else 0.0
     buckets, place = np.unique(seen[:, 0].astype(np.int64), return_inverse=True)
     values = np.bincount(place, times, len(buckets)) / n if n else np.zeros(0)
-    marks = {f"words:{min(n, 1 << 12).bit_length()}": 0.3, f"repeats:{min(9, int(10 * repeats))}": 1.0, f"distinct:{min(5, int(5 * measures['distinct']))}": 0.3}
+    marks = {f"words:{n.bit_length()}": 0.3, f"repeats:{min(9, int(10 * repeats))}": 1.0, f"distinct:{min(5, int(5 * measures['distinct']))}": 0.3}
     extra = np.array([zlib.crc32(name.encode()) % BUCKETS for name in marks])
     return measures, np.concatenate([buckets, extra]), np.concatenate([np.sqrt(values), list(marks.values())])
 
