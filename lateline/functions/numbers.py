@@ -38,6 +38,20 @@ def bind(column, body):
     return F.get(F.transform(F.array(column), body), F.lit(0))
 
 
+def running(values, combine):
+    """The array whose i-th entry combines (sum, greatest, ...) entries 0 to i of `values`; no entry may be null.
+
+    Distances double, so n entries take n log n steps in place, without a shuffle
+    and without an array that grows entry by entry. The column should be bound.
+    """
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda step: step < F.size(values))
+
+    def reach(seen, step):
+        return F.transform(seen, lambda value, i: F.when(i < step, value).otherwise(combine(F.get(seen, i - step), value)))
+
+    return F.aggregate(steps, values, reach)
+
+
 def days_between(start, end):
     """Days from start to end, never negative, null as 0, one decimal."""
     micros_per_day = F.lit(86_400_000_000.0)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lateline import fixed_values as fv
-from lateline.functions.numbers import bind, choose
+from lateline.functions.numbers import bind, choose, running
 from lateline.schemas import SPAN
 
 # a text without any of these (lower case) cannot match the pattern, and a plain
@@ -85,20 +85,16 @@ def fill_gaps(gaps, types):
 
 
 def entity_spans(text):
-    """Entities as spans: type, score, begin and end in characters."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("spans"))
-
-    def place(seen, pair):
-        begin = seen["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        span = F.struct(
-            entity_type(pair["hit"]).alias("type"), F.lit(1.0).alias("score"), begin.alias("begin"), end.alias("end")
-        )
-        return F.struct(end.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
+    """Entities as spans: type, score, begin and end in characters. Ends are running sums of lengths."""
 
     def placed(hits, gaps):
-        pairs = F.transform(hits, lambda hit, i: F.struct(F.get(gaps, i).alias("gap"), hit.alias("hit")))
-        return F.aggregate(pairs, start, place, lambda done: done["spans"])
+        sizes = F.transform(hits, lambda hit, i: F.length(F.get(gaps, i)) + F.length(hit))
+        ends = bind(sizes, lambda found: running(found, lambda one, other: one + other))
+        return bind(ends, lambda found: F.transform(hits, lambda hit, i: span(hit, F.get(found, i))))
+
+    def span(hit, end):
+        begin = end - F.length(hit)
+        return F.struct(entity_type(hit).alias("type"), F.lit(1.0).alias("score"), begin.alias("begin"), end.alias("end"))
 
     # hits and gaps are bound, or the text would be taken apart again for each of them
     return bind(entity_hits(text), lambda hits: bind(entity_gaps(text, hits), lambda gaps: placed(hits, gaps)))
@@ -130,10 +126,7 @@ def apply_spans(text, spans):
         return F.concat(F.array_join(F.transform(sorted_spans, before), ""), rest)
 
     def furthest(sorted_spans):  # behind each span, the furthest end so far: a span may hold the next one
-        def further(seen, span):
-            return F.concat(seen, F.array(F.greatest(F.get(seen, F.size(seen) - 1), span["e"])))
-
-        return F.aggregate(sorted_spans, F.array().cast("array<int>"), further)
+        return bind(F.transform(sorted_spans, lambda span: span["e"]), lambda ends: running(ends, F.greatest))
 
     def replaced(sorted_spans):
         return bind(

@@ -591,6 +591,23 @@ SELECT lang, count(*) AS records, count(*) FILTER (WHERE len(hits) > 0) AS pii_d
 FROM pieces GROUP BY lang"""
     sql["span_redaction"] = f"WITH {_pieces('documents', 'doc_id', 'text')} SELECT doc_id, {_FILLED} AS text FROM pieces"
 
+    sql["nested_span_redaction"] = f"""WITH {_pieces('documents', 'doc_id', 'text')},
+spans AS (SELECT doc_id, len(t) AS size, unnest({placed}) AS s FROM pieces),
+marked AS (
+  SELECT doc_id, s.b AS b, s.b + len(s.hit) AS e, {_mark_of('s.hit')} AS p FROM spans
+  UNION ALL SELECT doc_id, greatest(0, s.b - 60), least(size, s.b + len(s.hit) + 25), '[CONTEXT]' FROM spans),
+reach AS (
+  SELECT *, row_number() OVER o AS k,
+         coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY b, e, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last
+  FROM marked WINDOW o AS (PARTITION BY doc_id ORDER BY b, e, p)),
+cut AS (
+  SELECT doc_id, max(r.e) AS tail, string_agg(substr(t, CAST(r.last + 1 AS BIGINT), CAST(greatest(r.b - r.last, 0) AS BIGINT)) || r.p, '' ORDER BY r.k) AS head
+  FROM reach r JOIN clean USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN head IS NULL THEN t ELSE head || substr(t, CAST(tail + 1 AS BIGINT)) END AS text FROM clean LEFT JOIN cut USING (doc_id)"""
+    sql["planted_secrets"] = f"""WITH planted AS (SELECT doc_id, {star.SECRETS_SQL} AS text FROM documents),
+found AS (SELECT doc_id, {_redact('text')} AS redacted, {_n(_count_secrets('text'))} AS secrets FROM planted)
+SELECT *, secrets = 0 AS untouched FROM found"""
+
     best = """greatest(
       CASE WHEN contains(p, '. ') THEN length(p) - instr(reverse(p), ' .') - 1 ELSE -1 END,
       CASE WHEN contains(p, chr(10)) THEN length(p) - instr(reverse(p), chr(10)) ELSE -1 END)"""

@@ -447,6 +447,25 @@ def q_span_redaction(spark, sf_dir):
     return redaction.apply_span_table(documents, spans, "doc_id")
 
 
+def q_nested_span_redaction(spark, sf_dir):
+    """Documents redacted by spans within and across others: entities, each with its surroundings once more."""
+    documents = star.texts(spark, sf_dir).select("doc_id", "text")
+    found = documents.select("doc_id", F.length("text").alias("size"), F.inline(entity_spans(F.col("text"))))
+    wide = found.select(
+        "doc_id", F.lit("CONTEXT").alias("type"), F.greatest(F.lit(0), F.col("begin") - 60).alias("begin"), F.least("size", F.col("end") + 25).alias("end")
+    )
+    return redaction.apply_span_table(documents, found.select("doc_id", "type", "begin", "end").unionByName(wide), "doc_id")
+
+
+def q_planted_secrets(spark, sf_dir):
+    """Documents with secrets made from their digests, one kind or all kinds each, redacted and counted."""
+    documents = star.with_secrets(star.texts(spark, sf_dir))
+    text, clean = F.col("text"), redact_secrets(F.col("text"))
+    return documents.select("doc_id", clean.alias("redacted"), count_secrets(text).alias("secrets")).withColumn(
+        "untouched", F.col("secrets") == 0
+    )
+
+
 def q_text_chunks(spark, sf_dir):
     documents = star.texts(spark, sf_dir)
     return redaction.chunk_documents(documents, CHUNK_BYTES, "doc_id")

@@ -309,3 +309,20 @@ def alert_envelopes(events):
     )
     record = F.struct(F.struct(message.alias("Message")).alias("Sns"))
     return events.select("event_id", F.to_json(F.struct(F.array(record).alias("Records"))).alias("envelope"))
+
+
+# what the secret of each kind stands in; the text is read by both engines
+_PLANTED = (
+    "concat(chr(10), 'AKIA', upper(substr(md5(coalesce(text, '')), 1, 16)), ' is our access')",
+    "concat(chr(10), 'api_key: \"', md5(coalesce(text, '')), '\"')",
+    "concat(chr(10), 'see postgres://app:', md5(coalesce(text, '')), '@db.internal:5432/app for rows')",
+    "concat(chr(10), '-----BEGIN RSA PRIVATE KEY-----', chr(10), md5(coalesce(text, '')), chr(10), '-----END RSA PRIVATE KEY-----', chr(10))",
+)
+SECRETS_SQL = "concat(coalesce(text, ''), {})".format(
+    ", ".join(f"CASE WHEN doc_id % 7 IN ({kind}, 4) THEN {secret} ELSE '' END" for kind, secret in enumerate(_PLANTED))
+)
+
+
+def with_secrets(documents):
+    """Texts with one secret of the kind doc_id mod 7 (0 to 3) or all four (4) at their end; the rest as they are."""
+    return documents.withColumn("text", F.expr(SECRETS_SQL))

@@ -1,11 +1,15 @@
+import hashlib
 import random
 import time
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from lateline.functions import redaction as R
+from lateline.functions.numbers import running
 from lateline.operators import redaction as O
+from lateline.sources.star import with_secrets
 
 KEY = "AKIA" + "ABCDEFGH12345678"
 PEM = "-----BEGIN EC PRIVATE KEY-----\nc29tZS1ib2R5\n--odd-dashes--\n-----END EC PRIVATE KEY-----"
@@ -168,3 +172,40 @@ def test_chunk_of_plain_words_is_cut_at_the_limit():
     assert R._chunks("One. Two. Three", 10) == ["One. Two.", " Three"]
     with pytest.raises(ValueError):
         R.text_chunks(3)
+
+
+def test_placing_spans_takes_time_in_line_with_their_number(spark):
+    def seconds(n):
+        line = "mail a@b.co or 10.0.0.1 now. "
+        df = spark.range(1).select(F.repeat(F.lit(line), n // 2).alias("text"))
+        best = []
+        for _ in range(3):
+            begun = time.perf_counter()
+            spans = df.select("text", R.entity_spans(F.col("text")).alias("spans"))
+            last, clean = spans.select(F.element_at("spans", -1)["end"], F.md5(R.apply_spans(F.col("text"), F.col("spans")))).first()
+            best.append(time.perf_counter() - begun)
+        assert last == len(line) * (n // 2) - len(" now. ")
+        assert clean == hashlib.md5(b"mail [EMAIL] or [IP_ADDRESS] now. " * (n // 2)).hexdigest()
+        return min(best)
+
+    seconds(1_000)
+    few, many = seconds(10_000), seconds(100_000)
+    assert many < 25 * few + 1
+
+
+def test_running_sums_and_maxima(spark):
+    for values in ([], [3], [3, -1], [5, 1, 9, 2, 9, 11, 0], list(range(100, 0, -1))):
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        sums, tops = df.select(running(F.col("v"), lambda a, b: a + b), running(F.col("v"), F.greatest)).first()
+        assert (sums, tops) == (list(accumulate(values)), list(accumulate(values, max)))
+
+
+def test_planted_secrets_leave_nothing(spark):
+    rows = [(i, t) for i, t in enumerate(["plain", "", None, "x" * 100_000, "p\n", "q", "r", "again"])]
+    df = with_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = df.select("text", R.redact_secrets(F.col("text")).alias("clean"), R.count_secrets(F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in got] == [1, 1, 1, 1, 4, 0, 0, 1]
+    digests = [hashlib.md5((t or "").encode()).hexdigest() for _, t in rows]
+    for r, digest in zip(got, digests, strict=True):
+        assert digest not in r["clean"] and digest[:16].upper() not in r["clean"]
+        assert (r["clean"] == r["text"]) == (r["n"] == 0)
