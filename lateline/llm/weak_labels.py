@@ -60,13 +60,15 @@ class _Looks(dict):
 
     def __missing__(self, word):
         core = word.rstrip(_CLOSING)
-        ends = _squeezed(word[len(core) :])
-        ends = ends if len(ends) <= 3 else "".join(sorted(set(ends)))
+        ends = word[len(core) :]
+        if len(ends) > 2:
+            ends = _squeezed(ends)
+            ends = ends if len(ends) <= 3 else "".join(sorted(set(ends)))
         if core.isalpha():
             form = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[0].isupper() and core[1:].islower() else shape(core)
             symbols = False
         else:
-            form, symbols = shape(core), sum(map(core.count, _SYMBOLS)) >= 2
+            form, symbols = shape(core), sum(c in _SYMBOLS for c in core) >= 2
         kind = (form, ends, len(word) > 1 and word.isupper(), word.endswith("!!"), symbols, word == "|", core.isalpha() and len(ends) < 2 and not (len(word) > 1 and word.isupper()))
         number = self.kinds.get(kind)
         if number is None:
