@@ -1,6 +1,7 @@
 """Message sentiment, its time series, and drops in it."""
 
-from functools import reduce
+import json
+import zlib
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,16 +29,43 @@ def read_lexicon(spark, path, sep="\t"):
     return lexicon
 
 
-def _valence(word, by_valence):
-    cases = reduce(lambda done, item: done.when(word.isin(item[1]), F.lit(item[0])), by_valence, F.when(F.lit(False), 0.0))
-    return cases.otherwise(0.0)
+_TABLE = "array<map<string, struct<valence: double, sizes: array<int>>>>"
 
 
-def _modified(words, lowered, at, terms, by_valence):
-    """The valence of the term at a position, changed by case and the three words before it."""
+def _word_table(lexicon):
+    """A lexicon as a hash table in one constant, and the function that looks a column of words up in it.
+
+    An entry is found under the CRC-32 of its words, so a look-up costs the same for
+    ten terms and for ten thousand. It holds the term's valence, null if the words are
+    no term, and, under the first word of longer terms, their numbers of words,
+    longest first.
+    """
+    entries = {term: {"valence": float(valence), "sizes": []} for term, valence in lexicon.items()}
+    sizes = {}
+    for term in lexicon:
+        words = term.split(" ")
+        if len(words) > 1:
+            sizes.setdefault(words[0], set()).add(len(words))
+    for word, found in sizes.items():
+        entries.setdefault(word, {"valence": None, "sizes": []})["sizes"] = sorted(found, reverse=True)
+    buckets = [{} for _ in range(1 << len(entries).bit_length())]
+    for words, entry in entries.items():
+        buckets[zlib.crc32(words.encode("utf-8")) % len(buckets)][words] = entry
+    table = F.from_json(F.lit(json.dumps(buckets)), _TABLE)
+    return lambda words: F.element_at(F.get(table, F.crc32(words.cast("binary")).bitwiseAND(len(buckets) - 1).cast("int")), words)
+
+
+def _facts(words, lowered):
+    """What every term of a text is held against: where its "but" is, and whether not all of it is in capitals."""
+    mixed = F.exists(words, lambda w: F.upper(w) != w)
+    return F.struct((F.array_position(lowered, "but") - 1).alias("but"), mixed.alias("mixed"))
+
+
+def _modified(words, lowered, entries, facts, at):
+    """The valence of the one-word term at a position, changed by case and the three words before it."""
     word = F.get(words, at)
-    base = _valence(F.get(lowered, at), by_valence)
-    shouted = (F.upper(word) == word) & F.exists(words, lambda w: F.upper(w) != w)
+    base = F.get(entries, at)["valence"]
+    shouted = (F.upper(word) == word) & facts["mixed"]
     start = F.when(shouted, base + F.signum(base) * F.lit(fv.SHOUTED)).otherwise(base)
 
     def look_back(value, distance):
@@ -45,11 +73,12 @@ def _modified(words, lowered, at, terms, by_valence):
         strength = F.when(before.isin(*fv.BOOSTERS), fv.BOOST).when(before.isin(*fv.DAMPENERS), -fv.BOOST).otherwise(0.0)
         boosted = value + F.signum(value) * strength * distance["fades"]
         turned = F.when(before.isin(*fv.NEGATIONS), F.lit(fv.NEGATION)).otherwise(1.0)
-        return F.when(before.isNull() | before.isin(terms), value).otherwise(boosted * turned)
+        is_term = F.get(entries, at - distance["d"])["valence"].isNotNull()
+        return F.when(before.isNull() | is_term, value).otherwise(boosted * turned)
 
     steps = [F.struct(F.lit(d).alias("d"), F.lit(f).alias("fades")) for d, f in enumerate(fv.BOOST_BY_DISTANCE, 1)]
     changed = F.aggregate(F.array(*steps), start, look_back)
-    but = F.array_position(lowered, "but") - 1
+    but = facts["but"]
     weight = F.when(but < 0, 1.0).when(at < but, fv.BEFORE_BUT).when(at > but, fv.AFTER_BUT).otherwise(1.0)
     return changed * weight
 
@@ -67,30 +96,39 @@ def score_text(text, lexicon=None):
     `lexicon` maps a term to its valence and is a fixed list, so it is compiled
     into the expression: messages are scored in place, without a join. Words
     before a term strengthen, weaken or negate it; capitals, exclamation marks
-    and a "but" weigh in. A term of two words is looked up among neighbours.
+    and a "but" weigh in. Terms of several words match neighbouring words and count
+    as they are; a term that lies within a longer one does not count beside it.
     """
-    lexicon = LEXICON if lexicon is None else lexicon
-    terms = [term for term in lexicon if " " not in term]
-    by_valence = {}
-    for term in terms:
-        by_valence.setdefault(lexicon[term], []).append(term)
-    phrases = {term: v for term, v in lexicon.items() if " " in term}
+    find = _word_table(LEXICON if lexicon is None else lexicon)
     words = F.split(text, _NOT_A_WORD)
 
     def summed(words):
-        return bind(F.transform(words, F.lower), lambda lowered: _total(words, lowered))
+        def of_lowered(lowered):
+            return bind(F.transform(lowered, find), lambda entries: bind(_facts(words, lowered), lambda facts: total_of(words, lowered, entries, facts)))
 
-    def _total(words, lowered):
-        hits = F.filter(F.transform(lowered, lambda word, i: F.when(word.isin(terms), i)), lambda at: at.isNotNull())
-        total = F.aggregate(
-            hits, F.lit(0.0), lambda seen, at: seen + _modified(words, lowered, at, terms, list(by_valence.items()))
-        )
-        if phrases:
-            spaced = F.concat(F.lit(" "), F.array_join(lowered, "  "), F.lit(" "))
-            for phrase, valence in phrases.items():
-                found = F.regexp_count(spaced, F.lit(f" {phrase.replace(' ', '  ')} "))
-                total = total + F.when(spaced.contains(f" {phrase.replace(' ', '  ')} "), found).otherwise(0) * F.lit(valence)
-        return total
+        return bind(F.transform(words, F.lower), of_lowered)
+
+    def total_of(words, lowered, entries, facts):
+        def longest_at(at):
+            def of_size(n):
+                inside = at + n <= F.size(lowered)
+                return F.struct(n.alias("n"), F.when(inside, find(F.array_join(F.slice(lowered, at + 1, n), " "))["valence"]).alias("v"))
+
+            return F.get(F.filter(F.transform(F.get(entries, at)["sizes"], of_size), lambda found: found["v"].isNotNull()), F.lit(0))
+
+        def add(seen, at):
+            def with_longest(longest):
+                end = at + F.coalesce(longest["n"], F.lit(1))
+                value = F.when(longest.isNotNull(), longest["v"]).otherwise(_modified(words, lowered, entries, facts, at))
+                value = F.when(end > seen["end"], value)
+                return bind(value, lambda value: F.struct(
+                    (seen["total"] + F.coalesce(value, F.lit(0.0))).alias("total"), F.when(value.isNotNull(), end).otherwise(seen["end"]).alias("end")
+                ))
+
+            return bind(longest_at(at), with_longest)
+
+        hits = F.filter(F.transform(entries, lambda entry, i: F.when(entry.isNotNull(), i)), lambda at: at.isNotNull())
+        return F.aggregate(hits, F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("end")), add)["total"]
 
     def compound(total):
         loud = total + F.signum(total) * _emphasis(text)
@@ -99,6 +137,29 @@ def score_text(text, lexicon=None):
     return F.coalesce(rounded(bind(bind(words, summed), compound), 4), F.lit(0.0))
 
 
+def frequent_terms(texts, words=10_000, pairs=1_000):
+    """The most frequent words of column `text`, and the most frequent pairs of neighbouring words, as column `term`.
+
+    A lexicon's first draft: a report of stated length, ties broken by the term itself.
+    """
+    lowered = texts.select(F.transform(F.split("text", _NOT_A_WORD), F.lower).alias("words"))
+
+    def pair(word, i):
+        after = F.get("words", i + 1)
+        return F.when((word != "") & (after != ""), F.concat(word, F.lit(" "), after))
+
+    def most(terms, n):
+        counted = lowered.select(F.explode(terms).alias("term")).where("term <> ''").groupBy("term").count()
+        return counted.orderBy(F.col("count").desc(), "term").limit(n).select("term")
+
+    return most(F.col("words"), words).unionAll(most(F.transform("words", pair), pairs))
+
+
+def write_lexicon(terms, path):
+    """A lexicon file from columns term and valence, as `read_lexicon` takes it."""
+    terms.select(F.concat_ws("\t", "term", F.col("valence").cast("string"))).write.text(path)
+
+
 def sent_at(message_ts):
     """Epoch seconds as text to a timestamp; empty or bad text is null."""
     return F.timestamp_seconds(number(message_ts))

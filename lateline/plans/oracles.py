@@ -188,10 +188,14 @@ outlook AS (
   SELECT project_key, avg(avg_sentiment) AS mean, count(*) AS recent_windows FROM ranked WHERE rn <= 7 GROUP BY 1)"""
 
 
-def _scores(source, text, keys):
-    """Scores with the rules: each term, its case, the three words before it, "but", emphasis."""
-    singles = ", ".join(f"({_lit(t)}, {v}e0)" for t, v in LEXICON.items() if " " not in t)
-    pairs = ", ".join(f"({_lit(t)}, {v}e0)" for t, v in LEXICON.items() if " " in t)
+def _scores(source, text, keys, singles=None, pairs=None):
+    """Scores with the rules: each term, its case, the three words before it, "but", emphasis.
+
+    A term within a pair does not count beside it. `singles` and `pairs` are
+    SELECTs of term and valence in place of the built-in lexicon.
+    """
+    singles = singles or "VALUES " + ", ".join(f"({_lit(t)}, {v}e0)" for t, v in LEXICON.items() if " " not in t)
+    pairs = pairs or "VALUES " + ", ".join(f"({_lit(t)}, {v}e0)" for t, v in LEXICON.items() if " " in t)
 
     def one_of(words):
         return "(" + ", ".join(map(_lit, words)) + ")"
@@ -207,20 +211,23 @@ step{d} AS (SELECT *, CASE WHEN {skip} THEN {value} ELSE ({value} + sign({value}
         value = f"v{d}"
     key_list = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
     return f""",
-singles(term, valence) AS (VALUES {singles}),
-pairs(term, valence) AS (VALUES {pairs}),
+singles(term, valence) AS ({singles}),
+pairs(term, valence) AS ({pairs}),
 split AS (SELECT {keys}, {text} AS body, string_split_regex({text}, '[^\\pL\\pN_\'\']+') AS words FROM {source}),
 both_cases AS (SELECT *, list_transform(words, lambda w: lower(w)) AS lowered FROM split),
 placed AS (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM both_cases),
+paired AS (
+  SELECT {key_list}, i, valence FROM placed s JOIN pairs ON i < len(words) AND lowered[i] || ' ' || lowered[i + 1] = term),
+alone AS (SELECT * FROM placed ANTI JOIN (SELECT {keys}, i FROM paired UNION SELECT {keys}, i + 1 FROM paired) USING ({keys}, i)),
 step0 AS (
   SELECT s.*, valence + CASE WHEN upper(words[i]) = words[i] AND len(list_filter(words, lambda w: upper(w) <> w)) > 0
     THEN sign(valence) * 0.733e0 ELSE 0e0 END AS v0
-  FROM placed s JOIN singles ON lowered[i] = term){steps},
+  FROM alone s JOIN singles ON lowered[i] = term){steps},
 valences AS (
   SELECT {keys}, v3 * CASE WHEN coalesce(list_position(lowered, 'but'), 0) = 0 OR list_position(lowered, 'but') = i THEN 1e0
     WHEN i < list_position(lowered, 'but') THEN 0.5e0 ELSE 1.5e0 END AS v FROM step3
   UNION ALL
-  SELECT {key_list}, valence AS v FROM placed s JOIN pairs ON i < len(words) AND lowered[i] || ' ' || lowered[i + 1] = term),
+  SELECT {keys}, valence AS v FROM paired),
 totals AS (SELECT {keys}, sum(v) AS total FROM valences GROUP BY {keys}),
 emphasis AS (
   SELECT {keys}, least(len(regexp_extract_all(body, '!')), 4) * 0.292e0 + CASE WHEN len(regexp_extract_all(body, '\\?')) <= 1 THEN 0e0
@@ -507,6 +514,13 @@ SELECT issue_key, {inputs} FROM team LEFT JOIN velocity USING (project_key)"""
 SELECT event_id, channel_id, user_id, text, coalesce(score, 0.0) AS sentiment_score, CAST(0 AS BIGINT) AS reply_count,
   reaction_count, {_iso('ts')} AS datetime_utc FROM messages LEFT JOIN scores USING (event_id)"""
     sql["conversation_sentiment"] = f"""WITH src AS (SELECT * FROM conversations) {_scores('src', 'text', 'conv_id, turn')}
+SELECT conv_id, turn, role, coalesce(score, 0.0) AS sentiment_score FROM src LEFT JOIN scores USING (conv_id, turn)"""
+    words = "SELECT list_transform(string_split_regex(text, '[^\\pL\\pN_'']+'), lambda w: lower(w)) AS w FROM conversations"
+    most = "SELECT term, length(term) % 5 - 2.5e0 FROM (SELECT {} AS term FROM (" + words + ")) {} GROUP BY term ORDER BY count(*) DESC, term LIMIT {}"
+    singles = most.format("unnest(w)", "WHERE term <> ''", 10_000)
+    neighbours = "unnest(list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] <> '' AND w[i + 1] <> '' THEN w[i] || ' ' || w[i + 1] END))"
+    pairs = most.format(neighbours, "WHERE term IS NOT NULL", 1_000)
+    sql["file_lexicon_sentiment"] = f"""WITH src AS (SELECT * FROM conversations) {_scores('src', 'text', 'conv_id, turn', singles, pairs)}
 SELECT conv_id, turn, role, coalesce(score, 0.0) AS sentiment_score FROM src LEFT JOIN scores USING (conv_id, turn)"""
     sql["sentiment_timeseries_day"] = f"WITH {MESSAGES} {_series()} SELECT * FROM series"
     sql["sentiment_timeseries_hour"] = f"WITH {MESSAGES} {_series('hour')} SELECT * FROM series"

@@ -141,6 +141,15 @@ def q_conversation_sentiment(spark, sf_dir):
     return turns.select("conv_id", "turn", "role", sent.score_text(F.col("text")).alias("sentiment_score"))
 
 
+def q_file_lexicon_sentiment(spark, sf_dir):
+    """Turns scored by a lexicon of 11,000 terms read from a file: frequent words and pairs, their valence told by length."""
+    turns = star.texts(spark, sf_dir, "conversations")
+    path = new_path(spark, "lexicon")
+    sent.write_lexicon(sent.frequent_terms(turns).withColumn("valence", F.length("term") % 5 - 2.5), path)
+    score = sent.score_text(F.col("text"), sent.read_lexicon(spark, path))
+    return turns.select("conv_id", "turn", "role", score.alias("sentiment_score"))
+
+
 def q_sentiment_timeseries_day(spark, sf_dir):
     return _series(spark, sf_dir)
 

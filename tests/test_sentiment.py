@@ -69,6 +69,39 @@ def test_compound_value_and_own_lexicon(spark):
     assert score(spark, "shipped fine", {"fine": 1.0}) == 0.25
 
 
+def test_longest_terms_count(spark):
+    lexicon = {"low": -1.0, "low tide": 0.5, "low tide mark": 2.0, "tide": -0.25, "tide mark": 3.0, "mark book": 1.0, "tide mark a b": 4.0}
+    for text, total in {
+        "low tide": 0.5,
+        "low TIDE, not a mark": 0.5,
+        "low tide mark": 2.0,  # the pair and the word within it do not count beside it
+        "low tide mark book": 2.0 + 1.0,  # two terms that overlap, none within the other
+        "a tide mark a b": 4.0,
+        "tide mark a": 3.0,
+        "low": -1.0,
+        "mark": 0.0,
+        "low low tide": -1.0 + 0.5,
+    }.items():
+        assert score(spark, text, lexicon) == round(total / (total * total + 15) ** 0.5, 4), text
+
+
+def test_a_lexicon_of_thousands(spark):
+    lexicon = {f"ab{i}": (i % 7) / 2 - 1.75 for i in range(10_000)} | {f"on{i} to{i} it": 1.0 for i in range(1_000)}
+    rows = [(f"ab{i} xy on{i % 1000} to{i % 1000} it", (i % 7) / 2 - 1.75 + 1.0) for i in range(0, 10_000, 7)]
+    scored = spark.createDataFrame(rows, "text string, total double").select("total", S.score_text(F.col("text"), lexicon).alias("score"))
+    for row in scored.collect():
+        assert abs(row["score"] - row["total"] / (row["total"] ** 2 + 15) ** 0.5) < 1e-4
+
+
+def test_drafted_lexicon(spark, tmp_path):
+    texts = spark.createDataFrame([("Fog fog bank",), ("fog bank, tide",), (None,), ("",)], "text string")
+    terms = S.frequent_terms(texts, 2, 1)
+    assert [row["term"] for row in terms.collect()] == ["fog", "bank", "fog bank"]
+    S.write_lexicon(terms.withColumn("valence", F.length("term") * 0.5), str(tmp_path / "terms"))
+    assert S.read_lexicon(spark, str(tmp_path / "terms")) == {"fog": 1.5, "bank": 2.0, "fog bank": 4.0}
+    assert score(spark, "nothing here", {}) == 0.0
+
+
 def test_lexicon_from_a_file(spark, tmp_path):
     path = tmp_path / "lexicon.txt"
     path.write_text("Breezy\t1.5\t0.8\textra\nfog bank\t-2\n'tis\t0.5\n")
