@@ -4,15 +4,20 @@ The words of a batch that were not seen before are encoded together: the symbols
 of all of them lie in one flat array. Every round forms the pair keys of all
 neighbours, finds their ranks by binary search over the sorted keys of the merge
 table, and merges the lowest-ranked pair of every word at once, so the number of
-rounds is that of the longest merge chain of a word, not the number of words.
+rounds is that of the longest merge chain of a word, not the number of words. A
+round costs all symbols left, so a word of LONG_WORD bytes and more, which may need
+very many rounds, is merged on its own from a queue of its pairs by rank, n log n
+steps for n bytes; its pairs' ranks are found by binary search in the same keys.
 
 Works on the vocabulary files of public tokenizers whose pre-tokenizer is a
 pattern whose matches are the words, mapped byte by byte to letters, and whose
 words end in a suffix.
 """
 
+import heapq
 import json
 import os
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +31,8 @@ from lateline.llm.common import map_batches
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 400_000  # words a worker remembers; beyond it starts afresh, results do not depend on it
+CACHE_BYTES = 64 << 20  # bytes of words and ids it remembers, likewise
+LONG_WORD = 512
 _NO_RANK = np.iinfo(np.int64).max
 
 
@@ -64,9 +71,13 @@ class Encoder:
         keys = left * size + right
         order = np.argsort(keys, kind="stable")
         self.size, self.keys, self.ranks, self.merged = size, keys[order], order, merged[order]
+        self.key_list = keys[order].tolist()
         # a special token stands among the words as the bytes of its id, and is known from the start
         self.special_ids = {number: number for number in (int(i).to_bytes(4, "little") for i in self.special.values())}
-        self.cache = dict(self.special_ids)
+        self._forget()
+
+    def _forget(self):
+        self.cache, self.cached_bytes = dict(self.special_ids), 0
 
     # -- merge rounds
 
@@ -108,23 +119,71 @@ class Encoder:
         found = self.keys[place] == key
         return found, place, np.where(found, self.ranks[place], _NO_RANK)
 
+    def merge_long_word(self, word):
+        """Ids of one word (bytes) as a list: its pairs wait in a queue by rank, then place, and a merge renews its neighbours only."""
+        raw = np.frombuffer(word, np.uint8)
+        symbols = np.r_[self.inner[raw[:-1]], self.last[raw[-1:]]]
+        size = len(symbols)
+        found, _, rank = self._ranked(symbols, np.zeros(size, np.int64))
+        queue = (rank[found] * size + np.flatnonzero(found)).tolist()
+        heapq.heapify(queue)
+        ranks = np.where(found, rank, -1).tolist()  # of the pair that begins at a place, -1: none
+        symbols, after, before = symbols.tolist(), list(range(1, size + 1)), list(range(-1, size - 1))
+        keys, table_ranks, merged = self.key_list, self.ranks, self.merged
+
+        def renew(left, right):
+            key = symbols[left] * self.size + symbols[right]
+            place = bisect_left(keys, key)
+            if place < len(keys) and keys[place] == key:
+                ranks[left] = int(table_ranks[place])
+                heapq.heappush(queue, ranks[left] * size + left)
+            else:
+                ranks[left] = -1
+
+        while queue:
+            rank, left = divmod(heapq.heappop(queue), size)
+            if ranks[left] != rank:
+                continue  # a merge beside it came first
+            right = after[left]
+            symbols[left] = int(merged[bisect_left(keys, symbols[left] * self.size + symbols[right])])
+            symbols[right], ranks[right] = -1, -1
+            after[left] = after[right]
+            if after[left] < size:
+                before[after[left]] = left
+                renew(left, after[left])
+            else:
+                ranks[left] = -1
+            if before[left] >= 0:
+                renew(before[left], left)
+        return [symbol for symbol in symbols if symbol >= 0]
+
     def learn(self, words):
         """Encode words (text) that are not in the cache yet."""
         new = [word for word in words if word not in self.cache]
         if not new:
             return
-        flat, bounds = self.merge_words([word.encode("utf-8") for word in new])
-        raw, cuts = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
-        for word, start, end in zip(new, cuts[:-1], cuts[1:], strict=True):
-            self.cache[word] = raw[start:end]
+        coded = [word.encode("utf-8") for word in new]
+        ids = {}
+        for at, word in enumerate(coded):
+            if len(word) >= LONG_WORD:
+                ids[at] = np.array(self.merge_long_word(word), "<u4").tobytes()
+        short = [at for at in range(len(new)) if at not in ids]
+        if short:
+            flat, bounds = self.merge_words([coded[at] for at in short])
+            raw, cuts = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
+            for at, start, end in zip(short, cuts[:-1], cuts[1:], strict=True):
+                ids[at] = raw[start:end]
+        for at, word in enumerate(new):
+            self.cache[word] = ids[at]
+            self.cached_bytes += len(coded[at]) + len(ids[at])
 
     # -- texts
 
     def encode_batch(self, texts):
         """The ids of each text (None: empty) as little-endian unsigned 32-bit integers, in bytes."""
         split = [self._words(text or "") for text in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = dict(self.special_ids)
+        if len(self.cache) > CACHE_WORDS or self.cached_bytes > CACHE_BYTES:
+            self._forget()
         self.learn({word for words in split for word in words})
         found = self.cache.__getitem__
         out = []

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -52,6 +53,29 @@ def test_ids_and_decoded_texts(library):
         assert own.decode(got) == decoded
 
 
+def test_long_words_cost_little(library):
+    rng = random.Random(11)
+    encoder = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY))
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    begun = time.monotonic()
+    coded = encoder.encode_batch([letters])[0]
+    assert time.monotonic() - begun < 60
+    assert coded == as_bytes(library.encode(letters, add_special_tokens=False).ids)
+    for length in (bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 3 * bpe.LONG_WORD):
+        for alphabet in ("ab", "a", "etaoinshr", "th\u00e9\u4e2d"):
+            word = "".join(rng.choices(alphabet, k=length))
+            assert encoder.encode_batch([word])[0] == as_bytes(library.encode(word, add_special_tokens=False).ids)
+    assert encoder.cached_bytes > 1_000_000
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch):
+    encoder = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY))
+    first = encoder.encode_batch(["some words and more"])
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 10)
+    assert encoder.encode_batch(["others"]) and "others" in encoder.cache and "words" not in encoder.cache
+    assert encoder.encode_batch(["some words and more"]) == first
+
+
 def test_every_character_alone(library):
     own = bpe.encoder()
     texts = [chr(c) for c in [*range(0x30000), 0xE0001, 0x10FFFF] if not 0xD800 <= c < 0xE000]
