@@ -283,7 +283,12 @@ _READ = "page_id long, url string, payload_bytes long, payload_digest string, re
 
 
 def read_warc(spark, path):
-    """One row per record below `path`; `intact` says whether block and stored payload match their digests."""
+    """One row per record below `path`.
+
+    Length and digest of a stored payload are taken from its bytes as read, those of a
+    revisited one, which is not stored, from its header. `intact` says whether block,
+    payload and length agree with the headers.
+    """
 
     def batch_of(batch):
         rows = []
@@ -292,9 +297,13 @@ def read_warc(spark, path):
                 header, payload = _payload_of(block)
                 kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 intact = hashlib.sha1(block).hexdigest() == headers["WARC-Block-Digest"].removeprefix("sha1:")
-                intact = intact and (kind == "revisit" or hashlib.sha1(payload).hexdigest() == digest)
+                length = int(headers["X-Payload-Length"])
+                if kind != "revisit":
+                    read = len(payload), hashlib.sha1(payload).hexdigest()
+                    intact = intact and read == (length, digest)
+                    length, digest = read
                 refers = int(headers["X-Refers-To-Page-Id"]) if kind == "revisit" else None
-                rows.append((_page_id(header), headers["WARC-Target-URI"], int(headers["X-Payload-Length"]), digest, kind, refers, intact))
+                rows.append((_page_id(header), headers["WARC-Target-URI"], length, digest, kind, refers, intact))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
         names = [part.split(" ")[0] for part in _READ.split(", ")]
         columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
@@ -315,7 +324,7 @@ def query(spark, sf_dir):
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(table(spark, sf_dir, "pages"), arc)
     convert(spark, arc, warc)
-    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 SQL = f"""
@@ -324,6 +333,6 @@ q AS (SELECT page_id, digest, strlen(html) AS n FROM p),
 k AS (SELECT digest, max(page_id) AS keeper, count(*) AS c FROM q WHERE n >= {REVISIT_BYTES} GROUP BY digest)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, q.digest AS payload_digest,
        CASE WHEN n >= {REVISIT_BYTES} AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= {REVISIT_BYTES} AND keeper <> page_id THEN keeper END AS refers_to
+       CASE WHEN n >= {REVISIT_BYTES} AND keeper <> page_id THEN keeper END AS refers_to, true AS intact
 FROM q LEFT JOIN k ON q.digest = k.digest
 """

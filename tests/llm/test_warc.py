@@ -34,7 +34,7 @@ def plain(rows):
     for page_id, _, html in rows:
         body = (html or "").encode()
         refers = largest.get(body) if page_id is not None and largest.get(body) != page_id else None
-        out.append((page_id, len(body), hashlib.sha1(body).hexdigest(), "revisit" if refers is not None else "response", refers))
+        out.append((page_id, len(body), hashlib.sha1(body).hexdigest(), "revisit" if refers is not None else "response", refers, True))
     return sorted(out, key=str)
 
 
@@ -77,6 +77,18 @@ def test_arc_versions_and_bytes(spark, tmp_path):
     assert all(r["intact"] for r in rows.values()) and rows["dns:x"]["record_type"] == "resource"
 
 
+def test_a_damaged_payload_shows(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/1", "first page"), (2, "http://h/2", "second page")], "page_id long, url string, html string")
+    warc.write_arc(pages, str(tmp_path / "arc"))
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    (tmp_path / "damaged").mkdir()
+    for n, file in enumerate((tmp_path / "warc").rglob("part-*")):
+        content = warc.unzipped(file.read_bytes())
+        (tmp_path / "damaged" / f"{n}.warc").write_bytes(content.replace(b"second page", b"second pagf"))
+    got = {r["page_id"]: (r["intact"], r["payload_digest"]) for r in warc.read_warc(spark, str(tmp_path / "damaged")).collect()}
+    assert got == {1: (True, hashlib.sha1(b"first page").hexdigest()), 2: (False, hashlib.sha1(b"second pagf").hexdigest())}
+
+
 @pytest.mark.parametrize("broken", [b"http://x/ 1.2.3.4 1997 text/html 99\nshort\n", b"http://x/ 1 2\n", b"no line end"])
 def test_broken_archives_are_refused(broken):
     with pytest.raises(warc.BadArchive):
