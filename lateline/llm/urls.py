@@ -183,20 +183,26 @@ def seed_labels(urls, words=SEED_WORDS):
 
 
 def judge(urls, model, rules=RULES):
-    """`urls` with host, path, the deciding rule (null if none) and the verdict, allow or block.
+    """`urls` with host, path, the deciding rule (null if none), the verdict, allow or block, and what it is by.
 
-    Every row is judged, also one with a null url. Columns of these names are
-    replaced, others stay whatever their names.
+    `judged_by` is "rule", "trees", or "default": a model whose labels were all of one
+    kind has no trees and allows what no rule fits. Every row is judged, also one with a
+    null url. Columns of these names are replaced, others stay whatever their names.
     """
-    own = [name for name in urls.columns if name not in ("host", "path", "rule", "verdict")]
+    own = [name for name in urls.columns if name not in ("host", "path", "rule", "verdict", "judged_by")]
     judged = model.is_bad(features(urls.select("url", F.struct(*own).alias("__row"))))
     found = rule_of(rules)
     verdict = F.coalesce(found["verdict"], F.when(F.col("bad"), F.lit("block")).otherwise("allow"))
-    return judged.select("__row.*", "host", "path", found["rule"].alias("rule"), verdict.alias("verdict"))
+    judge_of = F.when(found["rule"].isNotNull(), F.lit("rule")).otherwise("default" if model.model is None else "trees")
+    return judged.select("__row.*", "host", "path", found["rule"].alias("rule"), verdict.alias("verdict"), judge_of.alias("judged_by"))
 
 
 def query(spark, sf_dir):
-    """Every page's URL judged, by trees fitted on the pages' seed labels where no rule fits."""
+    """Every page's URL judged, by trees fitted on the pages' seed labels where no rule fits.
+
+    Where no host of the fitting half holds a seed word there are no trees and
+    `judged_by` says so; callers with labels of their own pass them to `fit`.
+    """
     from lateline.llm.common import table
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

@@ -67,10 +67,20 @@ def test_held_out_accuracy(spark):
 def test_extra_columns_with_feature_names_stay(spark):
     rows = [(1, "http://a.org/", "host", "deep")]
     got = urls.judge(spark.createDataFrame(rows, SCHEMA), urls.UrlModel(None, {}, 0.0))
-    assert got.columns == ["page_id", "url", "depth", "host", "path", "rule", "verdict"]
+    assert got.columns == ["page_id", "url", "depth", "host", "path", "rule", "verdict", "judged_by"]
     assert got.first()["depth"] == "deep" and got.first()["host"] == "a.org"
 
 
+def test_who_judged(spark, tmp_path):
+    rows = [(1, "http://x.net/es/1", "h", "d"), (2, "http://plain.org/", "h", "d"), (3, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))  # no host holds a seed word: no trees
+    got = {r["page_id"]: (r["verdict"], r["judged_by"]) for r in urls.query(spark, str(tmp_path)).collect()}
+    assert got == {1: ("block", "rule"), 2: ("allow", "default"), 3: ("allow", "default")}
+    known = spark.createDataFrame(corpus(200), "page_id long, url string").withColumn("bad", F.col("url").contains("casino").cast("int"))
+    judged = urls.judge(spark.createDataFrame(rows, SCHEMA), urls.fit(known, rounds=2)).collect()
+    assert {r["page_id"]: r["judged_by"] for r in judged} == {1: "rule", 2: "trees", 3: "trees"}
+
+
 def test_entropy(spark):
     rows = spark.createDataFrame([("aabb",), ("aaaa",), ("abcd",)], "t string").select(urls._entropy(F.col("t"))).collect()
     assert [r[0] for r in rows] == [1.0, 0.0, 2.0]
