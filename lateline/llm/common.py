@@ -22,6 +22,14 @@ def table(spark, sf_dir, name):
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df, name):
+    """`name`, with underscores put before it until no column of `df` is called so."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_batches(df, function, schema):
     """mapInArrow for a function from one record batch to one or more record batches."""
 

@@ -10,7 +10,7 @@ the pages. Only these lists meet the texts.
 
 from pyspark.sql import functions as F
 
-from lateline.llm.common import SPACE
+from lateline.llm.common import SPACE, free_name
 from lateline.sources.staging import settle
 
 RATIO = 0.005  # share of a host's pages above which a line is boilerplate: licence lines stand on 0.6 % and more, copied pages on less
@@ -49,20 +49,21 @@ def drop_boilerplate(docs, host="source", ratio=RATIO, min_pages=MIN_PAGES):
     """
     docs = docs.drop("n_lines_dropped")
     found = boilerplate(docs, F.col(host), ratio, min_pages)
-    lists = settle(found.groupBy("host", "no_host").agg(F.collect_list("line").alias("__bad")), "boilerplate")
-    lists = lists.withColumnsRenamed({"host": "__host", "no_host": "__no_host"})
-    keyed = docs.withColumns({"__host": F.coalesce(F.col(host).cast("string"), F.lit("")), "__no_host": F.col(host).isNull()})
-    joined = keyed.join(lists, ["__host", "__no_host"], "left")
+    bad, site, no_site, hits, kept_lines = (free_name(docs, f"__{name}") for name in ("bad", "host", "no_host", "hit", "kept"))
+    lists = settle(found.groupBy("host", "no_host").agg(F.collect_list("line").alias(bad)), "boilerplate")
+    lists = lists.withColumnsRenamed({"host": site, "no_host": no_site})
+    keyed = docs.withColumns({site: F.coalesce(F.col(host).cast("string"), F.lit("")), no_site: F.col(host).isNull()})
+    joined = keyed.join(lists, [site, no_site], "left")
     # few of a page's lines are on the list, so each line is compared with those few only
-    own = F.array_intersect(F.transform(_lines(F.col("text")), _hash), F.coalesce("__bad", F.array().cast("array<bigint>")))
-    joined = joined.withColumn("__hit", F.when(F.col("__bad").isNotNull(), own))
-    hit = F.coalesce(F.size("__hit") > 0, F.lit(False)) & F.col("text").isNotNull()
-    stays = F.filter(_lines(F.col("text")), lambda line: (F.trim(line, F.lit(SPACE)) == "") | ~F.array_contains("__hit", _hash(line)))
-    joined = joined.withColumn("__kept", F.when(hit, stays))
+    own = F.array_intersect(F.transform(_lines(F.col("text")), _hash), F.coalesce(bad, F.array().cast("array<bigint>")))
+    joined = joined.withColumn(hits, F.when(F.col(bad).isNotNull(), own))
+    hit = F.coalesce(F.size(hits) > 0, F.lit(False)) & F.col("text").isNotNull()
+    stays = F.filter(_lines(F.col("text")), lambda line: (F.trim(line, F.lit(SPACE)) == "") | ~F.array_contains(hits, _hash(line)))
+    joined = joined.withColumn(kept_lines, F.when(hit, stays))
     return joined.withColumns(
         {
-            "n_lines_dropped": F.when(hit, F.size(_lines(F.col("text"))) - F.size("__kept")).otherwise(0).cast("long"),
-            "text": F.when(hit, F.array_join("__kept", "\n")).otherwise(F.col("text")),
+            "n_lines_dropped": F.when(hit, F.size(_lines(F.col("text"))) - F.size(kept_lines)).otherwise(0).cast("long"),
+            "text": F.when(hit, F.array_join(kept_lines, "\n")).otherwise(F.col("text")),
         }
     ).select(*docs.columns, "n_lines_dropped")
 

@@ -9,7 +9,7 @@ the bit patterns, without another look at the texts.
 
 from pyspark.sql import functions as F
 
-from lateline.llm.common import SPACE
+from lateline.llm.common import SPACE, free_name
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -82,18 +82,19 @@ def measurements(docs):
             F.size(F.filter(words, lambda w: w.endswith("!!"))).alias("shouts"),
         ),
     )
-    docs = docs.withColumn("__words", of_words).withColumn("__lines", counts)
+    in_words, in_lines = free_name(docs, "__words"), free_name(docs, "__lines")
+    docs = docs.withColumns({in_words: of_words, in_lines: counts})
     measured = F.struct(
-        F.col("__words.n").cast("long").alias("n_words"),
+        F.col(in_words)["n"].cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
         without(SYMBOLS).alias("n_symbols"),
-        F.col("__lines.n").cast("long").alias("n_lines"),
-        F.col("__lines.dup").cast("long").alias("n_dup_lines"),
-        F.col("__words.repeat").alias("n_repeat_words"),
-        F.col("__words.bars").cast("long").alias("n_bars"),
-        F.col("__words.shouts").cast("long").alias("n_shouts"),
+        F.col(in_lines)["n"].cast("long").alias("n_lines"),
+        F.col(in_lines)["dup"].cast("long").alias("n_dup_lines"),
+        F.col(in_words)["repeat"].alias("n_repeat_words"),
+        F.col(in_words)["bars"].cast("long").alias("n_bars"),
+        F.col(in_words)["shouts"].cast("long").alias("n_shouts"),
     )
-    return docs.withColumn("m", measured).drop("__words", "__lines")
+    return docs.withColumn("m", measured).drop(in_words, in_lines)
 
 
 def _m(name):

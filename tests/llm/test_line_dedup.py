@@ -63,3 +63,16 @@ def test_small_sites_and_columns_stay(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert line_dedup.query(spark, str(tmp_path)).count() == 0
+
+
+def test_helper_names_are_the_callers_own(spark):
+    clashing = "__host string, __no_host string, __bad string, __HIT string, __kept string"
+    rows = [(i, "same\nown %d" % i, "big", *"abcde") for i in range(200)]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, f"doc_id long, text string, source string, {clashing}"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, "own %d" % i, "big", *"abcde", 1) for i in range(200))
+
+
+def test_a_line_exactly_at_the_share_stays(spark):
+    rows = [(i, f"own {i}" + ("\nat the share" if i < 10 else "\nabove it" if i < 21 else ""), "s", None) for i in range(2000)]
+    got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(r["n_lines_dropped"] == (10 <= i < 21) for i, r in got.items()) and got[3]["text"] == "own 3\nat the share"

@@ -66,3 +66,9 @@ def test_no_python_and_no_shuffle(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert rules.query(spark, str(tmp_path)).count() == 0
+
+
+def test_helper_names_are_the_callers_own(spark):
+    rows = [(1, "some words", "kept", 7)]
+    got = rules.ledger(spark.createDataFrame(rows, "doc_id long, text string, __words string, __Lines int")).first()
+    assert got["__words"] == "kept" and got["__Lines"] == 7 and got["m"]["n_words"] == 2
