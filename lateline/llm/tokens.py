@@ -7,13 +7,19 @@ leading space or line feed belongs to the word behind it, where it is kept. So t
 ids of a text are those of its chunks one after the other. Arrow cuts and numbers the
 chunks of a batch, the library encodes those a worker has not seen yet, and
 one gather over a flat array lays out the ids.
+
+A byte-level vocabulary's pattern also parts a letter or digit from the marks behind it,
+and a line feed from what is no white space. There the marks that close a word and the
+line feed behind it are a chunk of their own, so a word is known whatever closes it.
 """
 
 import json
 import os
 import re
+from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -26,10 +32,14 @@ CACHE_BYTES = 128 << 20  # what a worker remembers; beyond it starts afresh, res
 _LIBRARY_TEXTS = 256  # words handed to the library at a time
 # characters that are certainly no white space and combine with nothing before them
 _FIRM = "[!-~¡-¬®-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥가-힣]"
+_LETTER = "[0-9A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥가-힣]"  # those of them that are letters or digits
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MOST_MARKS = 8  # a word that more marks close stays whole
 _LEADS = ("", " ", "\n")
-# a word of letters, and marks behind it: two tokens' worth under a byte-level vocabulary's pattern
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)?").fullmatch
+# a word of letters: one token's worth under a byte-level vocabulary's pattern
+_PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 _LETTERS = dict(enumerate(byte_letters()))
+_ID = attrgetter("id")
 
 
 class ChunkEncoder:
@@ -46,58 +56,60 @@ class ChunkEncoder:
             parts = json.load(file)
         # a vocabulary with word ends drops white space, so a chunk's lead says nothing there
         self.leads = parts["model"].get("end_of_word_suffix") is None
+        self.added = [token["content"] for token in parts.get("added_tokens") or ()]
         self._forget()
 
     def _forget(self):
-        self.number, self.held = tuple({} for _ in _LEADS), 0
+        number = count().__next__  # one series over all leads, a chunk gets the next when it is first looked up
+        self.number, self.held = tuple(defaultdict(number) for _ in _LEADS), 0
         self.used = self.chunks = 0
         self.store = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, lead, words):
-        """Encode words that are not known behind this lead yet, and number them."""
-        known = self.number[lead]
+        """Encode words that are not known behind this lead yet; they have the numbers from self.chunks on."""
         for at in range(0, len(words), _LIBRARY_TEXTS):
             part = words[at : at + _LIBRARY_TEXTS]
-            ids = self._ids([_LEADS[lead] + word for word in part])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            order, sizes, flat = self._ids(lead, part)
             self.store = _room(self.store, self.used + len(flat))
             self.starts, self.sizes = _room(self.starts, self.chunks + len(part)), _room(self.sizes, self.chunks + len(part))
             self.store[self.used : self.used + len(flat)] = flat
-            self.sizes[self.chunks : self.chunks + len(part)] = sizes
-            self.starts[self.chunks : self.chunks + len(part)] = self.used + np.cumsum(sizes) - sizes
-            known.update(zip(part, range(self.chunks, self.chunks + len(part)), strict=True))
+            self.sizes[self.chunks + order] = sizes
+            self.starts[self.chunks + order] = self.used + np.cumsum(sizes) - sizes
             self.used += len(flat)
             self.chunks += len(part)
             self.held += 120 * len(part) + sum(map(len, part)) + 4 * len(flat)
 
-    def _ids(self, chunks):
-        """The ids of each chunk; plain words go to the library's model without its pattern."""
-        out = [None] * len(chunks)
+    def _ids(self, lead, words):
+        """(places of words, how many ids each has, the ids); plain words come first, they go to the library's model without its pattern."""
+        before, plain, spelled, rest = _LEADS[lead], [], [], range(len(words))
         if self.leads:
-            tokenize, found = self.library.model.tokenize, map(_PLAIN, chunks)
-            for i, match in enumerate(found):
-                if match:
-                    word, marks = match.groups()
-                    ids = [token.id for token in tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
-                    out[i] = ids + [token.id for token in tokenize(marks)] if marks else ids
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        encoded = self.library.encode([chunks[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
-        bounds = np.append(0, np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(rest)))).tolist()
-        ids = encoded.ids
-        for place, i in enumerate(rest):
-            out[i] = ids[bounds[place] : bounds[place + 1]]
-        return out
+            rest = []
+            for place, word in enumerate(words):
+                whole = before + word
+                if not _PLAIN(whole):
+                    rest.append(place)
+                    continue
+                plain.append(place)
+                spelled.append(whole.replace(" ", "Ġ") if whole.isascii() else whole.encode().decode("latin-1").translate(_LETTERS))
+        tokens = list(map(self.library.model.tokenize, spelled))
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.fromiter(map(_ID, chain.from_iterable(tokens)), np.uint32, int(sizes.sum()))
+        if rest:
+            encoded = self.library.encode([before + words[place] for place in rest], is_pretokenized=True, add_special_tokens=False)
+            sizes = np.append(sizes, np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(rest)))
+            flat = np.append(flat, np.array(encoded.ids, np.uint32))
+        return np.array([*plain, *rest], np.int64), sizes, flat
 
     def _numbers(self, lead, words):
         """Numbers of words (each once) behind a lead."""
-        known = self.number[lead]
-        found = list(map(known.get, words))
-        if None in found:
-            self._learn(lead, [word for word, number in zip(words, found, strict=True) if number is None])
-            found = list(map(known.__getitem__, words))
-        return np.array(found, np.int64)
+        try:
+            numbers = np.fromiter(map(self.number[lead].__getitem__, words), np.int64, len(words))
+            self._learn(lead, [words[place] for place in np.flatnonzero(numbers >= self.chunks).tolist()])
+        except BaseException:
+            self._forget()  # there may be numbers without ids
+            raise
+        return numbers
 
     def encode(self, texts):
         """(ids, bounds) of a string array: the ids of text i are ids[bounds[i]:bounds[i + 1]]; null is empty."""
@@ -117,37 +129,89 @@ class ChunkEncoder:
         lead[first[:-1]] = 0
         before = lead.copy()
 
-        firm_start = pc.match_substring_regex(words, "^" + _FIRM).to_numpy(zero_copy_only=False)
-        firm_end = pc.match_substring_regex(words, _FIRM + r"\z").to_numpy(zero_copy_only=False)
-        clean = np.ones(len(at), bool)
-        clean[1:] = firm_end[at[:-1]] & firm_start[at[1:]]
-        clean |= lead == 0
+        firm = pc.match_substring_regex(words, "^" + _FIRM).to_numpy(zero_copy_only=False).astype(np.int8)
+        firm += 2 * pc.match_substring_regex(words, _FIRM + r"\z").to_numpy(zero_copy_only=False)
+        firm = firm[at]
+        clean = lead == 0
+        clean[1:] |= (firm[:-1] >> 1 & firm[1:]).astype(bool)
         runs = np.flatnonzero(clean)
         ends = np.append(runs[1:], len(at))
         single = ends - runs == 1
 
-        if not self.leads:
-            lead[:] = 0
-        word, kind = at[runs], lead[runs]
-        numbers = np.zeros(len(runs), np.int64)
+        # single pieces are told apart by lead, by a line feed that follows, and by word
+        kind = lead[runs].astype(np.int64) if self.leads else np.zeros(len(runs), np.int64)
+        word = at[runs]
+        stems, stem_of, tails, tail_of = self._parted(words)
+        if self.leads:
+            fed = single[1:] & single[:-1] & (kind[1:] == 2) & (tail_of[word[1:]] >= 0)
+            kind[1:][fed] = 0
+            kind[:-1] += len(_LEADS) * fed
+        code = kind * len(words) + word
+        seen = np.zeros(2 * len(_LEADS) * len(words) if self.leads else len(words), bool)
+        seen[code[single]] = True
+        codes = np.flatnonzero(seen)
+        lead_of, word_of = np.divmod(codes, len(words))
+        follows, lead_of = np.divmod(lead_of, len(_LEADS))
+        chunks = np.zeros((len(codes), 2 if self.leads else 1), np.int64)
         for number in range(len(_LEADS)):
-            chosen = single & (kind == number)
+            chosen = lead_of == number
             if chosen.any():
-                wanted = np.flatnonzero(np.bincount(word[chosen]))
-                number_of = np.zeros(len(words), np.int64)
-                number_of[wanted] = self._numbers(number, _strings(words.take(pa.array(wanted))))
-                numbers[chosen] = number_of[word[chosen]]
+                stem = stem_of[word_of[chosen]]
+                wanted = np.flatnonzero(np.bincount(stem))
+                number_of = np.zeros(len(stems), np.int64)
+                number_of[wanted] = self._numbers(number, _strings(stems.take(pa.array(wanted))))
+                chunks[chosen, 0] = number_of[stem]
+        if self.leads:
+            closing = self._numbers(0, [*tails, *(tail + "\n" for tail in tails)])
+            chunks[:, 1] = closing[np.maximum(tail_of[word_of], 0) + len(tails) * follows]
+        store, bounds = self._gather(chunks.ravel())
+        bounds = bounds[:: chunks.shape[1]]
+        place = np.zeros(len(seen), np.int32)
+        place[codes] = np.arange(len(codes))
+        place = place[code]
         odd = np.flatnonzero(~single)
         if len(odd):
             joined = [_joined(words, at, before, runs[i], ends[i]) for i in odd.tolist()]
-            spelled = list(dict.fromkeys(joined))
-            number_of = dict(zip(spelled, self._numbers(0, spelled).tolist(), strict=True))
-            numbers[odd] = [number_of[text] for text in joined]
-
-        sizes = self.sizes[numbers]
-        total = np.append(0, np.cumsum(sizes))
-        where = np.repeat(self.starts[numbers] - total[:-1], sizes) + np.arange(total[-1])
-        return self.store[where], total[np.searchsorted(runs, first)]
+            spelled = {text: number for number, text in enumerate(dict.fromkeys(joined))}
+            more, more_bounds = self._gather(self._numbers(0, list(spelled)))
+            place[odd] = [len(codes) + spelled[text] for text in joined]
+            store, bounds = np.append(store, more), np.append(bounds, len(store) + more_bounds[1:])
+
+        ids, bounds = _laid_out(store, bounds[:-1][place], np.diff(bounds)[place])
+        return ids, bounds[np.searchsorted(runs, first)]
+
+    def _gather(self, numbers):
+        """(ids, bounds) of chunks one after the other."""
+        return _laid_out(self.store, self.starts[numbers], self.sizes[numbers])
+
+    def _parted(self, words):
+        """(stems, the stem of each word, marks, those that close each word); -1 for a word that holds an added token."""
+        if not self.leads:
+            return words, np.arange(len(words)), [""], None
+        cut = pc.utf8_rtrim(words, characters=_MARKS)
+        marks = (pc.binary_length(words).to_numpy() - pc.binary_length(cut).to_numpy()).astype(np.int64)
+        marks[~pc.match_substring_regex(cut, _LETTER + r"\z").to_numpy(zero_copy_only=False)] = 0
+        marks[marks > _MOST_MARKS] = 0
+        whole = np.zeros(len(words), bool)
+        for token in self.added:
+            whole |= pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        marks[whole] = 0
+        coded = pc.if_else(pa.array(marks > 0), cut, words).dictionary_encode()
+        tails, tail_of = {"": 0}, np.zeros(len(words), np.int64)
+        for size in range(1, _MOST_MARKS + 1):
+            rows = np.flatnonzero(marks == size)
+            if len(rows):
+                ends = pc.utf8_slice_codeunits(words.take(pa.array(rows)), start=-size).dictionary_encode()
+                places = [tails.setdefault(tail, len(tails)) for tail in ends.dictionary.to_pylist()]
+                tail_of[rows] = np.array(places)[ends.indices.to_numpy()]
+        tail_of[whole] = -1
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64), list(tails), tail_of
+
+
+def _laid_out(store, starts, sizes):
+    """Slices of `store` one after the other, and where each begins and the last ends."""
+    bounds = np.append(0, np.cumsum(sizes))
+    return store[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
 def _strings(array):

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from lateline.llm import token_ids
 from lateline.llm.common import ready
-from lateline.llm.tokens import chunk_encoder, public_tokenizers
+from lateline.llm.tokens import ChunkEncoder, chunk_encoder, public_tokenizers
 
 widths = st.one_of(st.integers(0, 1), st.just(0), st.integers(0, 300), st.integers(0, 1 << 20), st.integers(0, (1 << 64) - 1))
 
@@ -80,6 +80,49 @@ def test_chunks_give_the_library_ids(vocabulary):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_a_word_is_learnt_once_whatever_closes_it():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = ChunkEncoder(path), Tokenizer.from_file(path)
+    text = "a stemlike stemlike, stemlike. stemlike***\nstemlike%%%\nstemlike stemlike'' ünter!? ünter ünter,$$$\nx9. x9"
+    ids, bounds = encoder.encode(pa.array([text]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [sorted(known) for known in encoder.number][1:] == [["stemlike", "x9", "ünter"], []]
+    assert {"a", "stemlike", "x9", "", "***\n"} <= set(encoder.number[0]) and "stemlike***" not in encoder.number[0]
+
+
+def test_an_error_leaves_no_numbers_without_ids():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = ChunkEncoder(path), Tokenizer.from_file(path)
+    learn, encoder._learn = encoder._learn, None
+    with pytest.raises(TypeError):
+        encoder.encode(pa.array(["some words. and more"]))
+    encoder._learn = learn
+    for text in ("more words. and some", "some words. and more"):
+        assert encoder.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+LIBRARY = {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+marked = st.lists(
+    st.sampled_from(["word", "Élan", "9", "中", "я", "it's", "'s", "'", ".", "***", "!!!!!!!!!", ",$$$", "²", "\x85", " ", "\n", "\n", "<|endoftext|>", "|>", "\u0301"]),
+    max_size=14,
+).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), marked, st.text(max_size=8)), min_size=1, max_size=6))
+def test_closing_marks_give_the_library_ids(texts):
+    import pyarrow as pa
+
+    for vocabulary, library in LIBRARY.items():
+        ids, bounds = chunk_encoder(vocabulary).encode(pa.array(texts, pa.string()))
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def plain(rows):
     """doc_id, start, n_tokens, crc of every row, by the library alone."""
     library, before, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
