@@ -133,20 +133,20 @@ class ChunkEncoder:
         firm += 2 * pc.match_substring_regex(words, _FIRM + r"\z").to_numpy(zero_copy_only=False)
         firm = firm[at]
         clean = lead == 0
-        clean[1:] |= (firm[:-1] >> 1 & firm[1:]).astype(bool)
+        clean[1:] |= (firm[:-1] >> 1 & firm[1:]).view(bool)
         runs = np.flatnonzero(clean)
         ends = np.append(runs[1:], len(at))
         single = ends - runs == 1
 
         # single pieces are told apart by lead, by a line feed that follows, and by word
-        kind = lead[runs].astype(np.int64) if self.leads else np.zeros(len(runs), np.int64)
-        word = at[runs]
+        kind = lead[runs] if self.leads else np.zeros(len(runs), np.int8)
+        code = at[runs]
         stems, stem_of, tails, tail_of = self._parted(words)
         if self.leads:
-            fed = single[1:] & single[:-1] & (kind[1:] == 2) & (tail_of[word[1:]] >= 0)
+            fed = single[1:] & single[:-1] & (kind[1:] == 2) & (tail_of >= 0)[code[1:]]
             kind[1:][fed] = 0
-            kind[:-1] += len(_LEADS) * fed
-        code = kind * len(words) + word
+            kind[:-1][fed] += len(_LEADS)
+        code += np.multiply(kind, len(words), dtype=np.int64)
         seen = np.zeros(2 * len(_LEADS) * len(words) if self.leads else len(words), bool)
         seen[code[single]] = True
         codes = np.flatnonzero(seen)
@@ -166,9 +166,9 @@ class ChunkEncoder:
             chunks[:, 1] = closing[np.maximum(tail_of[word_of], 0) + len(tails) * follows]
         store, bounds = self._gather(chunks.ravel())
         bounds = bounds[:: chunks.shape[1]]
-        place = np.zeros(len(seen), np.int32)
-        place[codes] = np.arange(len(codes))
-        place = place[code]
+        place_of = np.zeros(len(seen), np.int32)
+        place_of[codes] = np.arange(len(codes))
+        place = place_of[code]
         odd = np.flatnonzero(~single)
         if len(odd):
             joined = [_joined(words, at, before, runs[i], ends[i]) for i in odd.tolist()]
@@ -177,6 +177,7 @@ class ChunkEncoder:
             place[odd] = [len(codes) + spelled[text] for text in joined]
             store, bounds = np.append(store, more), np.append(bounds, len(store) + more_bounds[1:])
 
+        del code, ends, single, clean, firm  # a text may be long
         ids, bounds = _laid_out(store, bounds[:-1][place], np.diff(bounds)[place])
         return ids, bounds[np.searchsorted(runs, first)]
 
@@ -211,7 +212,9 @@ class ChunkEncoder:
 def _laid_out(store, starts, sizes):
     """Slices of `store` one after the other, and where each begins and the last ends."""
     bounds = np.append(0, np.cumsum(sizes))
-    return store[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+    where = np.repeat(starts - bounds[:-1], sizes)
+    where += np.arange(bounds[-1])
+    return store[where], bounds
 
 
 def _strings(array):
