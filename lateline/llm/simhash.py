@@ -164,8 +164,11 @@ def linked_fingerprints(classes):
 
     A pair is reported under the first family of keys that its errors allow, so
     sharing several keys does not multiply it.
+
+    Spark sizes the keys by the fingerprints they are made from, 48 times too low: it
+    would send them all to the driver as a broadcast. So their join is always shuffled.
     """
-    pairs = _keyed(classes, "left").join(_keyed(classes, "right"), "key")
+    pairs = _keyed(classes, "left").hint("merge").join(_keyed(classes, "right"), "key")
     apart = F.col("left").bitwiseXOR(F.col("right"))
     errors = [F.bit_count(F.shiftrightunsigned(apart, low).bitwiseAND((1 << width) - 1)) for low, width in SEGMENTS]
     family = F.shiftright("key", 40)

@@ -105,3 +105,14 @@ def test_components_of_chains_stars_and_loops(spark):
     assert {rows[i] for i in range(51)} == {0} and {rows[100 + i] for i in range(200)} == {100}
     assert rows[2001] == rows[2000] == 2000 and len(rows) == 51 + 201 + 2
     assert components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+def test_keys_are_never_broadcast(spark):
+    """A table of fingerprints far below the broadcast threshold makes 48 times as many keys: their join is shuffled."""
+    from lateline.sources.staging import settle
+
+    classes = settle(spark.range(500).select(F.xxhash64("id").alias("fp")), "classes")
+    linked = simhash.linked_fingerprints(classes)
+    linked.collect()
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
