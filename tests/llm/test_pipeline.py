@@ -12,7 +12,7 @@ import test_simhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lateline.llm import quality_rules, weak_labels
+from lateline.llm import quality_rules, simhash, weak_labels
 from lateline.llm.bpe import VOCABULARY, public_tokenizers
 
 SF = "/root/testdata/sf0.01"
@@ -104,3 +104,18 @@ def test_odd_rows_and_empty_table(spark):
 def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "line_dedup", "simhash_near_dedup", "packing"]
     assert quality_rules.CURRENT in quality_rules.POLICIES
+
+
+def test_near_dedup_sends_no_keys_to_the_driver(spark, monkeypatch):
+    """The stage's join of keys, many times the rows it is sized by, is shuffled however small the table is."""
+    plans, linked = [], simhash.linked_fingerprints
+
+    def seen(classes):
+        found = linked(classes)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "linked_fingerprints", seen)
+    docs = spark.createDataFrame([(n, f"one text of its own {n}", "en", "a", 1, "x") for n in range(40)], SCHEMA)
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, None).count() <= 40
+    assert len(plans) == 1 and "BroadcastExchange" not in plans[0]
