@@ -101,13 +101,18 @@ def metric_averages(metrics):
     return metrics.agg(*[F.avg(name).alias(name) for name in ("recall", "precision", "f1", "auc_roc")])
 
 
+def most_important(importance, k=fv.TOP_FACTORS):
+    """The k most important of a model's list of (feature, importance), most important first."""
+    return sorted(importance, key=lambda item: (-item[1], item[0]))[:k]
+
+
 def factor_list(df, importance, k=fv.TOP_FACTORS):
     """An array column: the k most important features with the ticket's own values.
 
     `importance` is the model's list of (feature, importance). It is the same
     for every ticket, so the k are chosen once and each row lists them in place.
     """
-    ranked = sorted(importance, key=lambda item: (-item[1], item[0]))[:k]
+    ranked = most_important(importance, k)
     rows = [
         F.struct(
             F.lit(rank).alias("rank"),

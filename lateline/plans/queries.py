@@ -255,8 +255,11 @@ def q_feature_importance(spark, sf_dir):
 def q_top_risk_factors(spark, sf_dir):
     """Per ticket, how many factors it lists and whether each carries the ticket's own value."""
     features, model = _model(spark, sf_dir)
-    listed = scoring.top_factors(features, risk_model.feature_importance(model), ["issue_key"])
-    own = drift.long_form(features, ["issue_key"]).withColumnRenamed("value", "own")
+    importance = risk_model.feature_importance(model)
+    listed = scoring.top_factors(features, importance, ["issue_key"])
+    # the factors listed are the same for every ticket; values of other features would meet none
+    names = [name for name, _ in scoring.most_important(importance)]
+    own = drift.long_form(features, ["issue_key"], names).withColumnRenamed("value", "own")
     joined = listed.join(own, ["issue_key", "feature"], "left")
     same = F.col("value") == F.coalesce("own", F.lit(0.0))
     return joined.groupBy("issue_key").agg(F.count("*").alias("factors"), F.bool_and(same).alias("own_values"))

@@ -107,3 +107,20 @@ def test_digest_of_a_hot_project_keeps_a_few_rows_per_task(hot):
     digest = high_risk_digest(scored)
     assert "WindowGroupLimit" in digest._jdf.queryExecution().executedPlan().toString()
     assert len(digest.where("project_key = 'HOT'").first()["high_risk_digest"].split("\n")) == fv.DIGEST_TICKETS
+
+
+def test_factors_meet_the_values_of_listed_features_only(spark, monkeypatch):
+    from lateline.operators import drift
+    from lateline.plans import queries, risk_model
+
+    names = fv.MODEL_FEATURES[:8]
+    rows = [("A-1", *range(8)), ("A-2", None, *range(7)), ("A-2", *range(8)), (None, *range(8))]
+    features = spark.createDataFrame(rows, ", ".join(["issue_key string", *(f"{name} long" for name in names)]))
+    importance = [(name, 0.3 - i / 100) for i, name in enumerate(names)]
+    met, long_form = [], drift.long_form
+    monkeypatch.setattr(queries, "_model", lambda *_: (features, None))
+    monkeypatch.setattr(risk_model, "feature_importance", lambda _: importance)
+    monkeypatch.setattr(drift, "long_form", lambda *a, **b: met.append(long_form(*a, **b)) or met[-1])
+    found = {row["issue_key"]: (row["factors"], row["own_values"]) for row in queries.q_top_risk_factors(spark, None).collect()}
+    assert found == {"A-1": (5, True), "A-2": (18, False), None: (5, False)}
+    assert {row["feature"] for row in met[0].select("feature").distinct().collect()} == set(names[:5])
