@@ -12,7 +12,7 @@ from lateline.operators.sentiment import sentiment_anomalies, sentiment_series
 from lateline.schemas import REJECT
 from lateline.sources.lake import new_run_id
 from lateline.sources.pages import issue_page_places, read_issue_pages
-from lateline.sources.staging import settle
+from lateline.sources.staging import settle, settled
 
 REJECTS = "_rejects"  # behind a source's name: what could not be read
 
@@ -28,17 +28,17 @@ def ingest_tickets(lake, tickets, as_of=None, source="jira", rules=None, run_id=
     that brought nothing and those in `errors` (project_key, error), whose marks stay.
     """
     state = lake.load_state()
-    fresh = settle(since_mark(tickets, state), "fresh")
-    lake.write_bronze(fresh, source, as_of, run_id=run_id)
-    unclear = undated(fresh).select("project_key", F.lit(None).cast("string").alias("file"), F.to_json(F.struct(*fresh.columns)).alias("raw"), F.lit("unreadable update").alias("reason"))
-    lake.write_bronze(unclear if rejects is None else unclear.unionByName(rejects), source + REJECTS, as_of, run_id=run_id)
-    clean = settle(redact_records(fresh, fv.TICKET_TEXT_FIELDS), "clean")
-    lake.write_silver(clean, source, as_of, run_id=run_id)
-    report = quality_report(clean, rules, ["project_key"])
-    lake.append_alerts(quality_alerts(report, as_of=as_of), run_id)
-    whole = fresh if errors is None else fresh.join(errors.select("project_key"), "project_key", "left_anti")
-    moved = advance_marks(state, whole).join(state.withColumnRenamed("last_ingest_date", "_before"), "project_key", "left")
-    lake.save_state(moved.where(~F.col("last_ingest_date").eqNullSafe(F.col("_before"))).drop("_before"))
+    with settled(since_mark(tickets, state), "fresh") as fresh:
+        lake.write_bronze(fresh, source, as_of, run_id=run_id)
+        unclear = undated(fresh).select("project_key", F.lit(None).cast("string").alias("file"), F.to_json(F.struct(*fresh.columns)).alias("raw"), F.lit("unreadable update").alias("reason"))
+        lake.write_bronze(unclear if rejects is None else unclear.unionByName(rejects), source + REJECTS, as_of, run_id=run_id)
+        clean = settle(redact_records(fresh, fv.TICKET_TEXT_FIELDS), "clean")
+        lake.write_silver(clean, source, as_of, run_id=run_id)
+        report = quality_report(clean, rules, ["project_key"])
+        lake.append_alerts(quality_alerts(report, as_of=as_of), run_id)
+        whole = fresh if errors is None else fresh.join(errors.select("project_key"), "project_key", "left_anti")
+        moved = advance_marks(state, whole).join(state.withColumnRenamed("last_ingest_date", "_before"), "project_key", "left")
+        lake.save_state(moved.where(~F.col("last_ingest_date").eqNullSafe(F.col("_before"))).drop("_before"))
     return ingestion_summary(clean, report.summary, asked=asked, errors=errors)
 
 

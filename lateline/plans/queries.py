@@ -28,7 +28,7 @@ from lateline.sources.catalog import register_table
 from lateline.plans.ingestion import ingest_issue_pages, ingest_messages, ingest_tickets, read_rejects
 from lateline.sources.lake import Lake, path_exists
 from lateline.sources.pages import issue_page_places, read_issue_pages, read_message_pages, rejected_issue_pages
-from lateline.sources.staging import new_path, settle
+from lateline.sources.staging import brief_shuffles, new_path, settle
 from lateline.streaming import quality as stream_quality
 from lateline.streaming import sentiment as stream_sent
 from lateline.streaming import silver as stream_silver_pages
@@ -44,6 +44,7 @@ QUALITY_RULES = {
 QUALITY_COLUMNS = ["project_key", "issue_key", "story_points", "status", "priority", "issue_type", "created", "resolution_date"]
 PERIOD = "2001-11-24 to 2001-12-01"
 CHUNK_BYTES = 2_000
+PAGES_A_FILE = 100_000  # of one issue; some 70 MB of JSON
 TRAINING_ROUNDS = 10
 
 # ---- shared inputs ---------------------------------------------------------
@@ -592,10 +593,17 @@ def q_sprint_parse(spark, sf_dir):
 def _landed(pages):
     """Pages as files in a folder, as a crawler leaves them."""
     path = new_path(pages.sparkSession, "pages")
-    pages.write.text(path)
+    _land(pages, path, PAGES_A_FILE)
     return path
 
 
+def _land(pages, path, pages_a_file, *folders):
+    """Compressed, in files short enough to be read side by side."""
+    writer = pages.write.partitionBy(*folders) if folders else pages.write
+    with brief_shuffles(pages.sparkSession):
+        writer.option("compression", "gzip").option("maxRecordsPerFile", pages_a_file).text(path)
+
+
 def _flat_issues(spark, sf_dir):
     path = _landed(star.raw_issue_pages(spark, sf_dir))
     return read_issue_pages(spark, path, star.POINTS_FIELD, star.SPRINT_FIELD, star.AS_OF)
@@ -760,7 +768,7 @@ def q_repeated_load(spark, sf_dir):
 
 def _landed_sets(spark, sf_dir):
     path = new_path(spark, "pages")
-    star.issue_page_sets(spark, sf_dir).write.partitionBy("project").text(path)
+    _land(star.issue_page_sets(spark, sf_dir), path, PAGES_A_FILE // star.PAGE_SIZE, "project")
     return path
 
 

@@ -1,4 +1,4 @@
-"""The medallion lake: bronze JSON, silver and gold Parquet, by project and date."""
+"""The medallion lake: bronze JSON (gzip), silver and gold Parquet, by project and date."""
 
 import uuid
 from datetime import datetime, timedelta, timezone
@@ -14,6 +14,7 @@ from lateline.operators.flatten import nested_to_json
 from lateline.operators.incremental import latest
 from lateline.schemas import ALERT, STATE
 from lateline.sources import schema_union
+from lateline.sources.staging import brief_shuffles
 
 _PARTITIONS = ["project", "date"]
 _RUN = "run"
@@ -66,9 +67,10 @@ class Lake:
             # a folder per run, so that a repeated run replaces its own rows and no others
             path = f"{path}/{_RUN}={run_id}"
             writer = placed.write.mode("overwrite")
-        writer.partitionBy(*_PARTITIONS).format(file_format).option(
-            "compression", "snappy" if file_format == "parquet" else "none"
-        ).save(path)
+        with brief_shuffles(df.sparkSession):
+            writer.partitionBy(*_PARTITIONS).format(file_format).option(
+                "compression", "snappy" if file_format == "parquet" else "gzip"
+            ).save(path)
         return path
 
     def write_bronze(self, df, source, run_date=None, key="project_key", run_id=None):
@@ -94,7 +96,8 @@ class Lake:
         day = F.date_format(moment(run_date), "yyyy-MM-dd")
         placed = df.withColumns({"project": F.col(key), "date": day, _RUN: F.lit(run_id)}).hint("rebalance", "project")
         writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*_PARTITIONS, _RUN).option("compression", "snappy").parquet(path)
+        with brief_shuffles(df.sparkSession):
+            writer.partitionBy(*_PARTITIONS, _RUN).option("compression", "snappy").parquet(path)
         return path
 
     def newest_runs(self, feature_set=fv.DEFAULT_FEATURE_SET, projects=None, date=None):
