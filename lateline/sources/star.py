@@ -154,9 +154,17 @@ POINTS_FIELD, SPRINT_FIELD = "customfield_10016", "customfield_10020"
 def raw_issues(spark, sf_dir):
     """Orders as nested tracker issues (id, key, fields), with the oddities of real ones:
     null objects, points that are no number, sprints as objects and as texts."""
+    return _orders_with_segments(spark, sf_dir).select(*_issue_columns())
+
+
+def _orders_with_segments(spark, sf_dir):
     orders = texts(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    return orders.join(customers, orders.o_custkey == customers.c_custkey)
+
+
+def _issue_columns():
+    """id, key and fields of an order's issue."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     text = key.cast("string")
 
@@ -211,7 +219,7 @@ def raw_issues(spark, sf_dir):
         links.alias("issuelinks"),
         F.struct((key % 21).alias("total")).alias("comment"),
     )
-    return joined.select(text.alias("id"), F.concat_ws("-", "c_mktsegment", text).alias("key"), fields.alias("fields"))
+    return text.alias("id"), F.concat_ws("-", "c_mktsegment", text).alias("key"), fields.alias("fields")
 
 
 def raw_issue_pages(spark, sf_dir):
@@ -229,9 +237,11 @@ def issue_page_sets(spark, sf_dir):
 
     Every 17th page is lost, every 23rd cut short, every 29th landed twice.
     """
-    issues = raw_issues(spark, sf_dir).select(F.col("fields.project.key").alias("project"), "id", "key", "fields")
-    ordered = Window.partitionBy("project").orderBy(F.col("id").cast("long"))
-    issues = issues.withColumns({"pos": F.row_number().over(ordered) - 1, "total": F.count("*").over(Window.partitionBy("project"))})
+    # numbered as orders, which are a seventh of their issues
+    ordered = Window.partitionBy("project").orderBy("o_orderkey")
+    orders = _orders_with_segments(spark, sf_dir).withColumn("project", F.col("c_mktsegment"))
+    issues = orders.withColumns({"pos": F.row_number().over(ordered) - 1, "total": F.count("*").over(Window.partitionBy("project"))})
+    issues = issues.select("project", "pos", "total", *_issue_columns())
     page = F.floor(F.col("pos") / PAGE_SIZE).alias("page")
     pages = issues.groupBy("project", "total", page).agg(
         F.min("pos").cast("long").alias("startAt"), F.collect_list(F.struct("id", "key", "fields")).alias("issues")

@@ -1,6 +1,7 @@
 """What loads leave on disk: compressed text, no staged rows, no shuffles."""
 
 import glob
+import json
 import os
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -41,6 +42,19 @@ def test_landed_pages_are_compressed_and_whole(spark, shop, monkeypatch):
     assert spark.read.text(sets).count() == star.issue_page_sets(spark, shop).count()
 
 
+def test_page_sets_number_orders(spark, shop):
+    """Rows are numbered before they carry an issue; pages hold each project's issues in the order of their keys."""
+    sets = star.issue_page_sets(spark, shop)
+    windows = [line for line in sets._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert len(windows) == 2
+    below = sets._jdf.queryExecution().optimizedPlan().toString().split(windows[-1])[1]
+    assert "customfield" not in below and "Ask buyer" not in below
+    whole = [json.loads(row["value"]) for row in sets.where("project = 'MACHINERY'").collect()]
+    got = {page["startAt"] + i: int(issue["id"]) for page in whole for i, issue in enumerate(sorted(page["issues"], key=lambda issue: int(issue["id"])))}
+    assert [got[place] for place in sorted(got)] == [n for n in range(60) if n % 7 in (1, 4)]
+    assert {page["total"] for page in whole} == {len(got)}
+
+
 def test_bronze_is_compressed_and_staged_rows_go(spark, tickets, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     before = set(glob.glob(f"{staging._application_dir(spark).removeprefix('file:')}/fresh-*"))
