@@ -9,6 +9,7 @@ from lateline.operators.redaction import redact_records
 from lateline.plans.ingestion import REJECTS
 from lateline.schemas import issue_page
 from lateline.sources.pages import page_texts, tickets_and_rejects
+from lateline.sources.staging import settled
 
 
 def page_stream(spark, path, points_field, sprint_field, files_per_trigger=1000):
@@ -39,14 +40,12 @@ def page_batch(lake, points_field, sprint_field, run_date=None, source="jira", s
 
     def store(batch, batch_id):
         run_id = f"{stream}-{batch_id:012d}"
-        batch.persist()
-        try:
-            tickets, rejects = tickets_and_rejects(batch, points_field, sprint_field, run_date)
-            lake.write_bronze(tickets, source, run_date, run_id=run_id)
-            lake.write_bronze(rejects, source + REJECTS, run_date, run_id=run_id)
-            lake.write_silver(redact_records(tickets, fv.TICKET_TEXT_FIELDS), source, run_date, run_id=run_id)
-        finally:
-            batch.unpersist()
+        tickets, rejects = tickets_and_rejects(batch, points_field, sprint_field, run_date)
+        lake.write_bronze(rejects, source + REJECTS, run_date, run_id=run_id)
+        # a source can repeat its batch; kept in memory, the texts of a large one would go to the executors' disks
+        with settled(tickets, "fresh") as fresh:
+            lake.write_bronze(fresh, source, run_date, run_id=run_id)
+            lake.write_silver(redact_records(fresh, fv.TICKET_TEXT_FIELDS), source, run_date, run_id=run_id)
 
     return store
 

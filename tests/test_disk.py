@@ -14,6 +14,7 @@ from lateline.plans import queries
 from lateline.plans.ingestion import ingest_tickets
 from lateline.sources import staging, star
 from lateline.sources.lake import Lake
+from lateline.streaming import silver
 
 AS_OF = "2024-04-01T00:00:00Z"
 
@@ -103,3 +104,15 @@ def test_shuffles_of_a_write_go_with_it(spark):
         time.sleep(0.1)
     assert not held() - before
     assert table.count() == 1000
+
+
+def test_a_batch_of_the_stream_is_not_kept_in_memory(spark, shop, tmp_path, monkeypatch):
+    lake, kept, write = Lake(spark, str(tmp_path / "lake")), [], Lake.write_bronze
+    batch = star.raw_issue_pages(spark, shop).select(F.lit("/project=A/x").alias("file"), "value").unionByName(spark.createDataFrame([("/project=A/x", "{")], "file string, value string"))
+    monkeypatch.setattr(Lake, "write_bronze", lambda *a, **b: kept.append(batch.storageLevel.useMemory) or write(*a, **b))
+    store = silver.page_batch(lake, star.POINTS_FIELD, star.SPRINT_FIELD, AS_OF)
+    for _ in range(2):
+        store(batch, 3)
+    assert kept == [False] * 4
+    assert lake.read_silver("jira").count() == spark.read.json(f"{tmp_path}/lake/bronze_runs/jira").count() == 60
+    assert spark.read.json(f"{tmp_path}/lake/bronze_runs/jira_rejects").count() == 1
